@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.functions.hashing import gaussian
 from vecspark.operators.blockscan import (
@@ -89,7 +90,7 @@ def ivf_assign(index: DataFrame, centroids: DataFrame, *, vec_col: str = "embedd
     """Add the nearest centroid's ``list_id`` (ties: lower list id). Map-only."""
     lids, C = collect_centroids(centroids)
     dim = C.shape[1]
-    schema = index.schema.add(out_col, "int")
+    schema = T.StructType(index.schema.fields + [T.StructField(out_col, T.IntegerType())])
 
     def assign(batches):
         for b in batches:
@@ -108,7 +109,7 @@ def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int, *,
     lids, C = collect_centroids(centroids)
     dim = C.shape[1]
     p = min(nprobe, len(lids))
-    schema = queries.schema.add(out_col, "array<long>")
+    schema = T.StructType(queries.schema.fields + [T.StructField(out_col, T.ArrayType(T.LongType()))])
 
     def probe(batches):
         for b in batches:
@@ -163,7 +164,7 @@ def lsh_keys(df: DataFrame, planes: np.ndarray, bands: int, bits: int, *,
     """Add per-band bucket keys (bit j of band b = sign of the plane b*bits+j)."""
     from vecspark.operators.blockscan import band_keys
     dim = planes.shape[1]
-    schema = df.schema.add(out_col, "array<long>")
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.LongType()))])
 
     def keys(batches):
         for b in batches:

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN_SPLIT = "[ \\t\\n\\r\\f]+"
 
@@ -49,7 +50,7 @@ def embed(df: DataFrame, encoder_factory: Callable[[], Callable[[list[str]], np.
           text_col: str = "text", out_col: str = "embedding", batch_size: int = 32,
           normalize: bool = True) -> DataFrame:
     """Apply an encoder (built once per task) to every text; adds ``out_col``."""
-    schema = df.schema.add(out_col, "array<float>")
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def run(frames):
         enc = encoder_factory()

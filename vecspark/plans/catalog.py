@@ -135,3 +135,136 @@ def q_batch_search(spark, sf):
     v = Views(spark, sf)
     return ranked_lists(v.gt).select("query_id", F.size("ids").cast("long").alias("n_results"),
                                      F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+# =============================================================================
+# phase 2: IR metrics against exact neighbours (pred = inverted lists, nprobe 4)
+# =============================================================================
+
+def _scores(spark, sf):
+    from vecspark.operators.ir import quality_scores
+    v = Views(spark, sf)
+    return quality_scores(v.pred, v.gt, (1, 5, 10))
+
+
+def _metric_query(name: str, col: str):
+    @register(name, O.sql(f"SELECT k, round({col}, 6) AS {col} FROM qp_sc", "qp_sc"))
+    def q(spark, sf):
+        return _scores(spark, sf).select("k", r6(col).alias(col))
+    q.__name__ = f"q_{name}"
+    return q
+
+
+_metric_query("recall_at_k", "recall")
+_metric_query("recall_at_k_standard", "recall_standard")
+_metric_query("precision_at_k", "precision")
+_metric_query("map_at_k", "map")
+_metric_query("ndcg_at_k", "ndcg")
+
+
+@register("running_precision", O.sql("""
+SELECT p.query_id, p.rank, p.vector_id, (g.vector_id IS NOT NULL)::INTEGER AS hit,
+       sum((g.vector_id IS NOT NULL)::INTEGER) OVER (PARTITION BY p.query_id ORDER BY p.rank
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running_hits,
+       round(sum((g.vector_id IS NOT NULL)::INTEGER) OVER (PARTITION BY p.query_id ORDER BY p.rank
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / p.rank, 6) AS precision_at_rank
+FROM f_pred p LEFT JOIN (SELECT DISTINCT query_id, vector_id FROM f_gt WHERE rank <= 10) g
+  USING (query_id, vector_id) WHERE p.rank <= 10""", "f_pred", "f_gt"))
+def q_running_precision(spark, sf):
+    from vecspark.operators.ir import running_precision
+    v = Views(spark, sf)
+    return running_precision(v.pred, v.gt, 10).withColumn("precision_at_rank", r6("precision_at_rank"))
+
+
+O.cte("ri_p", ["f_pred"], "SELECT DISTINCT query_id, vector_id FROM f_pred")
+O.cte("ri_g", ["f_gt"], "SELECT DISTINCT query_id, vector_id FROM f_gt WHERE rank <= 10")
+
+
+@register("retrieved_intersection", O.sql("""
+SELECT b.query_id, coalesce(c.n, 0)::BIGINT AS n_common
+FROM (SELECT DISTINCT query_id FROM ri_p INTERSECT SELECT DISTINCT query_id FROM ri_g) b
+LEFT JOIN (SELECT query_id, count(*) AS n FROM ri_p JOIN ri_g USING (query_id, vector_id) GROUP BY 1) c USING (query_id)
+""", "ri_p", "ri_g"))
+def q_retrieved_intersection(spark, sf):
+    from vecspark.operators.ir import retrieved_intersection
+    v = Views(spark, sf)
+    return retrieved_intersection(v.pred, v.gt, 10)
+
+
+@register("quality_metrics", O.sql(
+    "SELECT database, operation, metric, round(value, 6) AS value, worker_count FROM m_quality",
+    "m_quality"))
+def q_quality_metrics(spark, sf):
+    # query_id (always null for aggregate rows) is left out of the comparison
+    return Views(spark, sf).quality_rows.withColumn("value", r6("value")).drop("query_id")
+
+
+# =============================================================================
+# phase 3: approximate search
+# =============================================================================
+
+@register("ivf_assign", O.sql("SELECT vector_id, list_id FROM f_assign", "f_assign"))
+def q_ivf_assign(spark, sf):
+    return Views(spark, sf).index_lists.select("vector_id", "list_id")
+
+
+@register("ivf_search", O.sql(
+    "SELECT query_id, rank, vector_id, round(score, 4) AS score FROM f_pred", "f_pred"))
+def q_ivf_search(spark, sf):
+    return Views(spark, sf).pred.select("query_id", "rank", "vector_id", r6("score", 4).alias("score"))
+
+
+@register("ivf_recall_by_nprobe", O.sql("""
+SELECT n.nprobe::INTEGER AS nprobe, round(avg(h.n / 10.0), 6) AS recall_at_10
+FROM (SELECT p.nprobe, p.query_id, count(g.vector_id) AS n
+      FROM f_pred_np p LEFT JOIN f_gt g ON g.query_id = p.query_id AND g.vector_id = p.vector_id
+      GROUP BY 1, 2) h JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS nprobe) n USING (nprobe)
+GROUP BY n.nprobe""", "f_pred_np", "f_gt"))
+def q_ivf_recall_by_nprobe(spark, sf):
+    from vecspark.operators.ir import quality_scores
+    v = Views(spark, sf)
+    out = None
+    for npb in (1, 2, 4, 8, 16):
+        s = quality_scores(v.pred_at(npb), v.gt, (10,)).select(
+            F.lit(npb).alias("nprobe"), r6("recall").alias("recall_at_10"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def _lsh(v: Views):
+    from vecspark.operators.ann import lsh_search
+    return lsh_search(v.index, v.queries, 10, bands=O.LSH_BANDS, bits=O.LSH_BITS, seed=O.LSH_SEED)
+
+
+@register("lsh_search", O.sql(
+    "SELECT query_id, rank, vector_id, round(score, 4) AS score FROM f_lsh", "f_lsh"))
+def q_lsh_search(spark, sf):
+    return _lsh(Views(spark, sf)).select("query_id", "rank", "vector_id", r6("score", 4).alias("score"))
+
+
+@register("search_auto", O.sql("""
+SELECT CASE WHEN (SELECT count(*) FROM f_index) <= 10000 THEN 'exact' ELSE 'ivf' END AS strategy,
+       query_id, rank, vector_id, round(score, 4) AS score FROM f_gt""", "f_gt", "f_index"))
+def q_search_auto(spark, sf):
+    from vecspark.operators.ann import search_auto
+    v = Views(spark, sf)
+    n = v.index.count()
+    strategy = "exact" if n <= 10000 else "ivf"
+    return search_auto(v.index, v.queries, 10, full_scan_threshold=10000).select(
+        F.lit(strategy).alias("strategy"), "query_id", "rank", "vector_id", r6("score", 4).alias("score"))
+
+
+@register("compare_strategies", O.sql("""
+SELECT 'exact' AS engine, query_id, rank, vector_id, round(score, 4) AS score FROM f_gt UNION ALL
+SELECT 'ivf', query_id, rank, vector_id, round(score, 4) FROM f_pred UNION ALL
+SELECT 'lsh', query_id, rank, vector_id, round(score, 4) FROM f_lsh""", "f_gt", "f_pred", "f_lsh"))
+def q_compare_strategies(spark, sf):
+    from vecspark.operators.ann import compare_strategies
+    v = Views(spark, sf)
+    strategies = {
+        "exact": {},
+        "ivf": {"centroids": v.centroids, "nprobe": 4},
+        "lsh": {"bands": O.LSH_BANDS, "bits": O.LSH_BITS, "seed": O.LSH_SEED},
+    }
+    return compare_strategies(v.index, v.queries, 10, strategies).select(
+        "engine", "query_id", "rank", "vector_id", r6("score", 4).alias("score"))

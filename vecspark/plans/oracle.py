@@ -83,3 +83,72 @@ def sql(body: str, *needs: str) -> str:
     if not order:
         return body.strip()
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body.strip()
+
+
+# -- IR metrics over long ranked lists ----------------------------------------
+def quality_ctes(p: str, pred: str, gt: str, ks=(1, 5, 10)) -> None:
+    """CTEs ``{p}_pq`` (per query, k) and ``{p}_sc`` (means per k) for pred vs gt."""
+    kl = "[" + ", ".join(str(int(k)) for k in ks) + "]"
+    cte(f"{p}_j", [pred, gt], f"""SELECT p.query_id, p.rank, p.vector_id, g.gt_rank FROM {pred} p
+  LEFT JOIN (SELECT query_id, vector_id, min(rank) AS gt_rank FROM {gt} GROUP BY 1, 2) g USING (query_id, vector_id)""")
+    cte(f"{p}_jk", [f"{p}_j"], f"""SELECT j.*, kk.k,
+  coalesce(j.gt_rank <= kk.k, false) AS hit, coalesce(j.gt_rank <= kk.k, false) AND j.rank <= kk.k AS hit_k
+  FROM {p}_j j, (SELECT unnest({kl}) AS k) kk""")
+    cte(f"{p}_jr", [f"{p}_jk"], f"""SELECT *, sum(hit_k::INTEGER) OVER (PARTITION BY query_id, k ORDER BY rank
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {p}_jk""")
+    cte(f"{p}_agg", [f"{p}_jr"], f"""SELECT query_id, k,
+  count(DISTINCT CASE WHEN hit THEN vector_id END) AS inter,
+  count(DISTINCT CASE WHEN hit_k THEN vector_id END) AS inter_top,
+  sum(CASE WHEN hit_k THEN 1 ELSE 0 END) AS hits,
+  sum(CASE WHEN hit_k THEN run / rank ELSE 0.0::DOUBLE END) AS ap_sum,
+  sum(CASE WHEN hit_k THEN 1.0 / log2(rank + 1) ELSE 0.0::DOUBLE END) AS dcg
+  FROM {p}_jr GROUP BY query_id, k""")
+    cte(f"{p}_pq", [f"{p}_agg", pred, gt], f"""SELECT a.query_id, a.k,
+  a.inter / least(n.n_pred, a.k) AS recall,
+  a.inter_top / least(m.n_gt, a.k) AS recall_standard,
+  a.inter / n.n_pred AS precision,
+  CASE WHEN a.hits > 0 THEN a.ap_sum / least(n.n_pred, a.k) ELSE 0.0::DOUBLE END AS map,
+  a.dcg / list_sum(list_transform(range(1, least(m.n_gt, a.k) + 1), lambda i: 1.0 / log2(i + 1))) AS ndcg
+  FROM {p}_agg a
+  JOIN (SELECT query_id, count(*) AS n_pred FROM {pred} GROUP BY 1) n USING (query_id)
+  JOIN (SELECT query_id, count(*) AS n_gt FROM {gt} GROUP BY 1) m USING (query_id)""")
+    cte(f"{p}_sc", [f"{p}_pq"], f"""SELECT kk.k::INTEGER AS k,
+  coalesce(avg(q.recall), 0.0) AS recall, coalesce(avg(q.recall_standard), 0.0) AS recall_standard,
+  coalesce(avg(q.precision), 0.0) AS precision, coalesce(avg(q.map), 0.0) AS map,
+  coalesce(avg(q.ndcg), 0.0) AS ndcg
+  FROM (SELECT unnest({kl}) AS k) kk LEFT JOIN {p}_pq q ON q.k = kk.k GROUP BY kk.k""")
+
+
+quality_ctes("qp", "f_pred", "f_gt")
+
+FIRST_ENGINE = "(SELECT min(event_type) FROM events)"
+cte("m_quality", ["qp_sc"], f"""SELECT {FIRST_ENGINE} AS database, 'quality' AS operation, metric, value,
+  1::INTEGER AS worker_count, NULL::INTEGER AS query_id FROM (
+  SELECT k, 0 AS o, 'recall@' || k AS metric, recall AS value FROM qp_sc UNION ALL
+  SELECT k, 1, 'precision@' || k, precision FROM qp_sc UNION ALL
+  SELECT k, 2, 'mAP@' || k, map FROM qp_sc UNION ALL
+  SELECT k, 3, 'NDCG@' || k, ndcg FROM qp_sc)""")
+
+# -- IVF for several probe counts, LSH --------------------------------------
+cte("f_pred_np", ["f_cand"], """SELECT nprobe, query_id, rank::INTEGER AS rank, vector_id, s AS score FROM (
+  SELECT np.nprobe, c.query_id, c.vector_id, c.s,
+         row_number() OVER (PARTITION BY np.nprobe, c.query_id ORDER BY c.s DESC, c.vector_id) AS rank
+  FROM f_cand c JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS nprobe) np ON c.pr <= np.nprobe) WHERE rank <= 10""")
+
+LSH_BANDS, LSH_BITS, LSH_SEED = 8, 4, 42
+cte("lsh_p", ["f_index"], f"""SELECT j AS plane, list(z ORDER BY d) AS h FROM (
+  SELECT a.j, b.d, {gaussian(f"'{LSH_SEED}:lsh:' || a.j || ':' || b.d")} AS z
+  FROM range({LSH_BANDS * LSH_BITS}) a(j), (SELECT DISTINCT unnest(range(len(v))) AS d FROM f_index) b)
+  GROUP BY j""")
+cte("lsh_ik", ["f_index", "lsh_p"], f"""SELECT i.vector_id, p.plane // {LSH_BITS} AS band,
+  sum(((list_inner_product(i.v, p.h) > 0)::BIGINT) << (p.plane % {LSH_BITS})) AS key
+  FROM f_index i, lsh_p p GROUP BY 1, 2""")
+cte("lsh_qk", ["f_query", "lsh_p"], f"""SELECT q.query_id, p.plane // {LSH_BITS} AS band,
+  sum(((list_inner_product(q.v, p.h) > 0)::BIGINT) << (p.plane % {LSH_BITS})) AS key
+  FROM f_query q, lsh_p p GROUP BY 1, 2""")
+cte("lsh_cand", ["lsh_ik", "lsh_qk"], """SELECT DISTINCT q.query_id, i.vector_id
+  FROM lsh_qk q JOIN lsh_ik i ON i.band = q.band AND i.key = q.key""")
+cte("f_lsh", ["lsh_cand", "f_index", "f_query"], f"""SELECT query_id, rank::INTEGER AS rank, vector_id, s AS score FROM (
+  SELECT c.query_id, c.vector_id, {dot('q.v', 'i.v')} AS s,
+         row_number() OVER (PARTITION BY c.query_id ORDER BY {dot('q.v', 'i.v')} DESC, c.vector_id) AS rank
+  FROM lsh_cand c JOIN f_query q USING (query_id) JOIN f_index i USING (vector_id)) WHERE rank <= 10""")
