@@ -268,3 +268,104 @@ def q_compare_strategies(spark, sf):
     }
     return compare_strategies(v.index, v.queries, 10, strategies).select(
         "engine", "query_id", "rank", "vector_id", r6("score", 4).alias("score"))
+
+
+# =============================================================================
+# phase 4: judged evaluation over texts (conversations as judged examples)
+# =============================================================================
+
+@register("passage_extract", O.sql("SELECT vector_id, text FROM f_passages", "f_passages"))
+def q_passage_extract(spark, sf):
+    return Views(spark, sf).passages
+
+
+@register("passage_field_fallback", O.sql(
+    f"SELECT doc_id, {O.strip('nullif(text, %s)' % repr(''))} AS text FROM documents "
+    f"WHERE length({O.strip('nullif(text, %s)' % repr(''))}) > 10"))
+def q_passage_field_fallback(spark, sf):
+    from vecspark.sources.corpus import passage_field_fallback
+    return passage_field_fallback(Views(spark, sf).table("documents"), id_col="doc_id")
+
+
+O.cte("f_topup", ["f_passages"], f"""SELECT vector_id, text, pass FROM (
+  SELECT row_number() OVER (ORDER BY pass, pos) - 1 AS vector_id, text, pass FROM (
+    SELECT 0 AS pass, vector_id AS pos, text FROM f_passages UNION ALL
+    SELECT 1, doc_id, {O.strip('text')} FROM documents WHERE length({O.strip('text')}) > 10))
+  WHERE vector_id < {O.N_VEC}""")
+
+
+@register("passage_topup", O.sql("SELECT vector_id, text, pass FROM f_topup", "f_topup"))
+def q_passage_topup(spark, sf):
+    from vecspark.sources.corpus import passage_topup
+    v = Views(spark, sf)
+    return passage_topup(v.passages, v.table("documents"), v.n_vectors, second_pos="doc_id",
+                         second_field="text")
+
+
+@register("query_extract", O.sql("SELECT query_id, text, example_pos FROM f_qtexts", "f_qtexts"))
+def q_query_extract(spark, sf):
+    return Views(spark, sf).qtexts
+
+
+@register("passage_ids", O.sql(
+    "SELECT vector_id, 'p_' || vector_id AS passage_id, text FROM f_passages", "f_passages"))
+def q_passage_ids(spark, sf):
+    from vecspark.sources.corpus import passage_ids
+    return passage_ids(Views(spark, sf).passages)
+
+
+@register("qrels_extract", O.sql("SELECT query, example_pos, pos, passage FROM f_qrels", "f_qrels"))
+def q_qrels_extract(spark, sf):
+    return Views(spark, sf).qrels
+
+
+@register("last_wins", O.sql(f"""
+SELECT {O.strip('query')} AS query, max(example_pos) AS example_pos FROM f_ex
+WHERE length({O.strip('query')}) > 5 GROUP BY 1""", "f_ex"))
+def q_last_wins(spark, sf):
+    from vecspark.functions.text import py_strip, stripped_length
+    from vecspark.sources.corpus import last_wins
+    ex = Views(spark, sf).examples
+    q = ex.where(stripped_length("query") > 5).select(py_strip("query").alias("query"), "example_pos")
+    return last_wins(q, ["query"], "example_pos")
+
+
+@register("id_to_passage", O.sql("SELECT query_id, rank, vector_id, passage FROM f_id2p", "f_id2p"))
+def q_id_to_passage(spark, sf):
+    from vecspark.operators.textjoin import id_to_passage
+    v = Views(spark, sf)
+    return id_to_passage(v.retrieved, v.ptexts)
+
+
+@register("results_by_query_text", O.sql("SELECT query, query_id, rank, passage FROM f_restext", "f_restext"))
+def q_results_by_query_text(spark, sf):
+    return Views(spark, sf).results_text
+
+
+@register("judged_queries", O.sql(
+    "SELECT query, rank, passage FROM f_restext WHERE query IN (SELECT query FROM f_qrels)",
+    "f_restext", "f_qrels"))
+def q_judged_queries(spark, sf):
+    from vecspark.operators.ir import judged_queries
+    v = Views(spark, sf)
+    return judged_queries(v.results_text.select("query", "rank", "passage"), v.qrels)
+
+
+@register("judged_recall", O.sql("SELECT k, round(recall, 6) AS recall FROM j_recall", "j_recall"))
+def q_judged_recall(spark, sf):
+    from vecspark.operators.ir import judged_recall
+    v = Views(spark, sf)
+    return judged_recall(v.results_text, v.qrels, (1, 5, 10, 20)).select("k", r6("recall").alias("recall"))
+
+
+@register("mrr", O.sql("SELECT round(mrr, 6) AS mrr FROM j_mrr", "j_mrr"))
+def q_mrr(spark, sf):
+    from vecspark.operators.ir import mrr
+    v = Views(spark, sf)
+    return mrr(v.results_text, v.qrels).select(r6("mrr").alias("mrr"))
+
+
+@register("evaluation_metrics", O.sql(
+    "SELECT database, operation, metric, round(value, 6) AS value, worker_count FROM m_eval", "m_eval"))
+def q_evaluation_metrics(spark, sf):
+    return Views(spark, sf).evaluation_rows.withColumn("value", r6("value")).drop("query_id")

@@ -152,3 +152,77 @@ cte("f_lsh", ["lsh_cand", "f_index", "f_query"], f"""SELECT query_id, rank::INTE
   SELECT c.query_id, c.vector_id, {dot('q.v', 'i.v')} AS s,
          row_number() OVER (PARTITION BY c.query_id ORDER BY {dot('q.v', 'i.v')} DESC, c.vector_id) AS rank
   FROM lsh_cand c JOIN f_query q USING (query_id) JOIN f_index i USING (vector_id)) WHERE rank <= 10""")
+
+
+# -- judged text evaluation ----------------------------------------------------
+N_VEC = "(SELECT count(*) FROM embeddings)"
+cte("f_ex", [], """SELECT conv_id AS example_pos, conv_id AS query_id,
+  arg_min(text, turn) FILTER (WHERE role = 'user') AS query,
+  list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS passage_text,
+  list((turn % 4 = 1)::INTEGER ORDER BY turn) FILTER (WHERE role = 'assistant') AS is_selected
+  FROM conversations GROUP BY conv_id
+  HAVING arg_min(text, turn) FILTER (WHERE role = 'user') IS NOT NULL
+     AND len(list(text ORDER BY turn) FILTER (WHERE role = 'assistant')) > 0""")
+cte("f_pex", ["f_ex"], f"""SELECT example_pos, pos, raw, {strip('raw')} AS text FROM (
+  SELECT example_pos, unnest(range(len(passage_text))) AS pos, unnest(passage_text) AS raw
+  FROM f_ex WHERE example_pos < {N_VEC})
+  WHERE raw IS NOT NULL AND length({strip('raw')}) > 10""")
+cte("f_passages", ["f_pex"], f"""SELECT vector_id, text FROM (
+  SELECT row_number() OVER (ORDER BY example_pos, pos) - 1 AS vector_id, text FROM f_pex)
+  WHERE vector_id < {N_VEC}""")
+cte("f_ptexts", ["f_passages", "sp"], "SELECT vector_id, text FROM f_passages WHERE vector_id < (SELECT c FROM sp)")
+cte("f_qtexts", ["f_ex", "sp"], f"""SELECT query_id, text, example_pos FROM (
+  SELECT example_pos, {strip('query')} AS text, row_number() OVER (ORDER BY example_pos) - 1 AS query_id
+  FROM f_ex WHERE length({strip('query')}) > 5)
+  WHERE query_id < {N_VEC} - (SELECT c FROM sp)""")
+cte("f_rel", ["f_ex"], f"""SELECT example_pos, {strip('query')} AS query, pos::INTEGER AS pos, {strip('raw')} AS passage FROM (
+  SELECT example_pos, query, unnest(range(len(passage_text))) AS pos, unnest(passage_text) AS raw,
+         unnest(is_selected) AS sel FROM f_ex)
+  WHERE length({strip('query')}) > 5 AND sel = 1 AND raw IS NOT NULL AND length({strip('raw')}) > 10""")
+cte("f_qrels", ["f_rel"], """SELECT r.query, r.example_pos, r.pos, r.passage FROM f_rel r
+  JOIN (SELECT query, max(example_pos) AS example_pos FROM f_rel GROUP BY 1) w USING (query, example_pos)""")
+
+
+def hash_embed_ctes(name: str, src: str, id_col: str, dim: int = 64) -> None:
+    """``{name}`` = (id, v DOUBLE[dim]) signed md5 feature-hash counts of ``src.text``."""
+    tok = TOKENS.format(t="text")
+    cte(f"{name}_tok", [src], f"SELECT {id_col} AS id, unnest({tok}) AS tok FROM {src}")
+    cte(f"{name}_cell", [f"{name}_tok"], f"""SELECT id, ({md5_u32('tok')} % {dim})::INTEGER AS b,
+  sum(CASE WHEN {md5_u32('tok', 9, 1)} % 2 = 0 THEN 1 ELSE -1 END) AS w
+  FROM {name}_tok GROUP BY 1, 2""")
+    cte(name, [f"{name}_cell"], f"""SELECT d.id AS {id_col}, list(coalesce(c.w, 0)::DOUBLE ORDER BY r.i) AS v
+  FROM (SELECT DISTINCT id FROM {name}_cell) d CROSS JOIN range({dim}) r(i)
+  LEFT JOIN {name}_cell c ON c.id = d.id AND c.b = r.i GROUP BY d.id""")
+
+
+hash_embed_ctes("f_pvec", "f_ptexts", "vector_id")
+hash_embed_ctes("f_qvec", "f_qtexts", "query_id")
+cte("f_retrieved", ["f_pvec", "f_qvec"], """SELECT query_id, rank::INTEGER AS rank, vector_id, s AS score FROM (
+  SELECT q.query_id, p.vector_id,
+         list_inner_product(q.v, p.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(p.v, p.v))) AS s,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY
+           list_inner_product(q.v, p.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(p.v, p.v))) DESC,
+           p.vector_id) AS rank
+  FROM f_qvec q, f_pvec p
+  WHERE list_inner_product(q.v, q.v) > 0 AND list_inner_product(p.v, p.v) > 0) WHERE rank <= 10""")
+cte("f_id2p", ["f_retrieved", "f_ptexts"], """SELECT r.query_id,
+  row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank)::INTEGER AS rank, r.vector_id, p.text AS passage
+  FROM f_retrieved r JOIN f_ptexts p USING (vector_id)""")
+cte("f_restext", ["f_id2p", "f_qtexts"], """SELECT w.query, i.query_id, i.rank, i.passage FROM f_id2p i
+  JOIN (SELECT text AS query, max(query_id) AS query_id FROM f_qtexts GROUP BY 1) w USING (query_id)""")
+cte("j_rel", ["f_qrels"], "SELECT DISTINCT query, passage FROM f_qrels")
+cte("j_hits", ["f_restext", "j_rel"], """SELECT r.query, r.rank, r.passage, (l.passage IS NOT NULL) AS isrel
+  FROM f_restext r LEFT JOIN j_rel l USING (query, passage)
+  WHERE r.query IN (SELECT query FROM j_rel)""")
+cte("j_recall", ["j_hits", "j_rel"], """SELECT kk.k::INTEGER AS k, coalesce(avg(x.found / n.n_rel), 0.0) AS recall
+  FROM (SELECT unnest([1, 5, 10, 20]) AS k) kk
+  LEFT JOIN (SELECT h.query, kk2.k, count(DISTINCT CASE WHEN h.isrel AND h.rank <= kk2.k THEN h.passage END) AS found
+             FROM j_hits h, (SELECT unnest([1, 5, 10, 20]) AS k) kk2 GROUP BY 1, 2) x ON x.k = kk.k
+  LEFT JOIN (SELECT query, count(*) AS n_rel FROM j_rel GROUP BY 1) n ON n.query = x.query
+  GROUP BY kk.k""")
+cte("j_mrr", ["j_hits"], """SELECT coalesce(avg(coalesce(1.0 / f, 0.0)), 0.0) AS mrr FROM (
+  SELECT query, min(CASE WHEN isrel THEN rank END) AS f FROM j_hits GROUP BY 1)""")
+cte("m_eval", ["j_recall", "j_mrr"], f"""SELECT {FIRST_ENGINE} AS database, 'evaluation' AS operation, metric, value,
+  1::INTEGER AS worker_count, NULL::INTEGER AS query_id FROM (
+  SELECT 'recall@' || k AS metric, recall AS value FROM j_recall UNION ALL
+  SELECT 'mrr', mrr FROM j_mrr)""")
