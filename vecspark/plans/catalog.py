@@ -369,3 +369,129 @@ def q_mrr(spark, sf):
     "SELECT database, operation, metric, round(value, 6) AS value, worker_count FROM m_eval", "m_eval"))
 def q_evaluation_metrics(spark, sf):
     return Views(spark, sf).evaluation_rows.withColumn("value", r6("value")).drop("query_id")
+
+
+# =============================================================================
+# phase 5: corpus creation (sized from the tables)
+# =============================================================================
+
+def _synthetic_sql(n_sql: str) -> str:
+    from vecspark.constants import ACTIONS, OBJECTS, SYNTHETIC_TEMPLATE, TOPICS
+    fmt = (SYNTHETIC_TEMPLATE.replace("{topic}", "%1$s").replace("{action}", "%2$s")
+           .replace("{obj}", "%3$s"))
+    key = "'42:' || id || ':{}'"
+    return f"""SELECT id AS vector_id, printf('{fmt}', {O.pick(TOPICS, key.format('topic'))},
+  {O.pick(ACTIONS, key.format('action'))}, {O.pick(OBJECTS, key.format('object'))}) AS text
+  FROM (SELECT unnest(range({n_sql})) AS id)"""
+
+
+O.cte("f_synth", [], _synthetic_sql("(SELECT count(*) FROM documents)"))
+
+
+@register("synthetic_corpus", O.sql("SELECT vector_id, text FROM f_synth", "f_synth"))
+def q_synthetic_corpus(spark, sf):
+    from vecspark.sources.corpus import synthetic_corpus
+    n = Views(spark, sf).table("documents").count()
+    return synthetic_corpus(spark, n)
+
+
+@register("synthetic_vectors", O.sql(f"""
+WITH g AS (SELECT i AS vector_id, d, {O.gaussian("'42:' || i || ':' || d")} AS z
+  FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS i) a,
+       (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS d) b)
+SELECT vector_id, d::INTEGER AS d, round(z / sqrt(sum(z * z) OVER (PARTITION BY vector_id)), 6) AS value FROM g"""))
+def q_synthetic_vectors(spark, sf):
+    from vecspark.operators.blockscan import vector_dim
+    from vecspark.sources.corpus import synthetic_vectors
+    e = Views(spark, sf).table("embeddings")
+    n, dim = e.count(), vector_dim(e, "embedding")
+    return (synthetic_vectors(spark, n, dim)
+            .select("vector_id", F.posexplode("embedding").alias("d", "x"))
+            .select("vector_id", F.col("d").cast("int").alias("d"), r6("x").alias("value")))
+
+
+@register("placeholder_queries", O.sql(
+    f"SELECT id AS query_id, 'synthetic_query_' || id AS text FROM (SELECT unnest(range(({O.N_VEC} - (SELECT c FROM sp))::BIGINT)) AS id)",
+    "sp"))
+def q_placeholder_queries(spark, sf):
+    from vecspark.sources.corpus import placeholder_texts
+    return placeholder_texts(spark, Views(spark, sf).n_queries, "query")
+
+
+@register("corpus_or_synthetic", O.sql(f"""
+WITH r AS (SELECT doc_id AS vector_id, {O.strip('text')} AS text FROM documents WHERE length({O.strip('text')}) > 10)
+SELECT vector_id, text FROM r UNION ALL
+SELECT vector_id, text FROM f_synth WHERE NOT EXISTS (SELECT 1 FROM r)""", "f_synth"))
+def q_corpus_or_synthetic(spark, sf):
+    from vecspark.sources.corpus import corpus_or_synthetic, passage_field_fallback, synthetic_corpus
+    v = Views(spark, sf)
+    docs = v.table("documents")
+    real = passage_field_fallback(docs, id_col="doc_id").withColumnRenamed("doc_id", "vector_id")
+    return corpus_or_synthetic(real, synthetic_corpus(spark, docs.count()))
+
+
+O.cte("f_docs", [], f"SELECT doc_id, {O.strip('text')} AS text FROM documents WHERE length({O.strip('text')}) > 10")
+O.hash_embed_ctes("f_dvec", "f_docs", "doc_id")
+
+
+@register("embed_text_hash", O.sql("""
+SELECT doc_id, d::INTEGER AS d, round(w / sqrt(list_inner_product(v, v)), 6) AS weight FROM (
+  SELECT doc_id, v, unnest(range(len(v))) AS d, unnest(v) AS w FROM f_dvec) WHERE w <> 0""", "f_dvec"))
+def q_embed_text_hash(spark, sf):
+    from vecspark.operators.embed import hash_embed
+    from vecspark.sources.corpus import passage_field_fallback
+    docs = passage_field_fallback(Views(spark, sf).table("documents"), id_col="doc_id")
+    vec = hash_embed(docs, id_col="doc_id", dim=64).select("doc_id", l2_normalize("embedding").alias("u"),
+                                                            "embedding")
+    return (vec.select("doc_id", F.posexplode(F.arrays_zip("embedding", "u")).alias("d", "z"))
+            .where(F.col("z.embedding") != 0)
+            .select("doc_id", F.col("d").cast("int").alias("d"), r6(F.col("z.u")).alias("weight")))
+
+
+# =============================================================================
+# phase 6: performance rows (events as a latency table)
+# =============================================================================
+
+_LAT_COLS = ["p50_ms", "p95_ms", "p99_ms", "mean_ms", "std_ms", "min_ms", "max_ms"]
+
+
+@register("latency_stats", O.sql(
+    "SELECT engine, worker_count, " + ", ".join(f"round({c}, 6) AS {c}" for c in _LAT_COLS) + " FROM f_lstats",
+    "f_lstats"))
+def q_latency_stats(spark, sf):
+    from vecspark.operators.perf import latency_stats
+    s = latency_stats(Views(spark, sf).lat)
+    return s.select("engine", "worker_count", *[r6(c).alias(c) for c in _LAT_COLS])
+
+
+@register("throughput", O.sql("SELECT engine, worker_count, round(qps, 6) AS qps FROM f_lstats", "f_lstats"))
+def q_throughput(spark, sf):
+    from vecspark.operators.perf import throughput
+    return throughput(Views(spark, sf).lat).withColumn("qps", r6("qps"))
+
+
+@register("performance_metrics", O.sql(
+    "SELECT database, operation, metric, round(value, 6) AS value, worker_count FROM m_perf", "m_perf"))
+def q_performance_metrics(spark, sf):
+    return Views(spark, sf).perf_rows.withColumn("value", r6("value")).drop("query_id")
+
+
+@register("indexing_metrics", O.sql(
+    "SELECT database, operation, metric, round(value, 6) AS value, worker_count FROM m_index", "m_index"))
+def q_indexing_metrics(spark, sf):
+    return Views(spark, sf).index_rows.withColumn("value", r6("value")).drop("query_id")
+
+
+@register("scaling_efficiency", O.sql("""
+WITH t AS (SELECT * FROM m_perf WHERE operation = 'throughput' AND metric = 'qps'),
+     s AS (SELECT database, avg(value) AS single_qps FROM t WHERE worker_count = 1 GROUP BY 1),
+     m AS (SELECT database, worker_count, avg(value) AS multi_qps FROM t WHERE worker_count > 1 GROUP BY 1, 2)
+SELECT m.database, m.worker_count, round(s.single_qps, 6) AS single_qps, round(m.multi_qps, 6) AS multi_qps,
+       round(CASE WHEN s.single_qps <> 0 AND s.single_qps * m.worker_count > 0
+                  THEN m.multi_qps / (s.single_qps * m.worker_count) * 100.0 ELSE 0.0 END, 6) AS efficiency_pct
+FROM m JOIN s USING (database)""", "m_perf"))
+def q_scaling_efficiency(spark, sf):
+    from vecspark.operators.perf import scaling_efficiency
+    s = scaling_efficiency(Views(spark, sf).perf_rows)
+    return s.select("database", "worker_count", r6("single_qps").alias("single_qps"),
+                    r6("multi_qps").alias("multi_qps"), r6("efficiency_pct").alias("efficiency_pct"))

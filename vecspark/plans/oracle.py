@@ -80,9 +80,13 @@ def sql(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
+    body = body.strip()
     if not order:
-        return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body.strip()
+        return body
+    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    if body[:5].upper() == "WITH ":        # merge the statement's own CTEs
+        return head + ",\n" + body[5:]
+    return head + "\n" + body
 
 
 # -- IR metrics over long ranked lists ----------------------------------------
@@ -226,3 +230,34 @@ cte("m_eval", ["j_recall", "j_mrr"], f"""SELECT {FIRST_ENGINE} AS database, 'eva
   1::INTEGER AS worker_count, NULL::INTEGER AS query_id FROM (
   SELECT 'recall@' || k AS metric, recall AS value FROM j_recall UNION ALL
   SELECT 'mrr', mrr FROM j_mrr)""")
+
+
+# -- generators -----------------------------------------------------------------
+def pick(words, key_sql: str) -> str:
+    arr = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    return f"{arr}[({md5_u32(key_sql)} % {len(words)}) + 1]"
+
+
+# -- measurements -----------------------------------------------------------------
+cte("f_lat", [], """SELECT event_type AS engine, [1, 4, 8, 16][user_id % 4 + 1]::INTEGER AS worker_count,
+  event_id AS query_id, value / 1000.0 AS latency_s FROM events""")
+cte("f_lstats", ["f_lat"], """SELECT engine, worker_count,
+  quantile_cont(latency_s * 1000.0, 0.5) AS p50_ms, quantile_cont(latency_s * 1000.0, 0.95) AS p95_ms,
+  quantile_cont(latency_s * 1000.0, 0.99) AS p99_ms, avg(latency_s * 1000.0) AS mean_ms,
+  stddev_pop(latency_s * 1000.0) AS std_ms, min(latency_s * 1000.0) AS min_ms, max(latency_s * 1000.0) AS max_ms,
+  CASE WHEN sum(latency_s) > 0 THEN count(*) / sum(latency_s) ELSE 0.0 END AS qps
+  FROM f_lat GROUP BY 1, 2""")
+_PERF_METRICS = ["p50_ms", "p95_ms", "p99_ms", "mean_ms", "std_ms", "min_ms", "max_ms", "qps"]
+cte("m_perf", ["f_lstats"], " UNION ALL ".join(
+    f"""SELECT engine AS database, '{'throughput' if m == 'qps' else 'latency'}' AS operation, '{m}' AS metric,
+  {m} AS value, worker_count, NULL::INTEGER AS query_id FROM f_lstats""" for m in _PERF_METRICS))
+cte("f_load", ["f_lat"], f"""SELECT engine AS database, sum(latency_s) AS insert_time, max(latency_s) AS index_time,
+  CASE WHEN engine = {FIRST_ENGINE} THEN max(latency_s) * 1000.0 END AS memory_mb
+  FROM f_lat WHERE worker_count = 1 GROUP BY engine""")
+cte("m_index", ["f_load"], """
+  SELECT database, 'index' AS operation, 'insert_time' AS metric, insert_time AS value, 1::INTEGER AS worker_count, NULL::INTEGER AS query_id FROM f_load UNION ALL
+  SELECT database, 'index', 'index_time', index_time, 1, NULL FROM f_load UNION ALL
+  SELECT database, 'index', 'total_time', insert_time + index_time, 1, NULL FROM f_load UNION ALL
+  SELECT database, 'memory', 'usage_mb', memory_mb, 1, NULL FROM f_load WHERE memory_mb IS NOT NULL""")
+cte("f_results", ["m_perf", "m_index", "m_quality", "m_eval"], """
+  SELECT * FROM m_perf UNION ALL SELECT * FROM m_index UNION ALL SELECT * FROM m_quality UNION ALL SELECT * FROM m_eval""")
