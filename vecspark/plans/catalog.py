@@ -495,3 +495,200 @@ def q_scaling_efficiency(spark, sf):
     s = scaling_efficiency(Views(spark, sf).perf_rows)
     return s.select("database", "worker_count", r6("single_qps").alias("single_qps"),
                     r6("multi_qps").alias("multi_qps"), r6("efficiency_pct").alias("efficiency_pct"))
+
+
+# =============================================================================
+# phase 7: measurement table and reports
+# =============================================================================
+
+def _results(spark, sf) -> DataFrame:
+    return Views(spark, sf).results
+
+
+@register("results_union", O.sql(
+    "SELECT database, operation, metric, round(value, 6) AS value, worker_count FROM f_results", "f_results"))
+def q_results_union(spark, sf):
+    return _results(spark, sf).withColumn("value", r6("value")).drop("query_id")
+
+
+@register("results_filter", O.sql("""
+SELECT database, round(value, 6) AS value FROM f_results
+WHERE operation = 'latency' AND metric = 'p50_ms' AND worker_count = 1""", "f_results"))
+def q_results_filter(spark, sf):
+    from vecspark.plans.reports import results_filter
+    return results_filter(_results(spark, sf), "latency", "p50_ms", 1).select("database", r6("value").alias("value"))
+
+
+@register("results_catalog", O.sql("""
+SELECT 'database' AS kind, database AS name, count(*) AS n_rows FROM f_results GROUP BY database UNION ALL
+SELECT 'operation', operation, count(*) FROM f_results GROUP BY operation""", "f_results"))
+def q_results_catalog(spark, sf):
+    from vecspark.plans.reports import results_catalog
+    return results_catalog(_results(spark, sf))
+
+
+@register("results_roundtrip", O.sql(
+    "SELECT database, operation, metric, round(value, 6) AS value, worker_count, query_id FROM f_results", "f_results"))
+def q_results_roundtrip(spark, sf):
+    from vecspark.session import scratch_path
+    from vecspark.sources.results_io import read_results_csv, write_results_csv
+    path = scratch_path(spark, "results-csv")
+    write_results_csv(_results(spark, sf), path)
+    back = read_results_csv(spark, path)
+    # query_id is null in every row: compare it as a string column
+    return back.withColumn("value", r6("value")).withColumn("query_id", F.col("query_id").cast("int"))
+
+
+O.cte("cls", [], """SELECT event_id, 'vdb-' || ['Postgres', 'WEAVIATE', 'qdrant', 'redis'][user_id % 4 + 1]
+  || '-' || (user_id % 3) AS container FROM events""")
+
+
+@register("engine_classify", O.sql("""
+SELECT event_id, container, CASE WHEN contains(lower(container), 'postgres') THEN 'postgres'
+  WHEN contains(lower(container), 'weaviate') THEN 'weaviate'
+  WHEN contains(lower(container), 'qdrant') THEN 'qdrant' END AS engine
+FROM cls WHERE contains(lower(container), 'postgres') OR contains(lower(container), 'weaviate')
+  OR contains(lower(container), 'qdrant')""", "cls"))
+def q_engine_classify(spark, sf):
+    from vecspark.plans.reports import engine_classify
+    ev = Views(spark, sf).table("events")
+    names = F.element_at(F.array(*[F.lit(x) for x in ("Postgres", "WEAVIATE", "qdrant", "redis")]),
+                         (F.col("user_id") % 4 + 1).cast("int"))
+    c = ev.select("event_id", F.concat(F.lit("vdb-"), names, F.lit("-"),
+                                       (F.col("user_id") % 3).cast("string")).alias("container"))
+    return engine_classify(c, "container")
+
+
+def _pivot_sql(where: str, index: str, decimals: int) -> str:
+    return O.sql(f"""SELECT * FROM (PIVOT (SELECT {index}, database, value FROM f_results WHERE {where})
+  ON database USING round(avg(value), {decimals}) GROUP BY {index})""", "f_results")
+
+
+@register("summary_pivot", _pivot_sql("operation = 'latency' AND metric = 'p50_ms'", "worker_count", 3))
+def q_summary_pivot(spark, sf):
+    from vecspark.plans.reports import summary_pivot
+    return summary_pivot(_results(spark, sf), "latency", "p50_ms")
+
+
+@register("latency_pivot", _pivot_sql("operation = 'latency' AND worker_count = 1", "metric", 2))
+def q_latency_pivot(spark, sf):
+    from vecspark.plans.reports import latency_pivot
+    return latency_pivot(_results(spark, sf))
+
+
+@register("throughput_pivot", _pivot_sql("operation = 'throughput' AND metric = 'qps'", "worker_count", 1))
+def q_throughput_pivot(spark, sf):
+    from vecspark.plans.reports import throughput_pivot
+    return throughput_pivot(_results(spark, sf))
+
+
+@register("quality_pivot", _pivot_sql(
+    "operation = 'quality' AND (starts_with(metric, 'recall') OR starts_with(metric, 'mAP'))", "metric", 4))
+def q_quality_pivot(spark, sf):
+    from vecspark.plans.reports import quality_pivot
+    return quality_pivot(_results(spark, sf))
+
+
+@register("report_indexing", O.sql("""
+SELECT database,
+  round(avg(value) FILTER (WHERE operation = 'index' AND metric = 'total_time'), 6) AS index_time_s,
+  round(avg(value) FILTER (WHERE operation = 'memory' AND metric = 'usage_mb'), 6) AS memory_mb
+FROM f_results WHERE (operation = 'index' AND metric = 'total_time') OR (operation = 'memory' AND metric = 'usage_mb')
+GROUP BY database""", "f_results"))
+def q_report_indexing(spark, sf):
+    from vecspark.plans.reports import report_indexing
+    r = report_indexing(_results(spark, sf))
+    return r.select("database", r6("index_time_s").alias("index_time_s"), r6("memory_mb").alias("memory_mb"))
+
+
+@register("report_scaling", O.sql("""
+SELECT database, worker_count, round(log2(worker_count), 6) AS log2_workers, round(value, 6) AS qps
+FROM f_results WHERE operation = 'throughput' AND metric = 'qps'""", "f_results"))
+def q_report_scaling(spark, sf):
+    from vecspark.plans.reports import report_scaling
+    r = report_scaling(_results(spark, sf))
+    return r.select("database", "worker_count", r6("log2_workers").alias("log2_workers"), r6("qps").alias("qps"))
+
+
+@register("metric_titles", O.sql("""
+SELECT database, metric,
+  list_aggr(list_transform(string_split(replace(metric, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title,
+  round(value, 6) AS value
+FROM f_results WHERE operation = 'latency' AND worker_count = 1 AND metric IN ('p50_ms', 'p95_ms', 'p99_ms')""",
+    "f_results"))
+def q_metric_titles(spark, sf):
+    from vecspark.plans.reports import metric_titles
+    return metric_titles(_results(spark, sf)).withColumn("value", r6("value"))
+
+
+@register("latency_vs_quality", O.sql("""
+WITH l AS (SELECT database, arg_min(value, worker_count) AS p50_ms FROM f_results
+           WHERE operation = 'latency' AND metric = 'p50_ms' AND worker_count = 1 GROUP BY 1),
+     q AS (SELECT database, arg_min(value, worker_count) AS recall_at_10 FROM f_results
+           WHERE operation = 'quality' AND metric = 'recall@10' GROUP BY 1)
+SELECT database, round(p50_ms, 6) AS p50_ms, round(recall_at_10, 6) AS recall_at_10,
+  CASE WHEN recall_at_10 >= 0.9 AND p50_ms <= 10 THEN 'fast_accurate' WHEN recall_at_10 >= 0.9 THEN 'slow_accurate'
+       WHEN p50_ms <= 10 THEN 'fast_inaccurate' ELSE 'slow_inaccurate' END AS quadrant
+FROM l JOIN q USING (database)""", "f_results"))
+def q_latency_vs_quality(spark, sf):
+    from vecspark.plans.reports import latency_vs_quality
+    r = latency_vs_quality(_results(spark, sf))
+    return r.select("database", r6("p50_ms").alias("p50_ms"), r6("recall_at_10").alias("recall_at_10"), "quadrant")
+
+
+def _matrix_sql() -> str:
+    from vecspark.constants import HEATMAP_METRICS
+    parts = []
+    for label, op, met in HEATMAP_METRICS:
+        cond = f"operation = '{op}' AND metric = '{met}'"
+        if op == "throughput":
+            agg = f"max(value) FILTER (WHERE {cond})"
+        else:
+            if op == "latency":
+                cond += " AND worker_count = 1"
+            agg = f"arg_min(value, worker_count) FILTER (WHERE {cond})"
+        parts.append(f"SELECT '{label}' AS metric, database, coalesce({agg}, 0.0) AS value FROM f_results GROUP BY database")
+    return " UNION ALL ".join(parts)
+
+
+O.cte("f_matrix", ["f_results"], _matrix_sql())
+
+
+@register("performance_matrix", O.sql("SELECT metric, database, round(value, 6) AS value FROM f_matrix", "f_matrix"))
+def q_performance_matrix(spark, sf):
+    from vecspark.plans.reports import performance_matrix
+    return performance_matrix(_results(spark, sf)).withColumn("value", r6("value"))
+
+
+@register("performance_normalized", O.sql(f"""
+SELECT metric, database, round(CASE WHEN metric IN ({', '.join(repr(x) for x in __import__('vecspark.constants', fromlist=['x']).HEATMAP_HIGHER_BETTER)})
+  THEN value / nullif(max(value) OVER (PARTITION BY metric), 0)
+  ELSE 1 - value / nullif(max(value) OVER (PARTITION BY metric), 0) END, 6) AS score FROM f_matrix""", "f_matrix"))
+def q_performance_normalized(spark, sf):
+    from vecspark.plans.reports import performance_matrix, performance_normalized
+    return performance_normalized(performance_matrix(_results(spark, sf))).withColumn("score", r6("score"))
+
+
+def _scorecard_sql() -> str:
+    def pick(op, met, wc1=False):
+        cond = f"operation = '{op}' AND metric = '{met}'" + (" AND worker_count = 1" if wc1 else "")
+        return f"arg_min(value, worker_count) FILTER (WHERE {cond})"
+    cols = [f"round({pick('index', 'total_time')}, 6) AS total_time_s",
+            f"round({pick('memory', 'usage_mb')}, 6) AS memory_mb",
+            f"round({pick('latency', 'p50_ms', True)}, 6) AS p50_ms",
+            f"round({pick('latency', 'p95_ms', True)}, 6) AS p95_ms",
+            f"round({pick('latency', 'p99_ms', True)}, 6) AS p99_ms",
+            "round(arg_max(value, worker_count) FILTER (WHERE operation = 'throughput' AND metric = 'qps'), 6) AS max_workers_qps",
+            f"round({pick('quality', 'recall@1')}, 6) AS recall_at_1",
+            f"round({pick('quality', 'recall@10')}, 6) AS recall_at_10",
+            f"round({pick('quality', 'mAP@10')}, 6) AS map_at_10"]
+    cols += [f"round({pick('evaluation', f'recall@{k}')}, 6) AS eval_recall_at_{k}" for k in (1, 5, 10, 20)]
+    cols.append(f"round({pick('evaluation', 'mrr')}, 6) AS eval_mrr")
+    return "SELECT database, " + ", ".join(cols) + " FROM f_results GROUP BY database"
+
+
+@register("engine_scorecard", O.sql(_scorecard_sql(), "f_results"))
+def q_engine_scorecard(spark, sf):
+    from vecspark.plans.reports import engine_scorecard
+    s = engine_scorecard(_results(spark, sf))
+    return s.select("database", *[r6(c).alias(c) for c in s.columns if c != "database"])
