@@ -692,3 +692,136 @@ def q_engine_scorecard(spark, sf):
     from vecspark.plans.reports import engine_scorecard
     s = engine_scorecard(_results(spark, sf))
     return s.select("database", *[r6(c).alias(c) for c in s.columns if c != "database"])
+
+
+# =============================================================================
+# phase 8: vector-table writes (write -> read back -> compare)
+# =============================================================================
+
+def _table_summary(df: DataFrame) -> DataFrame:
+    return df.select(F.col("vector_id").cast("int").alias("vector_id"), "metadata",
+                     F.size("embedding").alias("dims"),
+                     r6(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0),
+                                    lambda a, x: a + x)).alias("emb_sum"))
+
+
+_TABLE_SUMMARY_SQL = """SELECT vector_id::INTEGER AS vector_id, to_json({'id': vector_id::INTEGER})::VARCHAR AS metadata,
+  len(embedding)::INTEGER AS dims, round(list_sum(embedding::DOUBLE[]), 6) AS emb_sum FROM f_index"""
+
+
+@register("vector_table_overwrite", O.sql(_TABLE_SUMMARY_SQL, "f_index"))
+def q_vector_table_overwrite(spark, sf):
+    from vecspark.session import scratch_path
+    from vecspark.sinks import vector_table as vt
+    v = Views(spark, sf)
+    root = scratch_path(spark, "vectors")
+    vt.overwrite(vt.to_vector_table(v.table("embeddings"), id_col="vec_id"), root)   # stale content
+    vt.overwrite(vt.to_vector_table(v.index), root)                                 # replaced entirely
+    return _table_summary(vt.read(spark, root))
+
+
+@register("vector_table_documents", O.sql(
+    "SELECT vector_id::INTEGER AS vector_id, 'Document ' || vector_id AS text FROM f_index", "f_index"))
+def q_vector_table_documents(spark, sf):
+    from vecspark.session import scratch_path
+    from vecspark.sinks import vector_table as vt
+    v = Views(spark, sf)
+    root = scratch_path(spark, "documents")
+    vt.overwrite(vt.with_document_text(vt.to_vector_table(v.index)), root)
+    return vt.read(spark, root).select("vector_id", "text")
+
+
+@register("vector_table_upsert", O.sql("""
+WITH u AS (SELECT vec_id AS vector_id, embedding FROM embeddings WHERE label < 5)
+SELECT vector_id::INTEGER AS vector_id, to_json({'id': vector_id::INTEGER, 'rev': 2})::VARCHAR AS metadata,
+       len(embedding)::INTEGER AS dims FROM u
+UNION ALL
+SELECT vector_id::INTEGER, to_json({'id': vector_id::INTEGER})::VARCHAR, len(embedding)::INTEGER
+FROM f_index WHERE vector_id NOT IN (SELECT vector_id FROM u)""", "f_index"))
+def q_vector_table_upsert(spark, sf):
+    from vecspark.session import scratch_path
+    from vecspark.sinks import vector_table as vt
+    v = Views(spark, sf)
+    root = scratch_path(spark, "upsert")
+    vt.overwrite(vt.to_vector_table(v.index), root)
+    upd = v.table("embeddings").where(F.col("label") < 5)
+    meta = F.to_json(F.struct(F.col("vec_id").cast("int").alias("id"), F.lit(2).alias("rev")))
+    batch = vt.to_vector_table(upd, id_col="vec_id", metadata=meta)
+    vt.upsert(batch, root, 1)
+    vt.upsert(batch, root, 1)          # a retried batch: idempotent
+    return vt.read(spark, root).select("vector_id", "metadata", F.size("embedding").alias("dims"))
+
+
+@register("dimension_check", O.sql("""
+WITH d AS (SELECT max(len(embedding)) AS dim FROM embeddings),
+     x AS (SELECT vec_id, CASE WHEN label = 0 THEN embedding[1:len(embedding) - 1]
+                              WHEN label = 1 THEN list_transform(embedding, lambda e: 0.0::FLOAT)
+                              ELSE embedding END AS v FROM embeddings)
+SELECT vec_id,
+  CASE WHEN v IS NULL OR len(v) <> (SELECT dim FROM d) OR list_inner_product(v::DOUBLE[], v::DOUBLE[]) = 0
+       THEN 'rejected' ELSE 'valid' END AS status,
+  CASE WHEN v IS NULL THEN 'null' WHEN len(v) <> (SELECT dim FROM d) THEN 'dimension'
+       WHEN list_inner_product(v::DOUBLE[], v::DOUBLE[]) = 0 THEN 'zero_norm' END AS reason
+FROM x"""))
+def q_dimension_check(spark, sf):
+    from vecspark.operators.blockscan import vector_dim
+    from vecspark.sinks.vector_table import dimension_check
+    e = Views(spark, sf).table("embeddings")
+    dim = e.select(F.max(F.size("embedding"))).first()[0]
+    v = (F.when(F.col("label") == 0, F.slice("embedding", 1, F.size("embedding") - 1))
+         .when(F.col("label") == 1, F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+         .otherwise(F.col("embedding")))
+    return dimension_check(e.select("vec_id", v.alias("v")), int(dim), vec_col="v").select("vec_id", "status", "reason")
+
+
+@register("metadata_json", O.sql("""
+SELECT vector_id::INTEGER AS vector_id, to_json({'id': vector_id::INTEGER})::VARCHAR AS metadata,
+  to_json({'vector_id': vector_id::INTEGER, 'metadata': {'id': vector_id::INTEGER}})::VARCHAR AS payload FROM f_index""",
+    "f_index"))
+def q_metadata_json(spark, sf):
+    from vecspark.sinks.vector_table import metadata_json, payload
+    return Views(spark, sf).index.select(F.col("vector_id").cast("int").alias("vector_id"),
+                                         metadata_json().alias("metadata"), F.to_json(payload()).alias("payload"))
+
+
+@register("ingest_batches", O.sql("""
+SELECT (vector_id // 100)::BIGINT AS batch, count(*) AS n_rows, min(vector_id) AS min_id, max(vector_id) AS max_id
+FROM f_index GROUP BY 1""", "f_index"))
+def q_ingest_batches(spark, sf):
+    from vecspark.sinks.vector_table import ingest_batches
+    return ingest_batches(Views(spark, sf).index)
+
+
+# =============================================================================
+# phase 9: streaming (file stream -> foreachBatch), results equal the batch ones
+# =============================================================================
+
+def _stage_files(df: DataFrame, path: str, files: int, key: str) -> None:
+    """Write ``df`` as several files so the stream sees several micro-batches."""
+    df.repartitionByRange(files, key).write.mode("overwrite").parquet(path)
+
+
+@register("stream_ingest", O.sql(_TABLE_SUMMARY_SQL, "f_index"))
+def q_stream_ingest(spark, sf):
+    from vecspark.session import scratch_path
+    from vecspark.sinks import vector_table as vt
+    from vecspark.streaming.jobs import stream_ingest
+    v = Views(spark, sf)
+    src, root, ck = (scratch_path(spark, n) for n in ("ingest-src", "ingest-table", "ingest-ck"))
+    _stage_files(v.index, src, 4, "vector_id")
+    q = stream_ingest(spark, src, v.index.schema, root, ck)
+    q.awaitTermination()
+    return _table_summary(vt.read(spark, root))
+
+
+@register("stream_search", O.sql(
+    "SELECT query_id, rank, vector_id, round(score, 4) AS score FROM f_gt", "f_gt"))
+def q_stream_search(spark, sf):
+    from vecspark.session import scratch_path
+    from vecspark.streaming.jobs import stream_search
+    v = Views(spark, sf)
+    src, out, ck = (scratch_path(spark, n) for n in ("search-src", "search-out", "search-ck"))
+    _stage_files(v.queries, src, 3, "query_id")
+    q = stream_search(spark, v.index, src, v.queries.schema, out, ck, 10)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("query_id", "rank", "vector_id", r6("score", 4).alias("score"))
