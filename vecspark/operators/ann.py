@@ -16,6 +16,7 @@ LSH
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from vecspark.functions.hashing import gaussian
 from vecspark.operators.blockscan import (
-    DEFAULT_MAX_CHUNK_BYTES, block_knn, list_matrix, vector_dim,
+    DEFAULT_MAX_CHUNK_BYTES, block_knn, frame_stats, list_matrix, vector_dim,
 )
 from vecspark.operators.knn import knn_exact
 
@@ -69,14 +70,24 @@ def ivf_fit(index: DataFrame, nlist: int = 100, *, vec_col: str = "embedding", s
                       .otherwise(F.col("centroid")).alias("centroid"))
 
 
+_CENTROIDS: "weakref.WeakKeyDictionary[DataFrame, tuple]" = weakref.WeakKeyDictionary()
+
+
 def collect_centroids(centroids: DataFrame, max_bytes: int = MAX_CENTROID_BYTES):
-    """Bounded fetch of the centroid table (nlist x dim), ordered by list_id."""
-    dim = vector_dim(centroids, "centroid")
-    n = centroids.count()
+    """Bounded fetch of the centroid table (nlist x dim), ordered by list_id.
+
+    Memoized per centroid DataFrame, so assignment and probing share one fetch.
+    """
+    hit = _CENTROIDS.get(centroids)
+    if hit is not None:
+        return hit
+    n, dim = frame_stats(centroids, "centroid")
     if n * dim * 8 > max_bytes:
         raise ValueError(f"{n} centroids x {dim} dims exceed {max_bytes} bytes")
     t = centroids.select("list_id", "centroid").orderBy("list_id").toArrow()
-    return t.column("list_id").to_numpy().astype(np.int64), list_matrix(t.column("centroid"), dim)
+    out = (t.column("list_id").to_numpy().astype(np.int64), list_matrix(t.column("centroid"), dim))
+    _CENTROIDS[centroids] = out
+    return out
 
 
 def _int_list_array(m: np.ndarray) -> pa.Array:
@@ -151,8 +162,7 @@ def lsh_planes(spark: SparkSession, dim: int, bands: int, bits: int, seed: int =
 
 
 def collect_planes(planes: DataFrame, max_bytes: int = MAX_CENTROID_BYTES) -> np.ndarray:
-    dim = vector_dim(planes, "normal")
-    n = planes.count()
+    n, dim = frame_stats(planes, "normal")
     if n * dim * 8 > max_bytes:
         raise ValueError("hyperplane table exceeds the broadcast bound")
     t = planes.orderBy("plane").toArrow()

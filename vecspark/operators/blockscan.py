@@ -261,23 +261,25 @@ def make_scorer(bc, k: int, dim: int, id_col: str, vec_col: str, list_col: str |
 # driver side: chunking and plan assembly
 # ---------------------------------------------------------------------------
 
-def vector_dim(df: DataFrame, vec_col: str) -> int:
-    """The (single) vector length of a column; raises on mixed lengths."""
-    r = df.select(F.min(F.size(vec_col)).alias("lo"), F.max(F.size(vec_col)).alias("hi")).first()
-    if r is None or r["lo"] is None:
-        return 0
+def frame_stats(df: DataFrame, vec_col: str) -> tuple[int, int]:
+    """(row count, vector length) in one job; raises on mixed lengths."""
+    r = df.select(F.count(F.lit(1)).alias("n"), F.min(F.size(vec_col)).alias("lo"),
+                  F.max(F.size(vec_col)).alias("hi")).first()
+    if r is None or not r["n"]:
+        return 0, 0
     if r["lo"] != r["hi"]:
         raise ValueError(f"{vec_col}: mixed vector lengths {r['lo']}..{r['hi']}; run dimension_check first")
-    return int(r["lo"])
+    return int(r["n"]), int(r["lo"])
+
+
+def vector_dim(df: DataFrame, vec_col: str) -> int:
+    return frame_stats(df, vec_col)[1]
 
 
-def plan_chunks(queries: DataFrame, qid_col: str, dim: int, side_bytes_per_row: int,
-                max_chunk_bytes: int) -> tuple[int, int]:
-    """(row count, number of chunks) so that every chunk fits the byte bound."""
-    n = queries.count()
+def n_chunks_for(n: int, dim: int, side_bytes_per_row: int, max_chunk_bytes: int) -> int:
+    """Number of query chunks so that every broadcast chunk fits the byte bound."""
     per_row = 8 * dim + 8 + side_bytes_per_row
-    chunks = max(1, math.ceil(n * per_row / max_chunk_bytes))
-    return n, chunks
+    return max(1, math.ceil(n * per_row / max_chunk_bytes))
 
 
 def fetch_chunk(queries: DataFrame, qid_col: str, vec_col: str, dim: int,
@@ -320,10 +322,10 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     (zero vectors are skipped); otherwise the score is the plain dot product.
     """
     spark: SparkSession = index.sparkSession
-    dim = vector_dim(queries, qvec_col)
+    n, dim = frame_stats(queries, qvec_col)
     side = [c for c in (probe_col, key_col) if c]
     side_bytes = 8 * 64 * len(side)
-    _, n_chunks = plan_chunks(queries, qid_col, dim, side_bytes, max_chunk_bytes)
+    n_chunks = n_chunks_for(n, dim, side_bytes, max_chunk_bytes)
     idx_cols = [F.col(id_col).cast("long").alias(id_col), F.col(vec_col)]
     if list_col:
         idx_cols.append(F.col(list_col))

@@ -55,10 +55,9 @@ class Views:
 
     # -- vectors ---------------------------------------------------------
     @cached_property
-    def split_point(self):
-        """floor(0.8 * n) as a scalar-subquery column (one count, no join)."""
-        n = self.table("embeddings").select(F.count(F.lit(1))).scalar()
-        return F.floor(n * F.lit(INDEX_FRACTION))
+    def split_point(self) -> int:
+        """int(0.8 * n): one count, then a literal in every plan that uses it."""
+        return int(INDEX_FRACTION * self.n_vectors)
 
     @cached_property
     def index(self) -> DataFrame:
@@ -143,7 +142,7 @@ class Views:
 
     @cached_property
     def n_queries(self) -> int:
-        return self.n_vectors - int(INDEX_FRACTION * self.n_vectors)
+        return self.n_vectors - self.split_point
 
     @cached_property
     def examples(self) -> DataFrame:
@@ -156,7 +155,7 @@ class Views:
     @cached_property
     def ptexts(self) -> DataFrame:
         """The indexed passages: the first int(0.8 * n_vectors) positions."""
-        return self.passages.where(F.col("vector_id") < int(INDEX_FRACTION * self.n_vectors))
+        return self.passages.where(F.col("vector_id") < self.split_point)
 
     @cached_property
     def qtexts(self) -> DataFrame:

@@ -9,7 +9,16 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations"]
 
 
+_CACHE: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a (lazy) DataFrame; the resolved relation (file listing and
+    footer schema) is kept per session like a catalog entry."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _CACHE:
+        _CACHE[key] = spark.read.parquet(path)
+    return _CACHE[key]
