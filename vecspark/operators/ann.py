@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecspark.session import ship_library
+
 from vecspark.functions.hashing import gaussian
 from vecspark.operators.blockscan import (
     DEFAULT_MAX_CHUNK_BYTES, block_knn, frame_stats, list_matrix, vector_dim,
@@ -99,6 +101,7 @@ def _int_list_array(m: np.ndarray) -> pa.Array:
 def ivf_assign(index: DataFrame, centroids: DataFrame, *, vec_col: str = "embedding",
                out_col: str = "list_id") -> DataFrame:
     """Add the nearest centroid's ``list_id`` (ties: lower list id). Map-only."""
+    ship_library(index.sparkSession)
     lids, C = collect_centroids(centroids)
     dim = C.shape[1]
     schema = T.StructType(index.schema.fields + [T.StructField(out_col, T.IntegerType())])
@@ -117,6 +120,7 @@ def ivf_assign(index: DataFrame, centroids: DataFrame, *, vec_col: str = "embedd
 def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int, *,
                vec_col: str = "embedding", out_col: str = "probes") -> DataFrame:
     """Add the ``nprobe`` best list ids per query (score desc, list id asc)."""
+    ship_library(queries.sparkSession)
     lids, C = collect_centroids(centroids)
     dim = C.shape[1]
     p = min(nprobe, len(lids))
@@ -173,6 +177,7 @@ def lsh_keys(df: DataFrame, planes: np.ndarray, bands: int, bits: int, *,
              vec_col: str = "embedding", out_col: str = "band_keys") -> DataFrame:
     """Add per-band bucket keys (bit j of band b = sign of the plane b*bits+j)."""
     from vecspark.operators.blockscan import band_keys
+    ship_library(df.sparkSession)
     dim = planes.shape[1]
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.LongType()))])
 

@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecspark.session import ship_library
+
 SCORED_SCHEMA = "query_id long, vector_id long, score double"
 # bytes of one broadcast query chunk (float64 vectors + side columns)
 DEFAULT_MAX_CHUNK_BYTES = 256 * 1024 * 1024
@@ -322,8 +324,12 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     (zero vectors are skipped); otherwise the score is the plain dot product.
     """
     spark: SparkSession = index.sparkSession
-    n, dim = frame_stats(queries, qvec_col)
+    ship_library(spark)
     side = [c for c in (probe_col, key_col) if c]
+    # the query side is read twice on the driver path (size check, fetch):
+    # keep it for the duration of this call only
+    queries = queries.select(qid_col, qvec_col, *side).persist()
+    n, dim = frame_stats(queries, qvec_col)
     side_bytes = 8 * 64 * len(side)
     n_chunks = n_chunks_for(n, dim, side_bytes, max_chunk_bytes)
     idx_cols = [F.col(id_col).cast("long").alias(id_col), F.col(vec_col)]
@@ -350,6 +356,7 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
             ch.qnorm = qn
         bc = spark.sparkContext.broadcast(ch)
         parts.append(idx.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), SCORED_SCHEMA))
+    queries.unpersist()
     if not parts:
         return spark.createDataFrame([], SCORED_SCHEMA + ", rank int").select(
             "query_id", "rank", "vector_id", "score")

@@ -1,9 +1,9 @@
 """Text -> vector.
 
-``hash_embed`` is a pure DataFrame job (no Python workers): tokens are
-exploded, hashed with md5 into ``dim`` signed buckets, pre-aggregated
-map-side per (row, bucket), and assembled into a dense ``array<double>`` of
-integer counts.  Normalize with ``functions.l2_normalize`` (or score with
+``hash_embed`` is map-only (no shuffle): tokens are split and md5-hashed
+into ``dim`` signed buckets by JVM expressions, and an Arrow-batched pandas
+helper sums them into a dense ``array<double>`` of integer counts (one
+``bincount`` per batch).  Normalize with ``functions.l2_normalize`` (or score with
 cosine) afterwards; keeping integer counts makes dot products exact.
 
 ``embed`` is the hook for a real encoder: a ``mapInPandas`` job where the
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecspark.session import ship_library
+
 TOKEN_SPLIT = "[ \\t\\n\\r\\f]+"
 
 
@@ -29,27 +31,47 @@ def tokens(text_col) -> "F.Column":
     return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: t != "")
 
 
+def signed_buckets(text_col: str, dim: int):
+    """Per token ``+(b+1)`` or ``-(b+1)``: md5 bucket b in [0, dim) and md5 sign (JVM-side)."""
+    def code(t):
+        h = F.md5(t)
+        b = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
+        neg = F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 1
+        return F.when(neg, -(b + 1)).otherwise(b + 1)
+    return F.transform(tokens(text_col), code)
+
+
+def _bucket_sum_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def bucket_sum(codes: pd.Series) -> pd.Series:
+        # one vectorized bincount per Arrow batch over (row, bucket) keys
+        n = len(codes)
+        lens = codes.map(len).to_numpy()
+        flat = (np.concatenate([np.asarray(c, dtype=np.int64) for c in codes])
+                if lens.sum() else np.zeros(0, dtype=np.int64))
+        rows = np.repeat(np.arange(n), lens)
+        m = np.bincount(rows * dim + np.abs(flat) - 1, weights=np.sign(flat).astype(np.float64),
+                        minlength=n * dim).reshape(n, dim)
+        return pd.Series(list(m))
+    return bucket_sum
+
+
 def hash_embed(df: DataFrame, *, id_col: str, text_col: str = "text", dim: int = 64,
                out_col: str = "embedding") -> DataFrame:
-    """(id, embedding array<double>) signed feature-hash counts; rows without tokens drop out."""
-    h = F.md5(F.col("tok"))
-    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = (df.select(F.col(id_col), F.explode(tokens(text_col)).alias("tok"))
-             .select(id_col, bucket.alias("b"), sign.alias("s"))
-             .groupBy(id_col, "b").agg(F.sum("s").alias("w")))
-    # each id has at most `dim` cells: bounded collect
-    return (cells.groupBy(id_col)
-            .agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("_m"))
-            .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)).cast("double"))
-                    .alias(out_col)))
+    """(id, embedding array<double>) signed feature-hash counts; map-only.
+
+    Tokenizing and md5 hashing run in the JVM; the Python helper only adds
+    the +-1 codes into ``dim`` buckets, a whole Arrow batch per bincount.
+    A row without tokens gets the zero vector (cosine scoring skips it).
+    """
+    return df.select(F.col(id_col), _bucket_sum_udf(dim)(signed_buckets(text_col, dim)).alias(out_col))
 
 
 def embed(df: DataFrame, encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]], *,
           text_col: str = "text", out_col: str = "embedding", batch_size: int = 32,
           normalize: bool = True) -> DataFrame:
     """Apply an encoder (built once per task) to every text; adds ``out_col``."""
+    ship_library(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def run(frames):

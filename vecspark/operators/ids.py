@@ -1,14 +1,15 @@
 """Dense 0-based positions in a total order, without a single-partition window.
 
 Two passes over a checkpointed, range-sorted frame: per-partition counts ->
-running offsets (one row per partition) -> position = offset + local index.
+running offsets (one row per partition, computed on the driver from a
+#partitions-row result) -> position = offset + local index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.session import ensure_checkpoint_dir
@@ -26,10 +27,16 @@ def dense_index(df: DataFrame, order_cols: Sequence, out_col: str = "pos") -> Da
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id())
          .checkpoint(eager=True))
-    per_part = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    # one row per partition: bounded by the partition count, fine in one task
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (s.join(F.broadcast(offsets.select("_pid", "_off", "_m0")), "_pid")
+    # one row per partition (bounded by the partition count): fetched once,
+    # then joined back as a broadcast local table, so later plans carry no
+    # extra aggregation stage
+    per_part = (s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+                .orderBy("_pid").collect())
+    rows, off = [], 0
+    for r in per_part:
+        rows.append((int(r["_pid"]), off, int(r["_m0"])))
+        off += int(r["_n"])
+    offsets = df.sparkSession.createDataFrame(rows, "_pid int, _off long, _m0 long")
+    return (s.join(F.broadcast(offsets), "_pid")
             .withColumn(out_col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
             .drop("_pid", "_mid", "_off", "_m0"))

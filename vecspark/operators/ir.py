@@ -161,11 +161,21 @@ def mrr(results: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
                     ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
-    """Measurement rows ``recall@k`` + ``mrr`` (operation 'evaluation')."""
-    r = judged_recall(results, qrels, ks).select(
-        F.concat(F.lit("recall@"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value"))
-    m = mrr(results, qrels).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
+    """Measurement rows ``recall@k`` + ``mrr`` (operation 'evaluation').
+
+    One pass: per judged query the found-count for every k and the first
+    relevant rank, then a single global aggregate (no per-metric rescans).
+    """
+    hits, n_rel = _judged_hits(results, qrels)
+    per_q = hits.groupBy("query").agg(
+        *[F.countDistinct(F.when(F.col("_rel") & (F.col("rank") <= k), F.col("passage"))).alias(f"f{k}")
+          for k in ks],
+        F.min(F.when(F.col("_rel"), F.col("rank"))).alias("first")).join(n_rel, "query")
+    tot = per_q.agg(*[F.coalesce(F.avg(F.col(f"f{k}") / F.col("n_rel")), F.lit(0.0)).alias(f"r{k}") for k in ks],
+                    F.coalesce(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
+    cells = F.array(*[F.struct(F.lit(f"recall@{k}").alias("metric"), F.col(f"r{k}").alias("value")) for k in ks],
+                    F.struct(F.lit("mrr").alias("metric"), F.col("mrr").alias("value")))
     db = database if not isinstance(database, str) else F.lit(database)
-    return measurement_rows(r.unionByName(m).select(
-        db.alias("database"), F.lit("evaluation").alias("operation"), "metric", "value",
-        F.lit(1).alias("worker_count")))
+    return measurement_rows(tot.select(F.explode(cells).alias("c")).select(
+        db.alias("database"), F.lit("evaluation").alias("operation"), F.col("c.metric").alias("metric"),
+        F.col("c.value").alias("value"), F.lit(1).alias("worker_count")))

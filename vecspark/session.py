@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,7 @@ def get_session(master: str | None = None, app: str = "vecspark",
         b = b.master(master)
     cpus = os.cpu_count() or 8
     b = (b.config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -37,11 +40,39 @@ def get_session(master: str | None = None, app: str = "vecspark",
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make ``vecspark`` importable in Python workers (the ``--py-files`` route).
+
+    Worker-side functions (block scorer, encoder hook) are pickled by
+    reference, so executors need the package; it is zipped once per
+    SparkContext on the driver and distributed by Spark.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="vecspark-lib-"), "vecspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names it; only when it is unset (local tests) do we set one.
+    Also ships the library to the Python workers (once per context).
     """
+    ship_library(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = _LOCAL_CHECKPOINT_FALLBACK
