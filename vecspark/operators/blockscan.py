@@ -229,6 +229,8 @@ def make_scorer(bc, k: int, dim: int, id_col: str, vec_col: str, list_col: str |
                 o = np.argsort(ch.qkeys[:, b], kind="stable")
                 band_index.append((ch.qkeys[o, b], o))
         for batch in batches:
+            if batch.num_rows and batch.column(vec_col).null_count:
+                batch = batch.filter(pc.is_valid(batch.column(vec_col)))
             if batch.num_rows == 0:
                 continue
             ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -335,7 +337,9 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     idx_cols = [F.col(id_col).cast("long").alias(id_col), F.col(vec_col)]
     if list_col:
         idx_cols.append(F.col(list_col))
-    idx = index.select(*idx_cols).where(F.col(vec_col).isNotNull())
+    # null vectors are skipped inside the scorer: a Filter here would be
+    # pushed below the projection and re-evaluate a computed vector column
+    idx = index.select(*idx_cols)
     parts = []
     for c in range(n_chunks):
         data = fetch_chunk(queries, qid_col, qvec_col, dim, c, n_chunks, side)
