@@ -144,3 +144,62 @@ def test_embed_hook_runs_encoder_per_task(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, "ab")], "id long, text string")
     out = {r["id"]: r["embedding"] for r in embed(df, factory).collect()}
     assert out[1] == pytest.approx([4 / np.sqrt(17), 1 / np.sqrt(17)], rel=1e-6)
+
+
+def test_distributed_quantiles_equal_builtin(spark):
+    from vecspark.operators.perf import latency_stats
+    lat = Views(spark, SF_MID).lat
+    a = {(r["engine"], r["worker_count"]): r for r in latency_stats(lat, method="exact").collect()}
+    b = {(r["engine"], r["worker_count"]): r for r in latency_stats(lat, method="distributed").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in ("p50_ms", "p95_ms", "p99_ms", "mean_ms", "std_ms", "min_ms", "max_ms"):
+            assert b[k][c] == pytest.approx(a[k][c], rel=1e-12, abs=1e-9)
+
+
+def test_distributed_quantiles_hot_group(spark):
+    from vecspark.operators.perf import exact_quantiles
+    # one group holds most rows and spans many range partitions
+    df = spark.range(0, 20000, 1, 8).select(
+        F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        ((F.col("id") * 7919) % 20000).cast("double").alias("v"))
+    got = {r["g"]: (r["q0"], r["q1"]) for r in exact_quantiles(df, ["g"], "v", (0.5, 0.99), partitions=16).collect()}
+    pdf = df.toPandas()
+    for g, grp in pdf.groupby("g"):
+        assert got[g][0] == pytest.approx(np.percentile(grp["v"], 50))
+        assert got[g][1] == pytest.approx(np.percentile(grp["v"], 99))
+
+
+def test_lsh_scorer_small_pair_blocks_matches_brute_force(monkeypatch):
+    from vecspark.operators import blockscan as B
+    rng = np.random.default_rng(1)
+    X, Q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    planes = rng.normal(size=(6, 8))
+    bands, bits = 3, 2
+    qkeys = B.band_keys((Q @ planes.T) > 0, bands, bits)
+    ch = B.QueryChunk(qids=np.arange(40), Q=Q, mode="lsh", qkeys=qkeys, planes=planes, bands=bands, bits=bits)
+    band_index = [(qkeys[np.argsort(qkeys[:, b], kind="stable"), b], np.argsort(qkeys[:, b], kind="stable"))
+                  for b in range(bands)]
+    ids = np.arange(300)
+    res = {}
+    for block in (7, 1 << 20):
+        monkeypatch.setattr(B, "_PAIR_BLOCK", block)
+        acc = B.TopKAccumulator(5, 40)
+        B._score_lsh(ch, ids, X, None, acc, 5, band_index)
+        r, i, sc = acc.result()
+        res[block] = sorted(zip(r.tolist(), i.tolist()))
+    xkeys = B.band_keys((X @ planes.T) > 0, bands, bits)
+    brute = []
+    for q in range(40):
+        cand = [j for j in range(300) if (xkeys[j] == qkeys[q]).any()]
+        best = sorted(cand, key=lambda j: (-(Q[q] @ X[j]), j))[:5]
+        brute += [(q, j) for j in best]
+    assert res[7] == res[1 << 20] == sorted(brute)
+
+
+def test_ivf_build_prunes_lists(spark, views):
+    from vecspark.operators.ann import ivf_build
+    from vecspark.session import scratch_path
+    stored = ivf_build(views.index, views.centroids, scratch_path(spark, "t-ivf"))
+    got = ivf_search(stored, views.queries, views.centroids, 10, 4)
+    assert _rows(got) == _rows(views.pred)

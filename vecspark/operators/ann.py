@@ -117,6 +117,17 @@ def ivf_assign(index: DataFrame, centroids: DataFrame, *, vec_col: str = "embedd
     return index.mapInArrow(assign, schema)
 
 
+def ivf_build(index: DataFrame, centroids: DataFrame, root: str, *, vec_col: str = "embedding",
+              list_col: str = "list_id") -> DataFrame:
+    """Assign lists and store the index partitioned by list id; returns the stored table.
+
+    A probe then reads only the files of the probed lists (partition pruning).
+    """
+    (ivf_assign(index, centroids, vec_col=vec_col, out_col=list_col)
+     .write.mode("overwrite").partitionBy(list_col).parquet(root))
+    return index.sparkSession.read.parquet(root)
+
+
 def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int, *,
                vec_col: str = "embedding", out_col: str = "probes") -> DataFrame:
     """Add the ``nprobe`` best list ids per query (score desc, list id asc)."""
@@ -241,6 +252,15 @@ STRATEGIES = {"exact": _exact_strategy, "ivf": _ivf_strategy, "lsh": _lsh_strate
               "auto": search_auto}
 
 
+def register_strategy(name: str, fn) -> None:
+    """Add a search strategy: ``fn(index, queries, k, **params)`` returning
+    ``(query_id, rank, vector_id, score)``; usable by ``batch_search`` and
+    ``compare_strategies`` under ``name``."""
+    if not callable(fn):
+        raise TypeError("strategy must be callable")
+    STRATEGIES[name] = fn
+
+
 def compare_strategies(index: DataFrame, queries: DataFrame, k: int = 10,
                        strategies: dict[str, dict] | Sequence[str] = ("exact", "ivf", "lsh")
                        ) -> DataFrame:

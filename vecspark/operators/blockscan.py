@@ -43,6 +43,8 @@ DEFAULT_MAX_CHUNK_BYTES = 256 * 1024 * 1024
 _BLOCK_CELLS = 4 * 1024 * 1024
 # candidate pairs gathered at once in the LSH path
 _PAIR_BLOCK = 1 << 20
+# largest probed-list set pushed down as an IN filter
+MAX_PRUNE_LISTS = 10000
 
 
 # ---------------------------------------------------------------------------
@@ -182,32 +184,44 @@ def _score_ivf(ch: QueryChunk, ids, X, xn, lists, acc: TopKAccumulator, k: int,
 
 
 def _score_lsh(ch: QueryChunk, ids, X, xn, acc: TopKAccumulator, k: int, band_index):
+    """Score every (row, query) pair that shares a bucket in some band.
+
+    Rows are taken in ranges whose candidate count stays near ``_PAIR_BLOCK``,
+    so a hot bucket costs time, never unbounded memory; no pair is skipped.
+    """
     keys = band_keys((X @ ch.planes.T) > 0, ch.bands, ch.bits)
-    pr, pq = [], []
+    nb = len(ids)
+    lo = np.empty((nb, ch.bands), dtype=np.int64)
+    cnt = np.empty((nb, ch.bands), dtype=np.int64)
     for b in range(ch.bands):
-        qk_sorted, qk_order = band_index[b]
-        lo = np.searchsorted(qk_sorted, keys[:, b], side="left")
-        hi = np.searchsorted(qk_sorted, keys[:, b], side="right")
-        cnt = hi - lo
-        if cnt.sum() == 0:
+        qk_sorted, _ = band_index[b]
+        lo[:, b] = np.searchsorted(qk_sorted, keys[:, b], side="left")
+        cnt[:, b] = np.searchsorted(qk_sorted, keys[:, b], side="right") - lo[:, b]
+    cum = np.cumsum(cnt.sum(axis=1))
+    r0 = 0
+    while r0 < nb:
+        base = cum[r0 - 1] if r0 else 0
+        r1 = max(int(np.searchsorted(cum, base + _PAIR_BLOCK, side="right")), r0 + 1)
+        pr, pq = [], []
+        for b in range(ch.bands):
+            c = cnt[r0:r1, b]
+            tot = int(c.sum())
+            if tot == 0:
+                continue
+            rows = np.repeat(np.arange(r0, r1), c)
+            offs = np.arange(tot) - np.repeat(np.cumsum(c) - c, c)
+            pr.append(rows)
+            pq.append(band_index[b][1][np.repeat(lo[r0:r1, b], c) + offs])
+        r0 = r1
+        if not pr:
             continue
-        rows = np.repeat(np.arange(len(ids)), cnt)
-        offs = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-        pr.append(rows)
-        pq.append(qk_order[np.repeat(lo, cnt) + offs])
-    if not pr:
-        return
-    rows = np.concatenate(pr)
-    qs = np.concatenate(pq)
-    pair = np.unique(qs.astype(np.int64) * len(ids) + rows)   # distinct candidates
-    qs, rows = pair // len(ids), pair % len(ids)
-    for p0 in range(0, len(pair), _PAIR_BLOCK):
-        q_, r_ = qs[p0:p0 + _PAIR_BLOCK], rows[p0:p0 + _PAIR_BLOCK]
-        s = np.einsum("ij,ij->i", ch.Q[q_], X[r_])
+        pair = np.unique(np.concatenate(pq).astype(np.int64) * nb + np.concatenate(pr))  # distinct candidates
+        q_, r_ = pair // nb, pair % nb
+        sc = np.einsum("ij,ij->i", ch.Q[q_], X[r_])
         if xn is not None:
-            s = s / (ch.qnorm[q_] * xn[r_])
-        q_, i_, s = first_k_per_row(q_, ids[r_], s, k)
-        acc.add(q_, i_, s)
+            sc = sc / (ch.qnorm[q_] * xn[r_])
+        q_, i_, sc = first_k_per_row(q_, ids[r_], sc, k)
+        acc.add(q_, i_, sc)
 
 
 def make_scorer(bc, k: int, dim: int, id_col: str, vec_col: str, list_col: str | None):
@@ -359,7 +373,14 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
                 ch.qkeys = ch.qkeys[keep]
             ch.qnorm = qn
         bc = spark.sparkContext.broadcast(ch)
-        parts.append(idx.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), SCORED_SCHEMA))
+        scan = idx
+        if mode == "ivf" and ch.probes is not None:
+            # list pruning: only probed lists are read (partition pruning when
+            # the index is stored partitioned by list id, see ann.ivf_build)
+            probed = np.unique(ch.probes)
+            if len(probed) <= MAX_PRUNE_LISTS:
+                scan = idx.where(F.col(list_col).isin([int(x) for x in probed]))
+        parts.append(scan.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), SCORED_SCHEMA))
     queries.unpersist()
     if not parts:
         return spark.createDataFrame([], SCORED_SCHEMA + ", rank int").select(

@@ -69,9 +69,15 @@ def _exploded_passages(examples: DataFrame, min_chars: int) -> DataFrame:
             .where(F.col("raw").isNotNull() & (F.char_length("text") > min_chars)))
 
 
-def passage_extract(examples: DataFrame, n: int, *, min_chars: int = PASSAGE_MIN_CHARS) -> DataFrame:
+def passage_extract(examples: DataFrame, n: int, *, min_chars: int = PASSAGE_MIN_CHARS,
+                    max_n: int | None = None) -> DataFrame:
     """First ``n`` stripped passages longer than ``min_chars`` in document order
-    (also stopping after ``n`` examples) -> (vector_id, text)."""
+    (also stopping after ``n`` examples) -> (vector_id, text).
+
+    ``max_n`` clamps the request (``n = min(n, max_n)``) like the CLI limit.
+    """
+    if max_n is not None:
+        n = min(n, max_n)
     p = _exploded_passages(examples.where(F.col("example_pos") < n), min_chars)
     return (dense_index(p, ["example_pos", "pos"], "vector_id")
             .where(F.col("vector_id") < n)
