@@ -203,3 +203,26 @@ def test_ivf_build_prunes_lists(spark, views):
     stored = ivf_build(views.index, views.centroids, scratch_path(spark, "t-ivf"))
     got = ivf_search(stored, views.queries, views.centroids, 10, 4)
     assert _rows(got) == _rows(views.pred)
+
+
+def test_ivf_fit_kmeans_recall_monotone(spark, views):
+    from vecspark.operators.ann import ivf_fit
+    from vecspark.operators.ir import quality_scores
+    c = ivf_fit(views.index, 8, sample_rows=300)
+    assigned = ivf_assign(views.index, c)
+    rec = [quality_scores(ivf_search(assigned, views.queries, c, 10, p), views.gt, (10,)).first()["recall"]
+           for p in (1, 8)]
+    assert rec[0] <= rec[1] and rec[1] == 1.0
+
+
+def test_vector_table_base_read_has_no_shuffle(spark):
+    from vecspark.session import scratch_path
+    from vecspark.sinks import vector_table as vt
+    root = scratch_path(spark, "t-read")
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "vector_id long, embedding array<double>")
+    vt.overwrite(vt.to_vector_table(base), root)
+    plan = vt.read(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    vt.upsert(vt.to_vector_table(base.where("vector_id < 5").selectExpr("vector_id", "array(-1d) AS embedding")), root, 1)
+    got = {r["vector_id"]: r["embedding"][0] for r in vt.read(spark, root).collect()}
+    assert len(got) == 50 and got[3] == -1.0 and got[10] == 10.0

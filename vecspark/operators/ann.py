@@ -47,21 +47,25 @@ def centroids_from_rows(index: DataFrame, where: Column, *, id_col: str = "vecto
                                      F.col(vec_col).cast("array<double>").alias("centroid"))
 
 
-def ivf_fit(index: DataFrame, nlist: int = 100, *, vec_col: str = "embedding", seed: int = 42,
-            sample_rows: int = 256 * 100, max_iter: int = 20) -> DataFrame:
+def ivf_fit(index: DataFrame, nlist: int = 100, *, vec_col: str = "embedding", id_col: str = "vector_id",
+            seed: int = 42, sample_rows: int = 256 * 100, max_iter: int = 20) -> DataFrame:
     """Spherical k-means centroids -> (list_id int, centroid array<double>).
 
-    Trains on a hash sample of about ``sample_rows`` rows (independent of
-    partitioning); centroids are L2-normalized for cosine assignment.
+    Trains (pyspark.ml KMeans, distributed) on a sample of about
+    ``sample_rows`` rows chosen by a hash of the row id, so the sample does
+    not depend on partitioning; centroids are L2-normalized for cosine
+    assignment.  Only the centroids (nlist x dim) come back to the driver.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     n = index.count()
     frac = min(1.0, sample_rows / max(n, 1))
-    sample = index.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    src = index
     if frac < 1.0:
-        sample = sample.sample(fraction=frac, seed=seed)
+        bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
+        src = index.where(bucket < int(frac * 1_000_000))
+    sample = src.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=min(nlist, max(n, 1)), seed=seed, maxIter=max_iter,
                    featuresCol="features", initMode="k-means||").fit(sample)
     spark = index.sparkSession
