@@ -300,25 +300,59 @@ def n_chunks_for(n: int, dim: int, side_bytes_per_row: int, max_chunk_bytes: int
     return max(1, math.ceil(n * per_row / max_chunk_bytes))
 
 
-def fetch_chunk(queries: DataFrame, qid_col: str, vec_col: str, dim: int,
-                chunk: int, n_chunks: int, side_cols: list[str]) -> dict:
-    """Materialize one bounded query chunk on the driver (size checked before)."""
-    q = queries
-    if n_chunks > 1:
-        q = q.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_chunks)) == chunk)
-    t = q.select(qid_col, vec_col, *side_cols).toArrow()
-    out = {
-        "qids": t.column(qid_col).to_numpy().astype(np.int64),
-        "Q": list_matrix(t.column(vec_col), dim) if t.num_rows else np.zeros((0, dim)),
-    }
+def _first_dim(df: DataFrame, vec_col: str) -> int | None:
+    """Vector length of the first row (reads one partition, no shuffle)."""
+    r = df.select(F.size(vec_col).alias("d")).first()
+    return int(r["d"]) if r is not None and r["d"] is not None and r["d"] >= 0 else None
+
+
+def _arrow_chunk(t, qid_col: str, vec_col: str, dim: int, side_cols: list[str]) -> dict:
+    col = t.column(vec_col).combine_chunks()
+    if col.null_count:
+        t = t.filter(pc.is_valid(col))
+        col = t.column(vec_col).combine_chunks()
+    if t.num_rows:
+        lens = pc.list_value_length(col)
+        if pc.min(lens).as_py() != dim or pc.max(lens).as_py() != dim:
+            raise ValueError(f"{vec_col}: mixed vector lengths; run dimension_check first")
+    out = {"qids": t.column(qid_col).to_numpy().astype(np.int64),
+           "Q": list_matrix(col, dim) if t.num_rows else np.zeros((0, dim))}
     for c in side_cols:
-        col = t.column(c).combine_chunks()
-        width = len(col[0]) if t.num_rows else 0
-        out[c] = (np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
-                  .reshape(-1, width) if t.num_rows else np.zeros((0, 0), dtype=np.int64))
+        sc = t.column(c).combine_chunks()
+        width = len(sc[0]) if t.num_rows else 0
+        out[c] = (np.asarray(sc.flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(-1, width)
+                  if t.num_rows else np.zeros((0, 0), dtype=np.int64))
     return out
 
 
+def query_chunks(queries: DataFrame, qid_col: str, qvec_col: str, side: list[str],
+                 max_chunk_bytes: int):
+    """Yield bounded query chunks (dicts of numpy arrays) fetched to the driver.
+
+    Common case: one light job reads the first row's dimension, a second
+    fetches at most ``cap + 1`` rows (cap = byte bound / row size).  Only when
+    the cap is exceeded are the rows counted and split by hash into chunks
+    that each fit the bound.
+    """
+    cols = [qid_col, qvec_col, *side]
+    dim = _first_dim(queries, qvec_col)
+    if dim is None:
+        n, dim = frame_stats(queries, qvec_col)
+        if n == 0:
+            return
+    per_row = 8 * dim + 8 + 8 * 64 * len(side)
+    cap = max(1, max_chunk_bytes // per_row)
+    t = queries.select(*cols).limit(cap + 1).toArrow()
+    if t.num_rows <= cap:
+        yield _arrow_chunk(t, qid_col, qvec_col, dim, side)
+        return
+    n = queries.count()
+    n_chunks = n_chunks_for(n, dim, per_row - 8 * dim - 8, max_chunk_bytes)
+    for c in range(n_chunks):
+        part = queries.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_chunks)) == c)
+        yield _arrow_chunk(part.select(*cols).toArrow(), qid_col, qvec_col, dim, side)
+
+
 def merge_topk(scored: DataFrame, k: int) -> DataFrame:
     """Final per-query top-k: one shuffle on query_id, WindowGroupLimit inside."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_id").asc())
@@ -342,12 +376,6 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     spark: SparkSession = index.sparkSession
     ship_library(spark)
     side = [c for c in (probe_col, key_col) if c]
-    # the query side is read twice on the driver path (size check, fetch):
-    # keep it for the duration of this call only
-    queries = queries.select(qid_col, qvec_col, *side).persist()
-    n, dim = frame_stats(queries, qvec_col)
-    side_bytes = 8 * 64 * len(side)
-    n_chunks = n_chunks_for(n, dim, side_bytes, max_chunk_bytes)
     idx_cols = [F.col(id_col).cast("long").alias(id_col), F.col(vec_col)]
     if list_col:
         idx_cols.append(F.col(list_col))
@@ -355,10 +383,10 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     # pushed below the projection and re-evaluate a computed vector column
     idx = index.select(*idx_cols)
     parts = []
-    for c in range(n_chunks):
-        data = fetch_chunk(queries, qid_col, qvec_col, dim, c, n_chunks, side)
+    for data in query_chunks(queries, qid_col, qvec_col, side, max_chunk_bytes):
         if len(data["qids"]) == 0:
             continue
+        dim = data["Q"].shape[1]
         ch = QueryChunk(qids=data["qids"], Q=data["Q"], mode=mode,
                         probes=data.get(probe_col) if probe_col else None,
                         qkeys=data.get(key_col) if key_col else None,
@@ -381,7 +409,6 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
             if len(probed) <= MAX_PRUNE_LISTS:
                 scan = idx.where(F.col(list_col).isin([int(x) for x in probed]))
         parts.append(scan.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), SCORED_SCHEMA))
-    queries.unpersist()
     if not parts:
         return spark.createDataFrame([], SCORED_SCHEMA + ", rank int").select(
             "query_id", "rank", "vector_id", "score")
