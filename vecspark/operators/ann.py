@@ -188,6 +188,18 @@ def collect_planes(planes: DataFrame, max_bytes: int = MAX_CENTROID_BYTES) -> np
     return list_matrix(t.column("normal"), dim)
 
 
+_PLANES: dict[tuple, np.ndarray] = {}
+
+
+def planes_matrix(spark: SparkSession, dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
+    """The hyperplanes as a (bands*bits, dim) matrix; a pure function of its
+    parameters, so it is generated by Spark once per session and reused."""
+    key = (id(spark.sparkContext), dim, bands, bits, seed)
+    if key not in _PLANES:
+        _PLANES[key] = collect_planes(lsh_planes(spark, dim, bands, bits, seed))
+    return _PLANES[key]
+
+
 def lsh_keys(df: DataFrame, planes: np.ndarray, bands: int, bits: int, *,
              vec_col: str = "embedding", out_col: str = "band_keys") -> DataFrame:
     """Add per-band bucket keys (bit j of band b = sign of the plane b*bits+j)."""
@@ -212,8 +224,9 @@ def lsh_search(index: DataFrame, queries: DataFrame, k: int = 10, *, bands: int
                qvec_col: str = "embedding",
                max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
     """Top-k over rows that share at least one band bucket with the query."""
-    dim = vector_dim(queries, qvec_col)
-    P = collect_planes(lsh_planes(index.sparkSession, dim, bands, bits, seed))
+    from vecspark.operators.blockscan import _first_dim
+    dim = _first_dim(queries, qvec_col) or vector_dim(queries, qvec_col)
+    P = planes_matrix(index.sparkSession, dim, bands, bits, seed)
     q = lsh_keys(queries.select(qid_col, qvec_col), P, bands, bits, vec_col=qvec_col)
     return block_knn(index, q, k, mode="lsh", id_col=id_col, vec_col=vec_col,
                      qid_col=qid_col, qvec_col=qvec_col, key_col="band_keys",

@@ -383,7 +383,12 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     # pushed below the projection and re-evaluate a computed vector column
     idx = index.select(*idx_cols)
     parts = []
-    for data in query_chunks(queries, qid_col, qvec_col, side, max_chunk_bytes):
+    # the query side may be computed (probes, band keys, embeddings) and is
+    # read by the dimension probe and the fetch: keep it for this call only
+    qside = queries.select(qid_col, qvec_col, *side).persist()
+    chunks = list(query_chunks(qside, qid_col, qvec_col, side, max_chunk_bytes))
+    qside.unpersist()
+    for data in chunks:
         if len(data["qids"]) == 0:
             continue
         dim = data["Q"].shape[1]
