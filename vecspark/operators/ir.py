@@ -1,8 +1,9 @@
 """Information-retrieval metrics as DataFrame jobs.
 
-Ranked lists are kept long: ``(query_id, rank, vector_id)``; rank starts at 1.
-Every step is a join or aggregation keyed by ``query_id`` whose groups hold at
-most ``len(prediction)`` rows, so nothing is collected per query beyond k.
+Ranked lists come long: ``(query_id, rank, vector_id)``; rank starts at 1.
+The metrics put both lists of a query into two arrays with one groupBy (one
+shuffle on the query key; each array holds one query's ranked list, i.e. at
+most its k results) and evaluate every metric with JVM array functions.
 
 Against exact neighbours (``pred`` vs ``gt``), per query with both lists
 non-empty (queries are aligned by ``query_id``; missing on either side = not
@@ -40,35 +41,57 @@ def _idcg(n):
                        lambda a, i: a + F.lit(1.0) / F.log2(i + F.lit(1)))
 
 
+def _ranked_pair(pred: DataFrame, gt: DataFrame, key: str, item: str) -> DataFrame:
+    """One row per key with both ranked lists as arrays (one shuffle on key).
+
+    Each list holds one query's ranked items (at most its k results), so the
+    collected arrays are bounded by the list length, not by the data size.
+    """
+    p = pred.select(key, F.struct(F.col("rank").cast("int").alias("r"), F.col(item).alias("i")).alias("_e"),
+                    F.lit(0).alias("_s"))
+    g = gt.select(key, F.struct(F.col("rank").cast("int").alias("r"), F.col(item).alias("i")).alias("_e"),
+                  F.lit(1).alias("_s"))
+    return (p.unionByName(g).groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.when(F.col("_s") == 0, F.col("_e")))).alias("_p"),
+                 F.array_sort(F.collect_list(F.when(F.col("_s") == 1, F.col("_e")))).alias("_g"))
+            .select(key, F.transform("_p", lambda x: x["i"]).alias("P"),
+                    F.transform("_g", lambda x: x["i"]).alias("G")))
+
+
+def _positions(arr):
+    return F.sequence(F.lit(1), F.size(arr))
+
+
 def quality_per_query(pred: DataFrame, gt: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Per (query_id, k) metric values for queries present and non-empty on both sides."""
-    p = pred.select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vector_id")
-    g = gt.select("query_id", F.col("rank").cast("int").alias("gt_rank"), "vector_id")
-    n_pred = p.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pred"))
-    n_gt = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    g1 = g.groupBy("query_id", "vector_id").agg(F.min("gt_rank").alias("gt_rank"))
-    j = (p.join(g1, ["query_id", "vector_id"], "left")
-         .withColumn("k", _ks(ks))
-         .withColumn("hit", F.coalesce(F.col("gt_rank") <= F.col("k"), F.lit(False)))
-         .withColumn("hit_k", F.col("hit") & (F.col("rank") <= F.col("k"))))
-    w = (Window.partitionBy("query_id", "k").orderBy("rank")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = j.withColumn("run", F.sum(F.col("hit_k").cast("int")).over(w))
-    agg = j.groupBy("query_id", "k").agg(
-        F.countDistinct(F.when(F.col("hit"), F.col("vector_id"))).alias("inter"),
-        F.countDistinct(F.when(F.col("hit_k"), F.col("vector_id"))).alias("inter_top"),
-        F.sum(F.when(F.col("hit_k"), 1).otherwise(0)).alias("hits"),
-        F.sum(F.when(F.col("hit_k"), F.col("run") / F.col("rank")).otherwise(0.0)).alias("ap_sum"),
-        F.sum(F.when(F.col("hit_k"), F.lit(1.0) / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
-    q = agg.join(n_pred, "query_id").join(n_gt, "query_id").where((F.col("n_pred") > 0) & (F.col("n_gt") > 0))
-    kk = F.col("k")
-    return q.select(
+    """Per (query_id, k) metric values for queries present and non-empty on both sides.
+
+    Positions are list positions (rank order); all metric arithmetic runs on
+    the two per-query arrays inside the JVM.
+    """
+    per = _ranked_pair(pred, gt, "query_id", "vector_id").where((F.size("P") > 0) & (F.size("G") > 0))
+    per = per.withColumn("k", _ks(ks))
+    k = F.col("k")
+    gk = F.slice("G", 1, k)
+    pk = F.slice("P", 1, k)
+    per = per.select("query_id", "k", "P", "G", gk.alias("gk"), pk.alias("pk"))
+    hit = lambda i: F.array_contains(F.col("gk"), F.element_at(F.col("pk"), i))
+    hits_upto = lambda i: F.size(F.filter(F.slice(F.col("pk"), 1, i),
+                                          lambda x: F.array_contains(F.col("gk"), x)))
+    inter = F.size(F.array_intersect(F.array_distinct("P"), F.col("gk")))
+    inter_top = F.size(F.array_intersect(F.col("pk"), F.col("gk")))
+    n_hits = hits_upto(F.size("pk"))
+    ap_sum = F.aggregate(_positions(F.col("pk")), F.lit(0.0),
+                         lambda a, i: a + F.when(hit(i), hits_upto(i) / i).otherwise(F.lit(0.0)))
+    dcg = F.aggregate(_positions(F.col("pk")), F.lit(0.0),
+                      lambda a, i: a + F.when(hit(i), F.lit(1.0) / F.log2(i + 1)).otherwise(F.lit(0.0)))
+    n_pred, n_gt = F.size("P"), F.size("G")
+    return per.select(
         "query_id", "k",
-        (F.col("inter") / F.least(F.col("n_pred"), kk)).alias("recall"),
-        (F.col("inter_top") / F.least(F.col("n_gt"), kk)).alias("recall_standard"),
-        (F.col("inter") / F.col("n_pred")).alias("precision"),
-        F.when(F.col("hits") > 0, F.col("ap_sum") / F.least(F.col("n_pred"), kk)).otherwise(0.0).alias("map"),
-        (F.col("dcg") / _idcg(F.least(F.col("n_gt"), kk))).alias("ndcg"))
+        (inter / F.least(n_pred, k)).alias("recall"),
+        (inter_top / F.size(F.array_distinct("gk"))).alias("recall_standard"),
+        (inter / n_pred).alias("precision"),
+        F.when(n_hits > 0, ap_sum / F.least(n_pred, k)).otherwise(F.lit(0.0)).alias("map"),
+        (dcg / _idcg(F.least(n_gt, k))).alias("ndcg"))
 
 
 def quality_scores(pred: DataFrame, gt: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
@@ -129,34 +152,43 @@ def judged_queries(results: DataFrame, qrels: DataFrame) -> DataFrame:
     return results.join(qrels.select("query").distinct(), "query", "left_semi")
 
 
-def _judged_hits(results: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rel = qrels.select("query", "passage").distinct()
-    n_rel = rel.groupBy("query").agg(F.count(F.lit(1)).alias("n_rel"))
-    res = judged_queries(results.select("query", "rank", "passage"), rel)
-    hits = res.join(rel.withColumn("_rel", F.lit(True)), ["query", "passage"], "left")
-    return hits, n_rel
+def _judged_per_query(results: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query, R = retrieved passages in rank order, REL = distinct relevant passages)
+    for judged queries that have results; one shuffle on the query text."""
+    r = results.select("query", F.struct(F.col("rank").cast("int").alias("r"), F.col("passage").alias("i")).alias("_e"),
+                       F.lit(0).alias("_s"))
+    q = qrels.select("query", F.struct(F.lit(0).alias("r"), F.col("passage").alias("i")).alias("_e"),
+                     F.lit(1).alias("_s"))
+    return (r.unionByName(q).groupBy("query")
+            .agg(F.array_sort(F.collect_list(F.when(F.col("_s") == 0, F.col("_e")))).alias("_r"),
+                 F.array_distinct(F.collect_list(F.when(F.col("_s") == 1, F.col("_e")["i"]))).alias("REL"))
+            .where((F.size("_r") > 0) & (F.size("REL") > 0))
+            .select("query", F.transform("_r", lambda x: x["i"]).alias("R"), "REL"))
+
+
+def _found(k):
+    return F.size(F.array_intersect(F.col("REL"), F.slice(F.col("R"), 1, k)))
+
+
+def _first_relevant():
+    pos = F.filter(_positions(F.col("R")), lambda i: F.array_contains(F.col("REL"), F.element_at(F.col("R"), i)))
+    return F.try_element_at(pos, F.lit(1))   # null when nothing relevant was retrieved
 
 
 def judged_recall(results: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     """(k, recall): mean over judged queries of |rel & set(ret[:k])| / |rel|; 0 if none."""
-    hits, n_rel = _judged_hits(results, qrels)
-    per_q = (hits.withColumn("k", _ks(ks))
-             .groupBy("query", "k")
-             .agg(F.countDistinct(F.when(F.col("_rel") & (F.col("rank") <= F.col("k")),
-                                         F.col("passage"))).alias("found"))
-             .join(n_rel, "query")
-             .select("k", (F.col("found") / F.col("n_rel")).alias("recall")))
-    allk = results.sparkSession.createDataFrame([(int(k),) for k in ks], "k int")
-    return (allk.join(per_q.groupBy("k").agg(F.avg("recall").alias("recall")), "k", "left")
-            .select("k", F.coalesce(F.col("recall"), F.lit(0.0)).alias("recall")))
+    per = _judged_per_query(results, qrels)
+    tot = per.agg(*[F.avg(_found(k) / F.size("REL")).alias(f"r{k}") for k in ks])
+    cells = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.coalesce(F.col(f"r{k}"), F.lit(0.0)).alias("recall"))
+                      for k in ks])
+    return tot.select(F.explode(cells).alias("c")).select("c.k", "c.recall")
 
 
 def mrr(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """One row (mrr): mean over judged queries of 1/first relevant rank (0 if none)."""
-    hits, _ = _judged_hits(results, qrels)
-    per_q = hits.groupBy("query").agg(F.min(F.when(F.col("_rel"), F.col("rank"))).alias("first"))
-    return per_q.agg(F.coalesce(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))),
-                                F.lit(0.0)).alias("mrr"))
+    per = _judged_per_query(results, qrels)
+    return per.agg(F.coalesce(F.avg(F.coalesce(F.lit(1.0) / _first_relevant(), F.lit(0.0))),
+                              F.lit(0.0)).alias("mrr"))
 
 
 def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
@@ -164,15 +196,11 @@ def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
     """Measurement rows ``recall@k`` + ``mrr`` (operation 'evaluation').
 
     One pass: per judged query the found-count for every k and the first
-    relevant rank, then a single global aggregate (no per-metric rescans).
+    relevant position, then a single global aggregate.
     """
-    hits, n_rel = _judged_hits(results, qrels)
-    per_q = hits.groupBy("query").agg(
-        *[F.countDistinct(F.when(F.col("_rel") & (F.col("rank") <= k), F.col("passage"))).alias(f"f{k}")
-          for k in ks],
-        F.min(F.when(F.col("_rel"), F.col("rank"))).alias("first")).join(n_rel, "query")
-    tot = per_q.agg(*[F.coalesce(F.avg(F.col(f"f{k}") / F.col("n_rel")), F.lit(0.0)).alias(f"r{k}") for k in ks],
-                    F.coalesce(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
+    per = _judged_per_query(results, qrels)
+    tot = per.agg(*[F.coalesce(F.avg(_found(k) / F.size("REL")), F.lit(0.0)).alias(f"r{k}") for k in ks],
+                  F.coalesce(F.avg(F.coalesce(F.lit(1.0) / _first_relevant(), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
     cells = F.array(*[F.struct(F.lit(f"recall@{k}").alias("metric"), F.col(f"r{k}").alias("value")) for k in ks],
                     F.struct(F.lit("mrr").alias("metric"), F.col("mrr").alias("value")))
     db = database if not isinstance(database, str) else F.lit(database)
