@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecspark.operators.ir import judged_recall, mrr, quality_per_query, quality_scores
 
@@ -94,11 +95,12 @@ def test_no_judgments_gives_zero(spark):
 
 
 def test_repeated_query_last_wins_and_rejected_query(spark):
-    from vecspark.sources.corpus import qrels_extract
+    from vecspark.sources.corpus import explode_examples, qrels_extract
     ex = spark.createDataFrame(
         [(0, "what is spark", (["first relevant passage", "other text here!!"], [1, 0])),
          (1, "what is spark", (["second relevant passage"], [1])),
          (2, "abc", (["short query passage text"], [1]))],
         "example_pos long, query string, passages struct<passage_text:array<string>,is_selected:array<int>>")
-    got = sorted((r["query"], r["passage"]) for r in qrels_extract(ex).collect())
+    ex = ex.withColumn("query_id", F.col("example_pos"))
+    got = sorted((r["query"], r["passage"]) for r in qrels_extract(explode_examples(ex)).collect())
     assert got == [("what is spark", "second relevant passage")]

@@ -226,3 +226,14 @@ def test_vector_table_base_read_has_no_shuffle(spark):
     vt.upsert(vt.to_vector_table(base.where("vector_id < 5").selectExpr("vector_id", "array(-1d) AS embedding")), root, 1)
     got = {r["vector_id"]: r["embedding"][0] for r in vt.read(spark, root).collect()}
     assert len(got) == 50 and got[3] == -1.0 and got[10] == 10.0
+
+
+def test_nested_and_flat_examples_agree(spark):
+    from vecspark.sources.corpus import (conversation_examples, examples_from_conversations, explode_examples,
+                                         passage_extract, qrels_extract)
+    conv = Views(spark, SF_SMALL).table("conversations")
+    flat = conversation_examples(conv)
+    nested = explode_examples(examples_from_conversations(conv))
+    assert sorted(passage_extract(flat, 10**6).collect()) == sorted(passage_extract(nested, 10**6).collect())
+    key = lambda r: (r["query"], r["passage"])
+    assert sorted(map(key, qrels_extract(flat).collect())) == sorted(map(key, qrels_extract(nested).collect()))

@@ -320,12 +320,12 @@ def q_qrels_extract(spark, sf):
 
 
 @register("last_wins", O.sql(f"""
-SELECT {O.strip('query')} AS query, max(example_pos) AS example_pos FROM f_ex
-WHERE length({O.strip('query')}) > 5 GROUP BY 1""", "f_ex"))
+SELECT {O.strip('query')} AS query, max(example_pos) AS example_pos FROM f_exq
+WHERE length({O.strip('query')}) > 5 GROUP BY 1""", "f_exq"))
 def q_last_wins(spark, sf):
     from vecspark.functions.text import py_strip, stripped_length
     from vecspark.sources.corpus import last_wins
-    ex = Views(spark, sf).examples
+    ex = Views(spark, sf).examples.queries
     q = ex.where(stripped_length("query") > 5).select(py_strip("query").alias("query"), "example_pos")
     return last_wins(q, ["query"], "example_pos")
 

@@ -160,29 +160,26 @@ cte("f_lsh", ["lsh_cand", "f_index", "f_query"], f"""SELECT query_id, rank::INTE
 
 # -- judged text evaluation ----------------------------------------------------
 N_VEC = "(SELECT count(*) FROM embeddings)"
-cte("f_ex", [], """SELECT conv_id AS example_pos, conv_id AS query_id,
-  arg_min(text, turn) FILTER (WHERE role = 'user') AS query,
-  list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS passage_text,
-  list((turn % 4 = 1)::INTEGER ORDER BY turn) FILTER (WHERE role = 'assistant') AS is_selected
+cte("f_exq", [], """SELECT conv_id AS example_pos, conv_id AS query_id,
+  arg_min(text, turn) FILTER (WHERE role = 'user') AS query
   FROM conversations GROUP BY conv_id
   HAVING arg_min(text, turn) FILTER (WHERE role = 'user') IS NOT NULL
-     AND len(list(text ORDER BY turn) FILTER (WHERE role = 'assistant')) > 0""")
-cte("f_pex", ["f_ex"], f"""SELECT example_pos, pos, raw, {strip('raw')} AS text FROM (
-  SELECT example_pos, unnest(range(len(passage_text))) AS pos, unnest(passage_text) AS raw
-  FROM f_ex WHERE example_pos < {N_VEC})
-  WHERE raw IS NOT NULL AND length({strip('raw')}) > 10""")
+     AND count(*) FILTER (WHERE role = 'assistant') > 0""")
+cte("f_exp", ["f_exq"], """SELECT conv_id AS example_pos, turn AS pos, text AS raw, (turn % 4 = 1)::INTEGER AS sel
+  FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT example_pos FROM f_exq)""")
+cte("f_pex", ["f_exp"], f"""SELECT example_pos, pos, raw, {strip('raw')} AS text FROM f_exp
+  WHERE example_pos < {N_VEC} AND raw IS NOT NULL AND length({strip('raw')}) > 10""")
 cte("f_passages", ["f_pex"], f"""SELECT vector_id, text FROM (
   SELECT row_number() OVER (ORDER BY example_pos, pos) - 1 AS vector_id, text FROM f_pex)
   WHERE vector_id < {N_VEC}""")
 cte("f_ptexts", ["f_passages", "sp"], "SELECT vector_id, text FROM f_passages WHERE vector_id < (SELECT c FROM sp)")
-cte("f_qtexts", ["f_ex", "sp"], f"""SELECT query_id, text, example_pos FROM (
+cte("f_qtexts", ["f_exq", "sp"], f"""SELECT query_id, text, example_pos FROM (
   SELECT example_pos, {strip('query')} AS text, row_number() OVER (ORDER BY example_pos) - 1 AS query_id
-  FROM f_ex WHERE length({strip('query')}) > 5)
+  FROM f_exq WHERE length({strip('query')}) > 5)
   WHERE query_id < {N_VEC} - (SELECT c FROM sp)""")
-cte("f_rel", ["f_ex"], f"""SELECT example_pos, {strip('query')} AS query, pos::INTEGER AS pos, {strip('raw')} AS passage FROM (
-  SELECT example_pos, query, unnest(range(len(passage_text))) AS pos, unnest(passage_text) AS raw,
-         unnest(is_selected) AS sel FROM f_ex)
-  WHERE length({strip('query')}) > 5 AND sel = 1 AND raw IS NOT NULL AND length({strip('raw')}) > 10""")
+cte("f_rel", ["f_exq", "f_exp"], f"""SELECT q.example_pos, {strip('q.query')} AS query, p.pos, {strip('p.raw')} AS passage
+  FROM f_exp p JOIN f_exq q USING (example_pos)
+  WHERE length({strip('q.query')}) > 5 AND p.sel = 1 AND p.raw IS NOT NULL AND length({strip('p.raw')}) > 10""")
 cte("f_qrels", ["f_rel"], """SELECT r.query, r.example_pos, r.pos, r.passage FROM f_rel r
   JOIN (SELECT query, max(example_pos) AS example_pos FROM f_rel GROUP BY 1) w USING (query, example_pos)""")
 

@@ -36,7 +36,7 @@ from vecspark.operators.knn import knn_exact
 from vecspark.operators.perf import indexing_rows, performance_rows
 from vecspark.operators.textjoin import results_by_query_text
 from vecspark.sources.corpus import (
-    examples_from_conversations, passage_extract, qrels_extract, query_extract,
+    conversation_examples, passage_extract, qrels_extract, query_extract,
 )
 from vecspark.sources.tables import read_table
 
@@ -145,8 +145,8 @@ class Views:
         return self.n_vectors - self.split_point
 
     @cached_property
-    def examples(self) -> DataFrame:
-        return examples_from_conversations(self.table("conversations"))
+    def examples(self):
+        return conversation_examples(self.table("conversations"))
 
     @cached_property
     def passages(self) -> DataFrame:

@@ -8,6 +8,7 @@ numbering, never a single-partition window or a driver loop.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,12 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 
 
 def examples_from_conversations(conv: DataFrame) -> DataFrame:
-    """Conversations as judged examples.
+    """Conversations in the nested example model (``passages`` struct of arrays).
 
     query = first user turn, passages = assistant turns in turn order,
-    is_selected = (turn % 4 == 1); only conversations with both roles.
-    One group per conversation, bounded by its turn count.
+    is_selected = (turn % 4 == 1); only conversations with both roles.  This
+    builds one array per conversation; the evaluation pipeline uses the flat
+    ``conversation_examples`` instead, which never groups texts.
     """
     user = F.col("role") == "user"
     asst = F.col("role") == "assistant"
@@ -62,14 +64,55 @@ def as_text_list(df: DataFrame, path: str) -> Column:
     return F.when(c.isNotNull(), F.array(c.cast("string")))
 
 
-def _exploded_passages(examples: DataFrame, min_chars: int) -> DataFrame:
-    return (examples.select("example_pos", F.posexplode(as_text_list(examples, "passages.passage_text"))
-                            .alias("pos", "raw"))
-            .withColumn("text", py_strip("raw"))
-            .where(F.col("raw").isNotNull() & (F.char_length("text") > min_chars)))
+class Examples(NamedTuple):
+    """Judged examples as two flat tables (no per-example arrays needed).
+
+    queries:  (example_pos, query_id, query)                       one row per example
+    passages: (example_pos, pos, passage_text, is_selected)        one row per passage
+    """
+    queries: DataFrame
+    passages: DataFrame
+
+
+def explode_examples(nested: DataFrame) -> Examples:
+    """Nested examples (``passages`` struct of arrays) -> flat tables; map-only."""
+    q = nested.select("example_pos", "query_id", "query")
+    p = (nested.select("example_pos", F.posexplode(F.arrays_zip(
+            as_text_list(nested, "passages.passage_text").alias("t"),
+            F.col("passages.is_selected").alias("s"))).alias("pos", "z"))
+         .select("example_pos", F.col("pos").cast("long").alias("pos"),
+                 F.col("z.t").alias("passage_text"), F.col("z.s").alias("is_selected")))
+    return Examples(q, p)
+
+
+def conversation_examples(conv: DataFrame) -> Examples:
+    """Conversation turns as judged examples, without grouping any texts.
+
+    query = first user turn (``min_by``, a partial aggregate: a conversation
+    with a huge number of turns is combined map-side), passages = the
+    assistant turns themselves (position = turn), is_selected = turn % 4 == 1;
+    only conversations with both roles.
+    """
+    user = F.col("role") == "user"
+    asst = F.col("role") == "assistant"
+    q = (conv.groupBy("conv_id")
+         .agg(F.min_by(F.col("text"), F.when(user, F.col("turn"))).alias("query"),
+              F.max(asst.cast("int")).alias("_a"))
+         .where(F.col("query").isNotNull() & (F.col("_a") == 1))
+         .select(F.col("conv_id").alias("example_pos"), F.col("conv_id").alias("query_id"), "query"))
+    p = (conv.where(asst)
+         .join(q.select(F.col("example_pos").alias("conv_id")), "conv_id", "left_semi")
+         .select(F.col("conv_id").alias("example_pos"), F.col("turn").cast("long").alias("pos"),
+                 F.col("text").alias("passage_text"), (F.col("turn") % 4 == 1).cast("int").alias("is_selected")))
+    return Examples(q, p)
+
+
+def _valid_passages(passages: DataFrame, min_chars: int) -> DataFrame:
+    return (passages.withColumn("text", py_strip("passage_text"))
+            .where(F.col("passage_text").isNotNull() & (F.char_length("text") > min_chars)))
 
 
-def passage_extract(examples: DataFrame, n: int, *, min_chars: int = PASSAGE_MIN_CHARS,
+def passage_extract(examples: Examples, n: int, *, min_chars: int = PASSAGE_MIN_CHARS,
                     max_n: int | None = None) -> DataFrame:
     """First ``n`` stripped passages longer than ``min_chars`` in document order
     (also stopping after ``n`` examples) -> (vector_id, text).
@@ -78,8 +121,8 @@ def passage_extract(examples: DataFrame, n: int, *, min_chars: int = PASSAGE_MIN
     """
     if max_n is not None:
         n = min(n, max_n)
-    p = _exploded_passages(examples.where(F.col("example_pos") < n), min_chars)
-    return (dense_index(p, ["example_pos", "pos"], "vector_id")
+    p = _valid_passages(examples.passages.where(F.col("example_pos") < n), min_chars)
+    return (dense_index(p.select("example_pos", "pos", "text"), ["example_pos", "pos"], "vector_id")
             .where(F.col("vector_id") < n)
             .select("vector_id", "text"))
 
@@ -107,9 +150,9 @@ def passage_topup(first: DataFrame, second: DataFrame, n: int, *, second_pos: st
             .select("vector_id", "text", "pass"))
 
 
-def query_extract(examples: DataFrame, n: int, *, min_chars: int = QUERY_MIN_CHARS) -> DataFrame:
+def query_extract(examples: Examples, n: int, *, min_chars: int = QUERY_MIN_CHARS) -> DataFrame:
     """First ``n`` stripped queries longer than ``min_chars`` -> (query_id, text, example_pos)."""
-    q = (examples.select("example_pos", py_strip("query").alias("text"))
+    q = (examples.queries.select("example_pos", py_strip("query").alias("text"))
          .where(F.char_length("text") > min_chars))
     return (dense_index(q, ["example_pos"], "query_id")
             .where(F.col("query_id") < n)
@@ -132,21 +175,21 @@ def last_wins(df: DataFrame, key_cols: Sequence[str], pos_col: str) -> DataFrame
             .select(*key_cols, *[F.col("_w")[c].alias(c) for c in others]))
 
 
-def qrels_extract(examples: DataFrame, *, min_query_chars: int = QUERY_MIN_CHARS,
+def qrels_extract(examples: Examples, *, min_query_chars: int = QUERY_MIN_CHARS,
                   min_passage_chars: int = PASSAGE_MIN_CHARS) -> DataFrame:
     """Relevant passages per query text -> (query, example_pos, pos, passage).
 
     Relevant = is_selected == 1 and stripped length > min_passage_chars, from
     examples whose own stripped query is longer than min_query_chars.  For a
     repeated query text the last example that has relevant passages wins.
+    Joins are on ``example_pos`` (one query row per example); a hot example
+    is split by AQE's skew-join handling.
     """
-    v = (examples.select("example_pos", py_strip("query").alias("query"),
-                         F.posexplode(F.arrays_zip(as_text_list(examples, "passages.passage_text").alias("t"),
-                                                   F.col("passages.is_selected").alias("s"))).alias("pos", "z"))
-         .where(F.char_length("query") > min_query_chars)
-         .where((F.col("z.s") == 1) & F.col("z.t").isNotNull())
-         .select("query", "example_pos", "pos", py_strip(F.col("z.t")).alias("passage"))
-         .where(F.char_length("passage") > min_passage_chars))
+    q = (examples.queries.select("example_pos", py_strip("query").alias("query"))
+         .where(F.char_length("query") > min_query_chars))
+    rel = (_valid_passages(examples.passages.where(F.col("is_selected") == 1), min_passage_chars)
+           .select("example_pos", "pos", F.col("text").alias("passage")))
+    v = rel.join(q, "example_pos").select("query", "example_pos", "pos", "passage")
     winner = v.groupBy("query").agg(F.max("example_pos").alias("example_pos"))
     return v.join(winner, ["query", "example_pos"], "left_semi")
 
