@@ -1,16 +1,30 @@
-"""Ranked ids -> texts (id -> passage, query position -> query text)."""
+"""Ranked ids -> texts (id -> passage, query position -> query text).
+
+The ranked side is |queries| x k rows; the text tables can be the whole
+corpus.  The ranked side is broadcast after its row count is checked
+(``max_broadcast_rows``), so the corpus is scanned but never shuffled;
+above the bound the join falls back to a shuffle join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_BROADCAST_ROWS = 20_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its row count is within ``max_rows`` (one count job)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
 
 def id_to_passage(ranked: DataFrame, passages: DataFrame) -> DataFrame:
     """Replace ids by passage texts; ids outside the passage table are dropped
     and the remaining positions are re-numbered 1.. per query (bounded by k)."""
     p = passages.select("vector_id", F.col("text").alias("passage"))
-    j = ranked.select("query_id", "rank", "vector_id").join(p, "vector_id")
+    r = broadcast_if_small(ranked.select("query_id", "rank", "vector_id"))
+    j = p.join(r, "vector_id")
     w = Window.partitionBy("query_id").orderBy("rank")
     return j.select("query_id", F.row_number().over(w).alias("rank"), "vector_id", "passage")
 
