@@ -420,4 +420,8 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    return merge_topk(scored, k)
+    out = merge_topk(scored, k)
+    # known size bound of the result (queries fetched x k): lets consumers
+    # broadcast it without a count job (see textjoin.broadcast_if_small)
+    out._vecspark_row_bound = k * sum(len(c["qids"]) for c in chunks)
+    return out
