@@ -237,3 +237,11 @@ def test_nested_and_flat_examples_agree(spark):
     assert sorted(passage_extract(flat, 10**6).collect()) == sorted(passage_extract(nested, 10**6).collect())
     key = lambda r: (r["query"], r["passage"])
     assert sorted(map(key, qrels_extract(flat).collect())) == sorted(map(key, qrels_extract(nested).collect()))
+
+
+def test_ivf_sweep_equals_separate_searches(views):
+    from vecspark.operators.ann import ivf_sweep
+    sw = ivf_sweep(views.index_lists, views.queries, views.centroids, 10, (1, 4, 16)).collect()
+    for p in (1, 4, 16):
+        got = sorted((r["query_id"], r["rank"], r["vector_id"]) for r in sw if r["nprobe"] == p)
+        assert got == _rows(views.pred_at(p))

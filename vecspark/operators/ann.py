@@ -164,6 +164,18 @@ def ivf_search(index_assigned: DataFrame, queries: DataFrame, centroids: DataFra
                      probe_col="probes", max_chunk_bytes=max_chunk_bytes)
 
 
+def ivf_sweep(index_assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10,
+              nprobes=(1, 2, 4, 8, 16), *, id_col: str = "vector_id", vec_col: str = "embedding",
+              qid_col: str = "query_id", qvec_col: str = "embedding", list_col: str = "list_id",
+              max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
+    """IVF results for several probe counts in one scan ->
+    (nprobe, query_id, rank, vector_id, score); equals ``ivf_search`` per nprobe."""
+    q = ivf_probes(queries.select(qid_col, qvec_col), centroids, max(nprobes), vec_col=qvec_col)
+    return block_knn(index_assigned, q, k, mode="ivf", id_col=id_col, vec_col=vec_col,
+                     qid_col=qid_col, qvec_col=qvec_col, list_col=list_col, probe_col="probes",
+                     sweep_levels=list(nprobes), max_chunk_bytes=max_chunk_bytes)
+
+
 # ---------------------------------------------------------------------------
 # hyperplane LSH
 # ---------------------------------------------------------------------------

@@ -164,14 +164,17 @@ def _score_exact(ch: QueryChunk, ids, X, xn, acc: TopKAccumulator, k: int):
 
 
 def _score_ivf(ch: QueryChunk, ids, X, xn, lists, acc: TopKAccumulator, k: int, inv):
+    """``inv``: list id -> (query rows, accumulator keys).  In a sweep the key
+    is ``query * nprobe + probe rank`` so each probe rank keeps its own top-k."""
     order = np.argsort(lists, kind="stable")
     ls = lists[order]
     starts = np.flatnonzero(np.r_[True, ls[1:] != ls[:-1]])
     ends = np.r_[starts[1:], len(ls)]
     for a, b in zip(starts, ends):
-        qs = inv.get(int(ls[a]))
-        if qs is None:
+        hit = inv.get(int(ls[a]))
+        if hit is None:
             continue
+        qs, keys = hit
         rows = order[a:b]
         Xl, il = X[rows], ids[rows]
         xl = xn[rows] if xn is not None else None
@@ -180,7 +183,7 @@ def _score_ivf(ch: QueryChunk, ids, X, xn, lists, acc: TopKAccumulator, k: int,
             qsel = qs[q0:q0 + qb]
             S = _block(ch, qsel, Xl, xl)
             r, i, s = dense_candidates(S, il, k)
-            acc.add(qsel[r], i, s)
+            acc.add(keys[q0:q0 + qb][r], i, s)
 
 
 def _score_lsh(ch: QueryChunk, ids, X, xn, acc: TopKAccumulator, k: int, band_index):
@@ -229,14 +232,17 @@ def make_scorer(bc, k: int, dim: int, id_col: str, vec_col: str, list_col: str |
 
     def score(batches):
         ch: QueryChunk = bc.value
-        acc = TopKAccumulator(k, len(ch.qids))
+        acc = TopKAccumulator(k, len(ch.qids) * (ch.probes.shape[1] if ch.probes is not None else 1))
         inv = band_index = None
+        sweep = ch.extra.get("sweep", False)
+        width = ch.probes.shape[1] if ch.mode == "ivf" else 1
         if ch.mode == "ivf":
             inv = {}
             for qi, row in enumerate(ch.probes):
-                for l in row:
-                    inv.setdefault(int(l), []).append(qi)
-            inv = {l: np.asarray(v, dtype=np.int64) for l, v in inv.items()}
+                for rank, l in enumerate(row):
+                    inv.setdefault(int(l), []).append((qi, qi * width + rank if sweep else qi))
+            inv = {l: (np.asarray([a for a, _ in v], dtype=np.int64), np.asarray([b for _, b in v], dtype=np.int64))
+                   for l, v in inv.items()}
         elif ch.mode == "lsh":
             band_index = []
             for b in range(ch.bands):
@@ -267,7 +273,12 @@ def make_scorer(bc, k: int, dim: int, id_col: str, vec_col: str, list_col: str |
             else:
                 _score_lsh(ch, ids, X, xn, acc, k, band_index)
         r, i, s = acc.result()
-        if len(r):
+        if len(r) and sweep:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ch.qids[r // width], pa.int64()), pa.array((r % width).astype(np.int32), pa.int32()),
+                 pa.array(i, pa.int64()), pa.array(s, pa.float64())],
+                names=["query_id", "probe_rank", "vector_id", "score"])
+        elif len(r):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ch.qids[r], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
                 names=["query_id", "vector_id", "score"])
@@ -361,15 +372,36 @@ def merge_topk(scored: DataFrame, k: int) -> DataFrame:
             .select("query_id", "rank", "vector_id", "score"))
 
 
+SWEEP_SCHEMA = "query_id long, probe_rank int, vector_id long, score double"
+
+
+def merge_sweep(parts, k: int, levels, spark: SparkSession) -> DataFrame:
+    """Top-k per (query, nprobe) from per-(query, probe rank) candidates:
+    a row found in the list of probe rank r belongs to every nprobe > r."""
+    if not parts:
+        return spark.createDataFrame([], "nprobe int, query_id long, rank int, vector_id long, score double")
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    lv = F.array(*[F.lit(int(x)) for x in sorted(set(levels))])
+    ex = scored.withColumn("nprobe", F.explode(F.filter(lv, lambda p: p > F.col("probe_rank"))))
+    w = Window.partitionBy("nprobe", "query_id").orderBy(F.col("score").desc(), F.col("vector_id").asc())
+    return (ex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("nprobe", "query_id", "rank", "vector_id", "score"))
+
+
 def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exact",
               id_col: str = "vector_id", vec_col: str = "embedding",
               qid_col: str = "query_id", qvec_col: str = "embedding",
               list_col: str | None = None, probe_col: str | None = None,
               key_col: str | None = None, planes: np.ndarray | None = None,
-              bands: int = 0, bits: int = 0, cosine: bool = False,
+              bands: int = 0, bits: int = 0, cosine: bool = False, sweep_levels=None,
               max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
     """Top-k of every query over ``index`` -> (query_id, rank, vector_id, score).
 
+    ``sweep_levels`` (IVF only): one scan answers several probe counts; the
+    result gets an ``nprobe`` column and is ranked per (query, nprobe).
+
     ``cosine=True`` scores dot / (||q|| * ||x||) without normalizing first
     (zero vectors are skipped); otherwise the score is the plain dot product.
     """
@@ -395,7 +427,8 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
         ch = QueryChunk(qids=data["qids"], Q=data["Q"], mode=mode,
                         probes=data.get(probe_col) if probe_col else None,
                         qkeys=data.get(key_col) if key_col else None,
-                        planes=planes, bands=bands, bits=bits, cosine=cosine)
+                        planes=planes, bands=bands, bits=bits, cosine=cosine,
+                        extra={"sweep": sweep_levels is not None})
         if cosine:
             qn = np.sqrt((ch.Q * ch.Q).sum(axis=1))
             keep = qn > 0
@@ -413,7 +446,10 @@ def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exac
             probed = np.unique(ch.probes)
             if len(probed) <= MAX_PRUNE_LISTS:
                 scan = idx.where(F.col(list_col).isin([int(x) for x in probed]))
-        parts.append(scan.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), SCORED_SCHEMA))
+        schema = SWEEP_SCHEMA if sweep_levels is not None else SCORED_SCHEMA
+        parts.append(scan.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), schema))
+    if sweep_levels is not None:
+        return merge_sweep(parts, k, sweep_levels, spark)
     if not parts:
         return spark.createDataFrame([], SCORED_SCHEMA + ", rank int").select(
             "query_id", "rank", "vector_id", "score")

@@ -221,14 +221,17 @@ FROM (SELECT p.nprobe, p.query_id, count(g.vector_id) AS n
       GROUP BY 1, 2) h JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS nprobe) n USING (nprobe)
 GROUP BY n.nprobe""", "f_pred_np", "f_gt"))
 def q_ivf_recall_by_nprobe(spark, sf):
-    from vecspark.operators.ir import quality_scores
+    # one scan for all probe counts, then recall@10 per (query, nprobe) against gt
+    from vecspark.operators.ann import ivf_sweep
     v = Views(spark, sf)
-    out = None
-    for npb in (1, 2, 4, 8, 16):
-        s = quality_scores(v.pred_at(npb), v.gt, (10,)).select(
-            F.lit(npb).alias("nprobe"), r6("recall").alias("recall_at_10"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    sw = ivf_sweep(v.index_lists, v.queries, v.centroids, 10, (1, 2, 4, 8, 16))
+    g = v.gt.select("query_id", "vector_id", F.lit(True).alias("_hit"))
+    per_q = (sw.join(g, ["query_id", "vector_id"], "left")
+             .groupBy("nprobe", "query_id")
+             .agg(F.count(F.when(F.col("_hit"), 1)).alias("n"), F.count(F.lit(1)).alias("m")))
+    # recall@10 with untruncated predictions of length m: |pred & gt[:10]| / min(m, 10)
+    return (per_q.groupBy("nprobe")
+            .agg(r6(F.avg(F.col("n") / F.least(F.col("m"), F.lit(10)))).alias("recall_at_10")))
 
 
 def _lsh(v: Views):
