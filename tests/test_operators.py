@@ -245,3 +245,40 @@ def test_ivf_sweep_equals_separate_searches(views):
     for p in (1, 4, 16):
         got = sorted((r["query_id"], r["rank"], r["vector_id"]) for r in sw if r["nprobe"] == p)
         assert got == _rows(views.pred_at(p))
+
+
+def test_hot_bucket_and_hot_list_stay_exact(spark):
+    """Two thirds of the index in one LSH bucket / one IVF list: results stay exact."""
+    from vecspark.operators.ann import centroids_from_rows, lsh_search
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    X = np.vstack([base + 1e-3 * rng.normal(size=(400, 8)), rng.normal(size=(200, 8))])
+    Q = np.vstack([base + 1e-3 * rng.normal(size=(10, 8)), rng.normal(size=(10, 8))])
+    idx = spark.createDataFrame([(i, X[i].tolist()) for i in range(600)], "vector_id long, embedding array<double>")
+    qs = spark.createDataFrame([(i, Q[i].tolist()) for i in range(20)], "query_id long, embedding array<double>")
+    exact = _rows(knn_exact(idx, qs, 5))
+    # LSH with 2 bands of 1 bit: the hot bucket admits ~2/3 of all pairs;
+    # the result must equal brute force over the same candidate rule
+    from vecspark.operators.ann import planes_matrix
+    from vecspark.operators.blockscan import band_keys
+    P = planes_matrix(spark, 8, 2, 1, 42)
+    xk, qk = band_keys((X @ P.T) > 0, 2, 1), band_keys((Q @ P.T) > 0, 2, 1)
+    exp = []
+    for q in range(20):
+        cand = [j for j in range(600) if (xk[j] == qk[q]).any()]
+        best = sorted(cand, key=lambda j: (-(Q[q] @ X[j]), j))[:5]
+        exp += [(q, r + 1, j) for r, j in enumerate(best)]
+    assert _rows(lsh_search(idx, qs, 5, bands=2, bits=1)) == sorted(exp)
+    cents = centroids_from_rows(idx, F.col("vector_id").isin(0, 500))
+    assigned = ivf_assign(idx, cents)
+    sizes = {r["list_id"]: r["count"] for r in assigned.groupBy("list_id").count().collect()}
+    assert max(sizes.values()) >= 400
+    assert _rows(ivf_search(assigned, qs, cents, 5, 2)) == exact
+
+
+def test_synthetic_query_stream_is_independent(spark):
+    from vecspark.sources.corpus import synthetic_vectors
+    a = synthetic_vectors(spark, 5, 8).collect()
+    b = synthetic_vectors(spark, 5, 8, stream="query", normalize=False, id_col="query_id").collect()
+    assert a[0]["embedding"] != b[0]["embedding"]
+    assert abs(np.linalg.norm(b[0]["embedding"]) - 1) > 1e-6

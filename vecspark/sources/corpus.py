@@ -215,12 +215,19 @@ def synthetic_corpus(spark: SparkSession, n: int, *, seed: int = RANDOM_SEED,
 
 
 def synthetic_vectors(spark: SparkSession, n: int, dim: int, *, seed: int = RANDOM_SEED,
-                      normalize: bool = True, partitions: int | None = None) -> DataFrame:
-    """n Gaussian vectors (md5 Box-Muller per (seed, id, d)), optionally unit length."""
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: gaussian(seed, F.col("id"), d))
-    df = spark.range(0, n, numPartitions=partitions).select(F.col("id").alias("vector_id"), v.alias("embedding"))
+                      normalize: bool = True, partitions: int | None = None,
+                      stream: str | None = None, id_col: str = "vector_id") -> DataFrame:
+    """n Gaussian vectors (md5 Box-Muller per (seed, id, d)), optionally unit length.
+
+    ``stream`` names an independent sequence (e.g. ``"query"`` for random
+    query vectors, which the original leaves un-normalized: pass
+    ``normalize=False``).
+    """
+    parts = (seed,) if stream is None else (seed, stream)
+    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: gaussian(*parts, F.col("id"), d))
+    df = spark.range(0, n, numPartitions=partitions).select(F.col("id").alias(id_col), v.alias("embedding"))
     if normalize:
-        df = df.select("vector_id", l2_normalize("embedding").alias("embedding"))
+        df = df.select(id_col, l2_normalize("embedding").alias("embedding"))
     return df
 
 
