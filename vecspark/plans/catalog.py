@@ -542,7 +542,7 @@ def q_results_roundtrip(spark, sf):
     return back.withColumn("value", r6("value")).withColumn("query_id", F.col("query_id").cast("int"))
 
 
-O.cte("cls", [], """SELECT event_id, 'vdb-' || ['Postgres', 'WEAVIATE', 'qdrant', 'redis'][user_id % 4 + 1]
+O.cte("cls", [], """SELECT event_id, 'svc-' || ['Postgres', 'WEAVIATE', 'qdrant', 'redis'][user_id % 4 + 1]
   || '-' || (user_id % 3) AS container FROM events""")
 
 
@@ -557,7 +557,7 @@ def q_engine_classify(spark, sf):
     ev = Views(spark, sf).table("events")
     names = F.element_at(F.array(*[F.lit(x) for x in ("Postgres", "WEAVIATE", "qdrant", "redis")]),
                          (F.col("user_id") % 4 + 1).cast("int"))
-    c = ev.select("event_id", F.concat(F.lit("vdb-"), names, F.lit("-"),
+    c = ev.select("event_id", F.concat(F.lit("svc-"), names, F.lit("-"),
                                        (F.col("user_id") % 3).cast("string")).alias("container"))
     return engine_classify(c, "container")
 
