@@ -297,14 +297,25 @@ def compare_strategies(index: DataFrame, queries: DataFrame, k: int = 10,
 
     A failing strategy fails the job (errors are not hidden as empty results).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     if not isinstance(strategies, dict):
         strategies = {s: {} for s in strategies}
-    out = None
     for name, params in strategies.items():
-        kind = params.get("strategy", name)
-        if kind not in STRATEGIES:
-            raise ValueError(f"unknown strategy {kind!r}")
+        if params.get("strategy", name) not in STRATEGIES:
+            raise ValueError(f"unknown strategy {params.get('strategy', name)!r}")
+
+    def build(item):
+        name, params = item
         p = {a: b for a, b in params.items() if a != "strategy"}
-        r = STRATEGIES[kind](index, queries, k, **p).select(F.lit(name).alias("engine"), "*")
-        out = r if out is None else out.unionByName(r)
+        return STRATEGIES[params.get("strategy", name)](index, queries, k, **p).select(
+            F.lit(name).alias("engine"), "*")
+
+    # each strategy's driver-side preparation (query fetch, centroids) runs
+    # in its own thread, so their small Spark jobs overlap
+    with ThreadPoolExecutor(max_workers=max(1, len(strategies))) as ex:
+        parts = list(ex.map(build, strategies.items()))
+    out = parts[0]
+    for r in parts[1:]:
+        out = out.unionByName(r)
     return out

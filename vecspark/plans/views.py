@@ -23,6 +23,7 @@ tables through scalar subqueries or one ``count()``; nothing is hard-coded.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,13 @@ from vecspark.sources.corpus import (
 )
 from vecspark.sources.tables import read_table
 
+def resolve_concurrently(*steps):
+    """Run independent driver-side steps (each may submit Spark jobs) from
+    separate threads; Spark schedules their jobs side by side."""
+    with ThreadPoolExecutor(max_workers=max(1, len(steps))) as ex:
+        return [f.result() for f in [ex.submit(st) for st in steps]]
+
+
 K = 10
 N_FIXED_CENTROIDS = 16
 NPROBE = 4
@@ -124,14 +132,20 @@ class Views:
 
     @cached_property
     def quality_rows(self) -> DataFrame:
+        self.n_vectors, self.centroids
+        resolve_concurrently(lambda: self.gt, lambda: self.pred)
         return quality_metric_rows(self.pred, self.gt, self.first_engine, QUALITY_KS)
 
     @cached_property
     def evaluation_rows(self) -> DataFrame:
+        self.n_vectors, self.examples                      # shared inputs first
+        resolve_concurrently(lambda: self.passages, lambda: self.qtexts, lambda: self.first_engine)
         return evaluation_rows(self.results_text, self.qrels, self.first_engine, EVALUATION_KS)
 
     @cached_property
     def results(self) -> DataFrame:
+        self.n_vectors, self.examples, self.centroids
+        resolve_concurrently(lambda: self.gt, lambda: self.pred, lambda: self.evaluation_rows)
         return (self.perf_rows.unionByName(self.index_rows).unionByName(self.quality_rows)
                 .unionByName(self.evaluation_rows))
 
