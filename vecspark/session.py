@@ -34,6 +34,10 @@ def get_session(master: str | None = None, app: str = "vecspark",
          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"))
     if shuffle_partitions or master:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor; the default 1g heap
+        # makes GC dominate. On a cluster, spark-submit's settings apply.
+        b = b.config("spark.driver.memory", os.environ.get("VECSPARK_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
