@@ -104,3 +104,10 @@ def test_repeated_query_last_wins_and_rejected_query(spark):
     ex = ex.withColumn("query_id", F.col("example_pos"))
     got = sorted((r["query"], r["passage"]) for r in qrels_extract(explode_examples(ex)).collect())
     assert got == [("what is spark", "second relevant passage")]
+
+
+def test_no_judgments_no_evaluation_rows(spark):
+    from vecspark.operators.ir import evaluation_rows
+    res = spark.createDataFrame([("q1", 1, "a")], TEXT)
+    assert evaluation_rows(res, spark.createDataFrame([], QRELS), "db").count() == 0
+    assert evaluation_rows(res, spark.createDataFrame([("q1", "a")], QRELS), "db").count() == 5

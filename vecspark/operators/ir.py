@@ -196,7 +196,8 @@ def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
     """Measurement rows ``recall@k`` + ``mrr`` (operation 'evaluation').
 
     One pass: per judged query the found-count for every k and the first
-    relevant position, then a single global aggregate.
+    relevant position, then a single global aggregate.  Without any
+    judgments there are no rows.
     """
     per = _judged_per_query(results, qrels)
     tot = per.agg(*[F.coalesce(F.avg(_found(k) / F.size("REL")), F.lit(0.0)).alias(f"r{k}") for k in ks],
@@ -204,6 +205,8 @@ def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
     cells = F.array(*[F.struct(F.lit(f"recall@{k}").alias("metric"), F.col(f"r{k}").alias("value")) for k in ks],
                     F.struct(F.lit("mrr").alias("metric"), F.col("mrr").alias("value")))
     db = database if not isinstance(database, str) else F.lit(database)
-    return measurement_rows(tot.select(F.explode(cells).alias("c")).select(
+    # no judgments at all -> no evaluation rows (not rows of zeros)
+    judged = qrels.limit(1).select(F.count(F.lit(1))).scalar() > 0
+    return measurement_rows(tot.where(judged).select(F.explode(cells).alias("c")).select(
         db.alias("database"), F.lit("evaluation").alias("operation"), F.col("c.metric").alias("metric"),
         F.col("c.value").alias("value"), F.lit(1).alias("worker_count")))

@@ -223,10 +223,10 @@ cte("j_recall", ["j_hits", "j_rel"], """SELECT kk.k::INTEGER AS k, coalesce(avg(
   GROUP BY kk.k""")
 cte("j_mrr", ["j_hits"], """SELECT coalesce(avg(coalesce(1.0 / f, 0.0)), 0.0) AS mrr FROM (
   SELECT query, min(CASE WHEN isrel THEN rank END) AS f FROM j_hits GROUP BY 1)""")
-cte("m_eval", ["j_recall", "j_mrr"], f"""SELECT {FIRST_ENGINE} AS database, 'evaluation' AS operation, metric, value,
+cte("m_eval", ["j_recall", "j_mrr", "j_rel"], f"""SELECT {FIRST_ENGINE} AS database, 'evaluation' AS operation, metric, value,
   1::INTEGER AS worker_count, NULL::INTEGER AS query_id FROM (
   SELECT 'recall@' || k AS metric, recall AS value FROM j_recall UNION ALL
-  SELECT 'mrr', mrr FROM j_mrr)""")
+  SELECT 'mrr', mrr FROM j_mrr) WHERE EXISTS (SELECT 1 FROM j_rel)""")
 
 
 # -- generators -----------------------------------------------------------------
