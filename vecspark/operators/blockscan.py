@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from vecspark.session import ship_library
 
 SCORED_SCHEMA = "query_id long, vector_id long, score double"
-# bytes of one broadcast query chunk (float64 vectors + side columns)
-DEFAULT_MAX_CHUNK_BYTES = 256 * 1024 * 1024
+# bytes of one broadcast query chunk (float64 vectors + side columns); every
+# Python worker process holds its own copy, so an executor with c cores keeps
+# about c x this much for the scorer
+DEFAULT_MAX_CHUNK_BYTES = 128 * 1024 * 1024
 # cells of one dense score block inside a task (8 bytes each)
 _BLOCK_CELLS = 4 * 1024 * 1024
 # candidate pairs gathered at once in the LSH path
