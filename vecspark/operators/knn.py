@@ -29,29 +29,36 @@ def knn_exact(index: DataFrame, queries: DataFrame, k: int = 10, *,
                      max_chunk_bytes=max_chunk_bytes)
 
 
-def _vector_column(query_vector) -> Column:
-    if isinstance(query_vector, Column):
-        return query_vector
-    return F.array(*[F.lit(float(x)) for x in query_vector]).cast("array<double>")
-
-
-def search_one(index: DataFrame, query_vector: Sequence[float] | Column, k: int = 10, *,
-               id_col: str = "vector_id", vec_col: str = "embedding",
+def search_one(index: DataFrame, query, k: int = 10, *,
+               id_col: str = "vector_id", vec_col: str = "embedding", qvec_col: str = "embedding",
                keep: Sequence[str] = ()) -> DataFrame:
-    """Nearest neighbours of one vector by cosine distance (``<=>``).
-
-    ``query_vector`` is a literal vector or a scalar-subquery column such as
-    ``queries.where(...).select('embedding').scalar()``.  The plan is a scan
-    plus TakeOrderedAndProject: each task keeps k rows, the driver merges.
+    """Nearest neighbours of one vector by cosine distance (``<=>``) ->
+    (``id_col``, ``keep``..., distance), nearest first.
+
+    ``query`` is a vector (list / array) or a one-row DataFrame with
+    ``qvec_col``.  Scoring runs in the block scorer (BLAS per Arrow batch,
+    local top-k per task, one small merge); ``keep`` columns are joined back
+    for the k winners only (broadcast of k rows).  A Column (e.g. a scalar
+    subquery) selects the expression path: distance per row in the JVM plus
+    TakeOrderedAndProject.
     """
-    # the query vector is projected as its own column first: Spark does not
-    # allow a subquery inside the higher-order functions of the distance
-    q = _vector_column(query_vector)
-    return (index.select(F.col(id_col), F.col(vec_col), *[F.col(c) for c in keep], q.alias("_q"))
-            .select(F.col(id_col), *[F.col(c) for c in keep],
-                    cosine_distance(F.col(vec_col), F.col("_q")).alias("distance"))
-            .orderBy(F.col("distance").asc(), F.col(id_col).asc())
-            .limit(k))
+    if isinstance(query, Column):
+        q = query
+        return (index.select(F.col(id_col), F.col(vec_col), *[F.col(c) for c in keep], q.alias("_q"))
+                .select(F.col(id_col), *[F.col(c) for c in keep],
+                        cosine_distance(F.col(vec_col), F.col("_q")).alias("distance"))
+                .orderBy(F.col("distance").asc(), F.col(id_col).asc())
+                .limit(k))
+    spark = index.sparkSession
+    if isinstance(query, DataFrame):
+        qdf = query.select(F.lit(0).cast("long").alias("query_id"), F.col(qvec_col).alias("embedding"))
+    else:
+        qdf = spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<double>")
+    res = block_knn(index, qdf, k, mode="exact", id_col=id_col, vec_col=vec_col, cosine=True)
+    out = res.select(F.col("vector_id").alias(id_col), "rank", (F.lit(1.0) - F.col("score")).alias("distance"))
+    if keep:
+        out = index.select(id_col, *keep).join(F.broadcast(out), id_col)   # k rows: proven bound
+    return out.orderBy("rank").select(id_col, *keep, "distance")
 
 
 def similarity_of_pairs(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:

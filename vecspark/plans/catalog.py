@@ -100,7 +100,8 @@ O.cte("f_one", ["f_index", "f_query"], f"""SELECT vector_id,
 
 
 def _first_query_vector(v: Views):
-    return v.queries.orderBy("query_id").limit(1).select(F.col("embedding").cast("array<double>")).scalar()
+    """The single query: the first row of the query split (one-row DataFrame)."""
+    return v.queries.orderBy("query_id").limit(1)
 
 
 @register("search_one", O.sql(
