@@ -1,7 +1,8 @@
 """Exact k-nearest-neighbour search.
 
 * ``knn_exact``   all queries against the whole index (block scorer, exact);
-* ``search_one``  one query vector, global top-k (TakeOrderedAndProject);
+* ``search_one``  one query vector, global top-k by cosine distance (block
+  scorer; a Column query uses the JVM expression path);
 * ``batch_search`` ranked id lists per query for any strategy.
 
 Similarity is the dot product (cosine on unit vectors); order is
