@@ -206,7 +206,7 @@ _PLANES: dict[tuple, np.ndarray] = {}
 def planes_matrix(spark: SparkSession, dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
     """The hyperplanes as a (bands*bits, dim) matrix; a pure function of its
     parameters, so it is generated by Spark once per session and reused."""
-    key = (id(spark.sparkContext), dim, bands, bits, seed)
+    key = (spark.sparkContext.applicationId, dim, bands, bits, seed)
     if key not in _PLANES:
         _PLANES[key] = collect_planes(lsh_planes(spark, dim, bands, bits, seed))
     return _PLANES[key]

@@ -44,7 +44,7 @@ def get_session(master: str | None = None, app: str = "vecspark",
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_library(spark: SparkSession) -> None:
@@ -55,7 +55,7 @@ def ship_library(spark: SparkSession) -> None:
     SparkContext on the driver and distributed by Spark.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:            # unique per SparkContext
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     base = os.path.dirname(pkg)
@@ -67,7 +67,7 @@ def ship_library(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(zpath)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
