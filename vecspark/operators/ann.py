@@ -271,10 +271,16 @@ def _lsh_strategy(index, queries, k, **kw):
 
 def search_auto(index: DataFrame, queries: DataFrame, k: int = 10, *,
                 full_scan_threshold: int = 10000, **kw) -> DataFrame:
-    """Exact scan for small indexes (<= threshold rows), inverted lists otherwise."""
+    """Exact scan for small indexes (<= threshold rows), inverted lists otherwise.
+
+    The choice is recorded on the result as ``_vecspark_strategy``.
+    """
     if index.count() <= full_scan_threshold:
-        return _exact_strategy(index, queries, k, **kw)
-    return _ivf_strategy(index, queries, k, **kw)
+        out, chosen = _exact_strategy(index, queries, k, **kw), "exact"
+    else:
+        out, chosen = _ivf_strategy(index, queries, k, **kw), "ivf"
+    out._vecspark_strategy = chosen
+    return out
 
 
 STRATEGIES = {"exact": _exact_strategy, "ivf": _ivf_strategy, "lsh": _lsh_strategy,

@@ -252,10 +252,9 @@ SELECT CASE WHEN (SELECT count(*) FROM f_index) <= 10000 THEN 'exact' ELSE 'ivf'
 def q_search_auto(spark, sf):
     from vecspark.operators.ann import search_auto
     v = Views(spark, sf)
-    n = v.index.count()
-    strategy = "exact" if n <= 10000 else "ivf"
-    return search_auto(v.index, v.queries, 10, full_scan_threshold=10000).select(
-        F.lit(strategy).alias("strategy"), "query_id", "rank", "vector_id", r6("score", 4).alias("score"))
+    res = search_auto(v.index, v.queries, 10, full_scan_threshold=10000)
+    return res.select(F.lit(res._vecspark_strategy).alias("strategy"), "query_id", "rank", "vector_id",
+                      r6("score", 4).alias("score"))
 
 
 @register("compare_strategies", O.sql("""
