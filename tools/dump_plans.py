@@ -8,6 +8,7 @@ from contextlib import redirect_stdout
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from vecspark.operators.ir import quality_scores  # noqa: E402
+from vecspark.operators.knn import search_one  # noqa: E402
 from vecspark.operators.perf import exact_quantiles  # noqa: E402
 from vecspark.plans.views import Views  # noqa: E402
 from vecspark.session import get_session  # noqa: E402
@@ -21,6 +22,9 @@ def main():
     items = [
         ("Exact k-NN (`knn_exact`)", v.gt),
         ("Inverted-list search (`ivf_search`, nprobe 4)", v.pred),
+        ("Single-query search (`search_one`, payload joined for the k winners)",
+         search_one(v.index.withColumn("payload", v.index.vector_id.cast("string")),
+                    v.queries.orderBy("query_id").limit(1), 10, keep=["payload"])),
         ("Quality metrics per k (`quality_scores`)", quality_scores(v.pred, v.gt)),
         ("Skew-safe exact quantiles (`exact_quantiles`)",
          exact_quantiles(v.lat.select("engine", "worker_count", (v.lat.latency_s * 1000).alias("ms")),
