@@ -282,3 +282,41 @@ def test_synthetic_query_stream_is_independent(spark):
     b = synthetic_vectors(spark, 5, 8, stream="query", normalize=False, id_col="query_id").collect()
     assert a[0]["embedding"] != b[0]["embedding"]
     assert abs(np.linalg.norm(b[0]["embedding"]) - 1) > 1e-6
+
+
+def test_summary_pivot_database_filter(spark):
+    from vecspark.plans.reports import summary_pivot
+    from vecspark.operators.perf import performance_rows
+    res = performance_rows(Views(spark, SF_SMALL).lat)
+    full = summary_pivot(res, "latency", "p50_ms")
+    two = summary_pivot(res, "latency", "p50_ms", databases=["click", "view"])
+    assert set(two.columns) == {"worker_count", "click", "view"}
+    a = {r["worker_count"]: (r["click"], r["view"]) for r in full.collect()}
+    b = {r["worker_count"]: (r["click"], r["view"]) for r in two.collect()}
+    assert a == b
+
+
+def test_passage_extract_clamp(spark):
+    from vecspark.sources.corpus import conversation_examples, passage_extract
+    ex = conversation_examples(Views(spark, SF_SMALL).table("conversations"))
+    got = passage_extract(ex, 1000, max_n=7).collect()
+    assert sorted(r["vector_id"] for r in got) == list(range(7))
+
+
+def test_register_custom_strategy(spark, views):
+    from vecspark.operators.ann import STRATEGIES, compare_strategies, register_strategy
+    from vecspark.operators.knn import batch_search
+
+    def first_ids(index, queries, k, **kw):   # a deliberately naive engine: the k lowest ids
+        return knn_exact(index.where(F.col("vector_id") < k), queries, k)
+
+    register_strategy("naive", first_ids)
+    try:
+        got = batch_search(views.index, views.queries, 3, strategy="naive")
+        assert {r["vector_id"] for r in got.collect()} == {0, 1, 2}
+        both = compare_strategies(views.index, views.queries, 3, ["exact", "naive"])
+        assert {r["engine"] for r in both.select("engine").distinct().collect()} == {"exact", "naive"}
+        with pytest.raises(ValueError):
+            compare_strategies(views.index, views.queries, 3, ["nope"])
+    finally:
+        STRATEGIES.pop("naive", None)
