@@ -145,49 +145,54 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _moments(d: int):
-    """Per batch: the sum of n P and of n P P'."""
+def _moments(d: int, steps: list[np.ndarray]):
+    """Per batch: the sum of w n P, and of n P P' over documents whose rate is above 0 and over all."""
     def run(batches):
         for rb in batches:
             n, p = rb.column(0).to_numpy().astype(float), _matrix(rb.column(1), d)
-            total, gram = n @ p, (p * n[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, gram.reshape(-1)]).tolist()], pa.list_(pa.float64()))],
+            w = rates_of(p, steps)
+            outer = [((p * (n * on)[:, None]).T @ p).reshape(-1) for on in (w > 0, np.ones(len(w)))]
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([(n * w) @ p, *outer]).tolist()], pa.list_(pa.float64()))],
                                              names=["sums"])
     return run
 
 
-def _weighted(d: int, steps):
-    def run(batches):
-        for rb in batches:
-            n, p = rb.column(0).to_numpy().astype(float), _matrix(rb.column(1), d)
-            yield pa.RecordBatch.from_arrays([pa.array([((n * rates_of(p, steps)) @ p).tolist()], pa.list_(pa.float64()))], names=["sums"])
-    return run
-
-
 def _summed(df: DataFrame, size: int) -> np.ndarray:
     row = df.agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(size)]).first()
     return np.array([x or 0.0 for x in row])
 
 
+def _moment_sums(features: DataFrame, d: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sums = _summed(features.select("n_tokens", "posterior").mapInArrow(_moments(d, steps), "sums array<double>"), d + 2 * d * d)
+    return sums[:d], sums[d:d + d * d].reshape(d, d), sums[d + d * d:].reshape(d, d)
+
+
 def fit_rates(features: DataFrame, targets: np.ndarray, rounds: int = MIX_ROUNDS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """Step vectors of the projected gradient; features: n_tokens, posterior.
 
-    The gradient is taken in the scale in which a document weighs as its tokens
-    and a domain as its second moment, where step length 1 always descends.
-    Targets that cannot be met end at the least squares in that scale.
+    A document weighs as its tokens and a domain as its second moment over the
+    documents that are above rate 0 (a step that does not lessen the residual is
+    taken back for one over all documents, which always descends).  Targets that
+    cannot be met end at the least squares in that scale.
     """
     d = len(targets)
-    features = features.select("n_tokens", "posterior")
-    sums = _summed(features.mapInArrow(_moments(d), "sums array<double>"), d + d * d)
-    totals, gram = sums[:d], sums[d:].reshape(d, d)
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    scale = max(1.0, float(targets.sum()))
     steps: list[np.ndarray] = []
+    totals, active, full = _moment_sums(features, d, steps)
+    residual, bold = totals - targets, True
     for _ in range(rounds):
-        residual = totals - targets
-        if np.abs(residual).max() <= tolerance * max(1.0, targets.sum()):
+        if np.abs(residual).max() <= tolerance * scale:
+            break
+        step = np.linalg.pinv(active if bold else full, rcond=1e-9, hermitian=True) @ residual
+        totals, new_active, _ = _moment_sums(features, d, [*steps, step])
+        if bold and np.linalg.norm(totals - targets) >= 0.9 * np.linalg.norm(residual):
+            bold = False
+            continue
+        steps.append(step)
+        stalled = not bold and np.linalg.norm(totals - targets) > 0.999 * np.linalg.norm(residual)
+        residual, active, bold = totals - targets, new_active, True
+        if stalled:                                          # nonnegative rates come no closer
             break
-        steps.append(inverse @ residual)
-        totals = _summed(features.mapInArrow(_weighted(d, steps), "sums array<double>"), d)
     return steps
 
 
@@ -218,9 +223,9 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     scored = docs.mapInArrow(_posteriors(spark.sparkContext.broadcast(weights), text), f"{fields}, n_tokens long, posterior array<double>")
     scored = write_table(spark, scored, "mix-scored")
-    sums = _summed(scored.select("n_tokens", "posterior").mapInArrow(_moments(d), "sums array<double>"), d + d * d)
-    whole = float(sums[:d].sum()) if total is None else float(total)
-    goal = np.array([sums[i] if targets[x] is None else targets[x] * whole for i, x in enumerate(names)])
+    present = _moment_sums(scored, d, [])[0]
+    whole = float(present.sum()) if total is None else float(total)
+    goal = np.array([present[i] if targets[x] is None else targets[x] * whole for i, x in enumerate(names)])
     steps = fit_rates(scored, goal)
     out = scored.mapInArrow(_apply(d, steps), f"{fields}, n_tokens long, posterior array<double>, rate double")
     return out.withColumn("copies", F.floor(F.col("rate") + 0.5).cast("int"))
