@@ -184,7 +184,7 @@ _DOC = "rid long, doc_id long, n long, d1 long, d2 long, n_prefix int, toks bina
 
 
 def _documents(num: int, den: int):
-    """One block: a row per document; ``toks`` (globally ordered shared tokens) only where links are possible."""
+    """One block: a row per document; ``toks`` (globally ordered shared tokens) where links are possible, once per set."""
     def run(t: pa.Table) -> pa.Table:
         meta, hits = None, []
         for kind, payload in zip(t["kind"].to_pylist(), t["payload"]):
@@ -200,7 +200,11 @@ def _documents(num: int, den: int):
             tok, doc, code = (np.concatenate([h[i] for h in hits]) for i in range(3))
             del hits
             shared = np.bincount(doc, minlength=len(ids))
-            active = (shared * den >= num * n) & (n > 0)
+            # of equal sets in a block the one of least id speaks for all
+            order = np.lexsort((rid, d2, d1, n))
+            same = np.zeros(len(ids), bool)
+            same[order[1:]] = (n[order[1:]] == n[order[:-1]]) & (d1[order[1:]] == d1[order[:-1]]) & (d2[order[1:]] == d2[order[:-1]])
+            active = (shared * den >= num * n) & (n > 0) & ~same
             keep = active[doc]
             tok, doc, code = tok[keep], doc[keep], code[keep]
             key = (code.astype(np.uint64) << _U(48)) | tok
@@ -271,7 +275,7 @@ def _join_within(num: int, den: int):
     def run(batches):
         for _, t in _cells(["cluster", "chunk"])(batches):
             cid, n, sets = _load(t)
-            lab = np.unique(cid, return_inverse=True)[1].reshape(-1)     # rows of one id are one node
+            lab = np.unique(cid, return_inverse=True)[1].reshape(-1)     # repeated rows are one node
             every = np.arange(len(cid))
             lab, _ = link_cell(sets, n, lab, every, every, num, den)
             least = np.full(lab.max() + 1, np.iinfo(np.int64).max)
@@ -297,62 +301,72 @@ def _join_across(num: int, den: int):
 def _chunked(df: DataFrame, sizes: DataFrame) -> DataFrame:
     """Add ``chunk`` so that a cluster of m sets has about m / CELL_SETS chunks of random sets."""
     return (df.join(sizes, "cluster")
-            .withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(7)), F.ceil(F.col("m") / CELL_SETS).cast("long")))
+            .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("m") / CELL_SETS).cast("long")))
             .drop("m"))
 
 
-def _link_clusters(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all sets of each cluster that any links connect; sets: cluster, cid, n, toks."""
-    sizes = write_table(spark, sets.groupBy("cluster").agg(F.count("*").alias("m")), "nj-sizes")
-    todo = _chunked(sets, sizes)
+def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all sets of each cluster that any links connect.
+
+    sets: rid, d1, n, toks; members: cluster, node, cid (whose set stands for the
+    node).  Only sets of clusters of several cells move more than once.
+    """
+    sizes = write_table(spark, members.groupBy("cluster").agg(F.count("*").alias("m")), "nj-sizes")
+    names = members.join(sizes, "cluster").withColumnsRenamed({"cid": "rid", "node": "d1"})
+    every = write_table(spark, sets.join(names, ["rid", "d1"]).withColumnRenamed("d1", "cid")
+                        .select("cluster", "cid", "n", "m", "toks"), "nj-sets")
+    large = every.where(F.col("m") > CELL_SETS).drop("m")
+
+    def placed(names: DataFrame) -> DataFrame:
+        return large.join(names.withColumnRenamed("node", "cid"), ["cluster", "cid"])
+
+    todo = every.withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(7)), F.ceil(F.col("m") / CELL_SETS).cast("long")))
     found: list[DataFrame] = []
-    label = None                                    # cid -> group so far
     big = sizes.where(F.col("m") > CELL_SETS).select("cluster")
-    rounds = 0
+    label, rounds, before = None, 0, 0                # label: node -> group so far
     while True:
-        sub = (todo.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "cid")
+        sub = (todo.select("cluster", "chunk", "cid", "n", "toks")
+               .repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "cid")
                .mapInArrow(_join_within(num, den), "cid long, sub long"))
         sub = write_table(spark, sub.distinct(), "nj-sub")
         found.append(sub.where("cid != sub").select(F.col("cid").alias("a"), F.col("sub").alias("b")))
         if rounds == 0:
             if big.isEmpty():
                 return found[0]
-            inside = sets.join(big, "cluster")
-            label = inside.select("cluster", "cid").distinct().join(sub.withColumnRenamed("sub", "lab"), "cid")
+            inside = write_table(spark, members.join(big, "cluster").select("cluster", "node"), "nj-inside")
+            label = inside.select("cluster", "node").join(sub.toDF("node", "lab"), "node")
         else:
-            step = sub.select(F.col("cid").alias("lab"), F.col("sub").alias("next"))
-            label = label.join(step, "lab", "left").select("cluster", "cid", F.coalesce("next", "lab").alias("lab"))
+            label = label.join(sub.toDF("lab", "next"), "lab", "left").select("cluster", "node", F.coalesce("next", "lab").alias("lab"))
         label = write_table(spark, label, "nj-label")
         groups = write_table(spark, label.groupBy("cluster", "lab").agg(F.count("*").alias("members")), "nj-groups")
-        left = groups.groupBy("cluster").agg(F.count("*").alias("m"))
         now = groups.count()
         rounds += 1
         # representatives of the groups meet until that merges little more
         if rounds > 1 and now > 0.7 * before:
             break
         before = now
-        many = write_table(spark, left.where("m > 1"), "nj-many")
+        many = write_table(spark, groups.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1"), "nj-many")
         if many.isEmpty():
             return _all(found)
-        reps = groups.join(many.select("cluster"), "cluster").select(F.col("lab").alias("cid"), "cluster")
-        todo = _chunked(sets.join(reps, ["cluster", "cid"]), many)
+        reps = groups.join(many.select("cluster"), "cluster").select("cluster", F.col("lab").alias("node"))
+        todo = placed(_chunked(reps, many))
     # exact end: every set outside its cluster's largest group against every set of the cluster
     lead = groups.groupBy("cluster").agg(F.max(F.struct("members", "lab")).alias("g"), F.count("*").alias("k")).where("k > 1")
     lead = write_table(spark, lead.select("cluster", F.col("g.lab").alias("main")), "nj-main")
     if lead.isEmpty():
         return _all(found)
-    marked = write_table(spark, inside.join(label, ["cluster", "cid"]).join(lead, "cluster")
+    marked = write_table(spark, inside.join(label, ["cluster", "node"]).join(lead, "cluster")
                          .withColumn("rest", F.col("lab") != F.col("main")).drop("main"), "nj-marked")
     n_sets = marked.groupBy("cluster").agg(F.ceil(F.count("*") / CELL_SETS).cast("long").alias("chunks"),
                                            F.ceil(F.count_if("rest") / CELL_SETS).cast("long").alias("rests"))
     marked = marked.join(write_table(spark, n_sets, "nj-chunks"), "cluster")
-    h = F.xxhash64("cid", F.lit(11))
+    h = F.xxhash64("node", F.lit(11))
     build = (marked.where("rest").withColumn("i", F.pmod(h, F.col("rests"))).withColumn("side", F.lit(0))
              .withColumn("j", F.explode(F.expr("sequence(0L, chunks - 1)"))))
     probe = (marked.withColumn("j", F.pmod(h, F.col("chunks"))).withColumn("side", F.lit(1))
              .withColumn("i", F.explode(F.expr("sequence(0L, rests - 1)"))))
-    cols = ["cluster", "i", "j", "side", "cid", "n", "toks", "lab"]
-    cells = build.select(cols).unionByName(probe.select(cols))
+    cols = ["cluster", "i", "j", "side", "node", "lab"]
+    cells = placed(build.select(cols).unionByName(probe.select(cols))).select("cluster", "i", "j", "side", "cid", "n", "toks", "lab")
     last = (cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "cid")
             .mapInArrow(_join_across(num, den), "a long, b long"))
     found.append(write_table(spark, last, "nj-last"))
@@ -377,11 +391,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, *, text: str = "tex
     * null or wordless text: empty set, linked with nothing, component_id = doc_id;
     * null doc_id: the row takes part; its component_id is the least id it
       reaches, null if it reaches none;
-    * rows that share a doc_id are one node: they share their component;
+    * rows that share a doc_id each keep their own component;
     * other columns of ``docs`` are not read; an empty table gives no rows.
 
     Shingles count as equal when their 48-bit hashes are (for a pair of sets of
-    500 shingles a false match has probability 1e-9).  ``docs`` must give the
+    500 shingles a false match has probability 1e-9), sets that may link when
+    their 64-bit digests are.  ``docs`` must give the
     same rows in the same order when a lost task reads it again, as files do.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -393,25 +408,28 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, *, text: str = "tex
     shared = rows.groupBy("part").applyInArrow(_shared_tokens, "block long, kind int, payload binary")
     every = write_table(spark, shared.groupBy("block").applyInArrow(_documents(num, den), _DOC), "nj-docs")
 
-    # classes of equal sets; the least id stands for the class
+    # classes of equal sets; the least id stands for the class, the digest d1 names it as a node
     classes = (every.where("n > 0").groupBy("n", "d1", "d2")
                .agg(F.min("rid").alias("cid"), F.count("*").alias("copies"), F.max("n_prefix").alias("n_prefix")))
     classes = write_table(spark, classes.where("copies > 1 or n_prefix is not null"), "nj-classes")
-    sets = (every.where("toks is not null").select(F.col("rid").alias("cid"), "n", "d1", "d2", "n_prefix", "toks")
-            .join(classes.select("cid", "d1", "d2"), ["cid", "d1", "d2"]).dropDuplicates(["cid", "d1", "d2"])
-            .drop("d1", "d2"))
-    sets = write_table(spark, sets, "nj-sets")
 
-    posts = sets.select("cid", "n_prefix", "toks").mapInArrow(_postings, "token long, cid long")
+    # sets meet on their prefix tokens; those connected by such tokens form a cluster
+    sets = every.where("toks is not null")
+    posts = sets.select("d1", "n_prefix", "toks").mapInArrow(_postings, "token long, cid long")
     hubs = posts.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("other"))
     hubs = write_table(spark, hubs.where("hub < other").select("token", "hub"), "nj-hubs")
     candidates = posts.join(hubs, "token").where("cid != hub").select("cid", "hub")
-    clusters = connected_components(spark, candidates).select(F.col("node").alias("cid"), F.col("label").alias("cluster"))
-    links = _link_clusters(spark, sets.drop("n_prefix").join(clusters, "cid"), num, den)
-    label = connected_components(spark, links).select(F.col("node").alias("cid"), "label")
+    clusters = connected_components(spark, candidates).select("node", F.col("label").alias("cluster"))
+    members = write_table(spark, clusters.join(classes.select(F.col("d1").alias("node"), "cid"), "node"), "nj-members")
+    links = _link_clusters(spark, sets.select("rid", "d1", "n", "toks"), members, num, den)
+    group = connected_components(spark, links).select(F.col("node").alias("d1"), F.col("label").alias("grp"))
+
+    # a group's label is the least id of its classes
+    grouped = write_table(spark, classes.join(group, "d1").select("n", "d1", "d2", "cid", "grp"), "nj-grouped")
+    least = write_table(spark, grouped.groupBy("grp").agg(F.min("cid").alias("label")), "nj-least")
+    label = grouped.join(least, "grp").select("n", "d1", "d2", "label")
 
-    # every document takes the label of its class; rows that share an id share a label through their classes
-    named = write_table(spark, classes.join(label, "cid", "left")
+    named = write_table(spark, classes.join(label, ["n", "d1", "d2"], "left")
                         .select("n", "d1", "d2", F.coalesce("label", "cid").alias("label")), "nj-named")
     out = every.join(named, ["n", "d1", "d2"], "left").withColumn("label", F.coalesce("label", "rid"))
     return out.select("doc_id", F.col("n").alias("n_shingles"),
