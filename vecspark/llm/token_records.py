@@ -13,7 +13,9 @@ the writing tasks that succeeded, in order; files of lost attempts are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -31,7 +32,7 @@ from .files import filesystem, read_manifest, write_bytes, write_manifest
 _MASK = 0xA282EAD8                      # fixed value of the record format
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 #: pieces that a worker remembers
-MEMO = 400_000
+MEMO_PIECES = 600_000
 #: one record file of a task, at most (a longer record has its own)
 ROLL_BYTES = 256 << 20
 
@@ -191,14 +192,30 @@ class TokenRecords(DataSource):
 
 # ---- tokenizing -----------------------------------------------------------------------------------
 
-#: the byte-level pre-tokenizer's pieces
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+def _chars(kind: str) -> str:
+    """The characters of plain texts in a general category, as the inside of a character class."""
+    ranges = ((0x20, 0x7F), (0xA1, 0xAD), (0xAE, 0x250), (0x2010, 0x2028), (0x2030, 0x203B), (0x20AC, 0x20AD))
+    own = [c for lo, hi in ranges for c in range(lo, hi) if unicodedata.category(chr(c))[0] in kind]
+    runs: list[list[int]] = []
+    for c in own:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in runs)
+
+
 #: texts of these characters are cut alike by all versions of Unicode; others go to the library whole
-_PLAIN = regex.compile("[\\t\\n\\r -~¡-¬®-ɏ‐-‧‰-‾€]*")
+_PLAIN = re.compile(f"[\\t\\n\\r {_chars('LNPSMC')}]*")
+#: the byte-level pre-tokenizer's pieces, in plain texts
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_chars('L')}]+| ?[{_chars('N')}]+| ?[{_chars('PSMC')}]+|\\s+(?!\\S)|\\s+")
 
 
 class Encoder:
-    """Token ids of texts with a ``tokenizers`` byte-level BPE; repeated pieces are encoded once per worker."""
+    """Token ids of texts with a ``tokenizers`` byte-level BPE; repeated pieces are encoded once per worker.
+
+    The memory stops growing at its bound; by then it holds the frequent pieces.
+    """
 
     def __init__(self, tokenizer_json: str):
         import json
@@ -213,29 +230,39 @@ class Encoder:
                          and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
                          and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
         return (self.by_piece and _PLAIN.fullmatch(text) is not None
                 and not any(s in text for s in self.special))
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
+        out: list = [None] * len(texts)
+        cut: list[tuple[int, list[str], list]] = []
+        new: set[str] = set()
+        for i, text in enumerate(texts):
             if not self._plain(text):
-                out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out[i] = self._whole(text)
                 continue
-            pieces = _PIECE.findall(text)
-            memo = self.memo
-            new = [p for p in set(pieces) if p not in memo]
-            if new:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(set(pieces))
-                for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                    memo[p] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(memo.__getitem__, pieces)))
+            found = _PIECE.findall(text)
+            got = list(map(self.pieces.get, found))
+            if None in got:
+                new.update([p for p, g in zip(found, got) if g is None])
+                cut.append((i, found, got))
+            else:
+                out[i] = b"".join(got)
+        if new:
+            names = list(new)
+            fresh = {p: np.array(e.ids, "<u4").tobytes()
+                     for p, e in zip(names, self.tok.encode_batch_fast(names, add_special_tokens=False))}
+            for i, found, got in cut:
+                out[i] = b"".join([fresh[p] if g is None else g for p, g in zip(found, got)])
+            if len(self.pieces) < MEMO_PIECES:
+                self.pieces.update(fresh)
         return out
 
 
@@ -279,7 +306,7 @@ def write_token_records(spark: SparkSession, docs: DataFrame, path: str, tokeniz
     model = json.loads(spec)
     top = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ids = rows.mapInArrow(_encode(spark.sparkContext.broadcast(spec), end_id), "doc_id long, ids binary")
     ids.write.format("token_records").option("path", path).option("width", 2 if top < 1 << 16 else 4).mode("append").save()
 
