@@ -32,7 +32,7 @@ from .files import filesystem, read_manifest, write_bytes, write_manifest
 _MASK = 0xA282EAD8                      # fixed value of the record format
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 #: pieces that a worker remembers
-MEMO_PIECES = 600_000
+MEMO_PIECES = 300_000
 #: one record file of a task, at most (a longer record has its own)
 ROLL_BYTES = 256 << 20
 
@@ -281,7 +281,7 @@ def _encode(spec, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for rb in batches:
             ids, texts = rb.column(0), rb.column(1)
-            step = max(1, min(rb.num_rows, 512))
+            step = max(1, min(rb.num_rows, 256))
             for a in range(0, rb.num_rows, step):
                 part = [t or "" for t in texts.slice(a, step).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, step), pa.array([x + end for x in enc.encode(part)], pa.binary())],
