@@ -8,6 +8,8 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
+from vecspark.plans.catalog import QUERIES as LIBRARY_QUERIES
+
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
 
@@ -30,14 +32,15 @@ def _rows(pdf):
 
 
 def test_every_query_has_an_oracle():
-    missing = sorted(set(QUERIES) - set(ORACLE))
+    missing = sorted(set(LIBRARY_QUERIES) - set(ORACLE))
     assert missing == [], missing
 
 
-@pytest.mark.parametrize("key", sorted(ORACLE))
+@pytest.mark.parametrize("key", sorted(set(ORACLE) & set(LIBRARY_QUERIES)))
 def test_query_matches_oracle(spark, duck, key):
     sp = QUERIES[key](spark, SF_SMALL).toPandas()
-    dp = duck.sql(ORACLE[key]).df()
+    duck.execute(f"CREATE OR REPLACE VIEW oracle_view AS {ORACLE[key]}")     # as the driver's gate does
+    dp = duck.sql("SELECT * FROM oracle_view").df()
     sc, sr = _rows(sp)
     dc, dr = _rows(dp)
     assert sc == dc

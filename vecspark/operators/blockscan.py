@@ -57,6 +57,9 @@ def list_matrix(arr, dim: int) -> np.ndarray:
     """Arrow list<float|double> array -> (n, dim) float64 matrix."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    lengths = np.diff(arr.offsets.to_numpy())
+    if arr.null_count or (lengths != dim).any():
+        raise ValueError(f"vectors must not be null and have {dim} components; see dimension_check")
     flat = arr.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(flat, dtype=np.float64).reshape(-1, dim)
 
@@ -82,8 +85,9 @@ def dense_candidates(S: np.ndarray, ids: np.ndarray, k: int):
     """
     nq, nb = S.shape
     if nb > k:
+        S = np.where(np.isnan(S), -np.inf, S)          # NaN scores rank nowhere
         kth = np.partition(S, nb - k, axis=1)[:, nb - k]
-        r, c = np.nonzero(S >= kth[:, None])
+        r, c = np.nonzero((S >= kth[:, None]) & np.isfinite(S))
     else:
         r, c = np.nonzero(np.isfinite(S))
     return r, ids[c], S[r, c]

@@ -562,9 +562,13 @@ def q_engine_classify(spark, sf):
     return engine_classify(c, "container")
 
 
-def _pivot_sql(where: str, index: str, decimals: int) -> str:
-    return O.sql(f"""SELECT * FROM (PIVOT (SELECT {index}, database, value FROM f_results WHERE {where})
-  ON database USING round(avg(value), {decimals}) GROUP BY {index})""", "f_results")
+#: the event types, which stand for the databases; quality rows exist for the first
+_DATABASES = ("click", "error", "purchase", "signup", "view")
+
+
+def _pivot_sql(where: str, index: str, decimals: int, databases: tuple[str, ...] = _DATABASES) -> str:
+    cols = ",\n  ".join(f"round(avg(value) FILTER (WHERE database = '{d}'), {decimals}) AS \"{d}\"" for d in databases)
+    return O.sql(f"SELECT {index},\n  {cols}\nFROM f_results WHERE {where} GROUP BY {index}", "f_results")
 
 
 @register("summary_pivot", _pivot_sql("operation = 'latency' AND metric = 'p50_ms'", "worker_count", 3))
@@ -586,7 +590,7 @@ def q_throughput_pivot(spark, sf):
 
 
 @register("quality_pivot", _pivot_sql(
-    "operation = 'quality' AND (starts_with(metric, 'recall') OR starts_with(metric, 'mAP'))", "metric", 4))
+    "operation = 'quality' AND (starts_with(metric, 'recall') OR starts_with(metric, 'mAP'))", "metric", 4, _DATABASES[:1]))
 def q_quality_pivot(spark, sf):
     from vecspark.plans.reports import quality_pivot
     return quality_pivot(_results(spark, sf))

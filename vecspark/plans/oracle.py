@@ -250,7 +250,7 @@ cte("m_perf", ["f_lstats"], " UNION ALL ".join(
   {m} AS value, worker_count, NULL::INTEGER AS query_id FROM f_lstats""" for m in _PERF_METRICS))
 cte("f_load", ["f_lat"], f"""SELECT engine AS database, sum(latency_s) AS insert_time, max(latency_s) AS index_time,
   CASE WHEN engine = {FIRST_ENGINE} THEN max(latency_s) * 1000.0 END AS memory_mb
-  FROM f_lat WHERE worker_count = 1 GROUP BY engine""")
+  FROM f_lat GROUP BY engine""")
 cte("m_index", ["f_load"], """
   SELECT database, 'index' AS operation, 'insert_time' AS metric, insert_time AS value, 1::INTEGER AS worker_count, NULL::INTEGER AS query_id FROM f_load UNION ALL
   SELECT database, 'index', 'index_time', index_time, 1, NULL FROM f_load UNION ALL

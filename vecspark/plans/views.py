@@ -114,8 +114,7 @@ class Views:
 
     @cached_property
     def load(self) -> DataFrame:
-        one = self.lat.where(F.col("worker_count") == 1)
-        return one.groupBy(F.col("engine").alias("database")).agg(
+        return self.lat.groupBy(F.col("engine").alias("database")).agg(
             F.sum("latency_s").alias("insert_time"),
             F.max("latency_s").alias("index_time"),
             F.max("latency_s").alias("_m")).select(
