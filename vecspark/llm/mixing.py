@@ -22,13 +22,15 @@ from .words import ALNUM, word_hashes
 #: hashed word features
 FEATURES = 1 << 18
 #: labelled documents the classifier is fitted on, at most
-TRAIN_ROWS = 4096
+TRAIN_ROWS = 8192
 #: rounds of the classifier's and the rates' descent
-FIT_ROUNDS = 120
+FIT_ROUNDS = 150
 MIX_ROUNDS = 60
 TOLERANCE = 1e-6
-#: weight decay of the classifier
-DECAY = 1e-4
+#: step, weight decay and least documents of a feature (fewer in small samples) of the classifier
+STEP = 10.0
+DECAY = 1e-6
+LEAST_DOCUMENTS = 8
 
 
 # ---- domain classifier ------------------------------------------------------------------------------
@@ -59,18 +61,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit_softmax(label: np.ndarray, doc: np.ndarray, feat: np.ndarray, classes: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
     """Weights [feature, class] of a multinomial logistic model on 0/1 features; the last row is the bias."""
     n = len(label)
+    often = np.bincount(feat, minlength=FEATURES)[feat] >= max(1, min(LEAST_DOCUMENTS, n // 500))
+    doc, feat = doc[often], feat[often]
     used, col = np.unique(feat, return_inverse=True)
-    w = np.zeros((len(used), classes))
+    w, pace = np.zeros((len(used), classes)), np.zeros((len(used), classes))
     bias = np.log((np.bincount(label, minlength=classes) + 1.0) / (n + classes))
     onehot = np.eye(classes)[label]
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, rounds + 1):                       # full-batch Adam
+    for _ in range(rounds):                                 # full batch, with momentum: frequent features move first
         z = np.stack([np.bincount(doc, w[col, c], minlength=n) for c in range(classes)], axis=1) + bias
         err = (_softmax(z) - onehot) / n
         grad = np.stack([np.bincount(col, err[doc, c], minlength=len(used)) for c in range(classes)], axis=1) + DECAY * w
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        w -= 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        pace = 0.9 * pace + grad
+        w -= STEP * pace
         bias -= 0.5 * err.sum(axis=0)
     out = np.zeros((FEATURES + 1, classes))
     out[used] = w
