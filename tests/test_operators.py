@@ -170,31 +170,33 @@ def test_distributed_quantiles_hot_group(spark):
         assert got[g][1] == pytest.approx(np.percentile(grp["v"], 99))
 
 
-def test_lsh_scorer_small_pair_blocks_matches_brute_force(monkeypatch):
-    from vecspark.operators import blockscan as B
-    rng = np.random.default_rng(1)
-    X, Q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
-    planes = rng.normal(size=(6, 8))
-    bands, bits = 3, 2
-    qkeys = B.band_keys((Q @ planes.T) > 0, bands, bits)
-    ch = B.QueryChunk(qids=np.arange(40), Q=Q, mode="lsh", qkeys=qkeys, planes=planes, bands=bands, bits=bits)
-    band_index = [(qkeys[np.argsort(qkeys[:, b], kind="stable"), b], np.argsort(qkeys[:, b], kind="stable"))
-                  for b in range(bands)]
-    ids = np.arange(300)
-    res = {}
-    for block in (7, 1 << 20):
-        monkeypatch.setattr(B, "_PAIR_BLOCK", block)
-        acc = B.TopKAccumulator(5, 40)
-        B._score_lsh(ch, ids, X, None, acc, 5, band_index)
-        r, i, sc = acc.result()
-        res[block] = sorted(zip(r.tolist(), i.tolist()))
-    xkeys = B.band_keys((X @ planes.T) > 0, bands, bits)
-    brute = []
-    for q in range(40):
-        cand = [j for j in range(300) if (xkeys[j] == qkeys[q]).any()]
-        best = sorted(cand, key=lambda j: (-(Q[q] @ X[j]), j))[:5]
-        brute += [(q, j) for j in best]
-    assert res[7] == res[1 << 20] == sorted(brute)
+def test_small_cells_equal_whole_ones(spark, views):
+    """Cells of few rows and queries, for every candidate rule, give the rows of large ones."""
+    from vecspark.operators.ann import ivf_probes, lsh_search
+    from vecspark.operators.blockscan import block_knn
+    small = {"max_chunk_bytes": 10_000, "group_bytes": 10_000}
+    assert _rows(block_knn(views.index, views.queries, 10, **small)) == _rows(views.gt)
+    probes = ivf_probes(views.queries, views.centroids, 4)
+    got = block_knn(views.index_lists, probes, 10, mode="ivf", list_col="list_id", probe_col="probes", **small)
+    assert _rows(got) == _rows(views.pred)
+    assert _rows(lsh_search(views.index, views.queries, 10, max_chunk_bytes=10_000)) == _rows(lsh_search(views.index, views.queries, 10))
+
+
+def test_null_vectors_take_no_part(spark):
+    from vecspark.operators.ann import centroids_from_rows, lsh_search
+    idx = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0])], "vector_id long, embedding array<double>")
+    qs = spark.createDataFrame([(0, [1.0, 0.5]), (1, None)], "query_id long, embedding array<double>")
+    assert _rows(knn_exact(idx, qs, 3)) == [(0, 1, 0), (0, 2, 2)]
+    cents = centroids_from_rows(idx, F.col("vector_id") == 0)
+    assert _rows(ivf_search(ivf_assign(idx, cents), qs, cents, 3, 1)) == [(0, 1, 0), (0, 2, 2)]
+    assert {r[2] for r in _rows(lsh_search(idx, qs, 3, bands=2, bits=1))} <= {0, 2}
+
+
+def test_all_judged_texts_are_searched(spark):
+    v = Views(spark, SF_MID)
+    from vecspark.functions.text import stripped_length
+    assert v.qtexts.count() == v.examples.queries.where(stripped_length("query") > 5).count()
+    assert v.ptexts.count() == v.examples.passages.where(stripped_length("passage_text") > 10).count()
 
 
 def test_ivf_build_prunes_lists(spark, views):
@@ -208,7 +210,7 @@ def test_ivf_build_prunes_lists(spark, views):
 def test_ivf_fit_kmeans_recall_monotone(spark, views):
     from vecspark.operators.ann import ivf_fit
     from vecspark.operators.ir import quality_scores
-    c = ivf_fit(views.index, 8, sample_rows=300)
+    c = ivf_fit(views.index, 8)
     assigned = ivf_assign(views.index, c)
     rec = [quality_scores(ivf_search(assigned, views.queries, c, 10, p), views.gt, (10,)).first()["recall"]
            for p in (1, 8)]

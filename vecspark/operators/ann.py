@@ -4,7 +4,7 @@ Both re-rank every admitted candidate exactly, so an approximate result is a
 subset-then-exact top-k; ``nprobe = nlist`` (IVF) is exactly ``knn_exact``.
 
 IVF
-    centroids: ``ivf_fit`` (pyspark.ml KMeans on a sample, re-normalized for
+    centroids: ``ivf_fit`` (pyspark.ml KMeans on all rows, re-normalized for
     cosine) or ``centroids_from_rows`` (fixed rows, used by the oracle);
     ``ivf_assign`` adds ``list_id`` in one map pass; write the result
     partitioned by ``list_id`` so a probe prunes files.
@@ -47,27 +47,20 @@ def centroids_from_rows(index: DataFrame, where: Column, *, id_col: str = "vecto
                                      F.col(vec_col).cast("array<double>").alias("centroid"))
 
 
-def ivf_fit(index: DataFrame, nlist: int = 100, *, vec_col: str = "embedding", id_col: str = "vector_id",
-            seed: int = 42, sample_rows: int = 256 * 100, max_iter: int = 20) -> DataFrame:
+def ivf_fit(index: DataFrame, nlist: int = 100, *, vec_col: str = "embedding",
+            seed: int = 42, max_iter: int = 20) -> DataFrame:
     """Spherical k-means centroids -> (list_id int, centroid array<double>).
 
-    Trains (pyspark.ml KMeans, distributed) on a sample of about
-    ``sample_rows`` rows chosen by a hash of the row id, so the sample does
-    not depend on partitioning; centroids are L2-normalized for cosine
-    assignment.  Only the centroids (nlist x dim) come back to the driver.
+    Trains (pyspark.ml KMeans, distributed) on all rows; centroids are
+    L2-normalized for cosine assignment.  Only the centroids (nlist x dim)
+    come back to the driver.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = index.count()
-    frac = min(1.0, sample_rows / max(n, 1))
-    src = index
-    if frac < 1.0:
-        bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
-        src = index.where(bucket < int(frac * 1_000_000))
-    sample = src.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    model = KMeans(k=min(nlist, max(n, 1)), seed=seed, maxIter=max_iter,
-                   featuresCol="features", initMode="k-means||").fit(sample)
+    rows = index.where(F.col(vec_col).isNotNull())
+    features = rows.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", initMode="k-means||").fit(features)
     spark = index.sparkSession
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cdf = spark.createDataFrame(rows, "list_id int, centroid array<double>")
@@ -104,7 +97,7 @@ def _int_list_array(m: np.ndarray) -> pa.Array:
 
 def ivf_assign(index: DataFrame, centroids: DataFrame, *, vec_col: str = "embedding",
                out_col: str = "list_id") -> DataFrame:
-    """Add the nearest centroid's ``list_id`` (ties: lower list id). Map-only."""
+    """Add the nearest centroid's ``list_id`` (ties: lower list id; null vector: null). Map-only."""
     ship_library(index.sparkSession)
     lids, C = collect_centroids(centroids)
     dim = C.shape[1]
@@ -114,20 +107,24 @@ def ivf_assign(index: DataFrame, centroids: DataFrame, *, vec_col: str = "embedd
         for b in batches:
             if b.num_rows == 0:
                 continue
-            X = list_matrix(b.column(vec_col), dim)
-            best = lids[np.argmax(X @ C.T, axis=1)]       # first max = lowest id
-            yield b.append_column(out_col, pa.array(best.astype(np.int32), pa.int32()))
+            ok = b.column(vec_col).is_valid()
+            X, here = list_matrix(b.column(vec_col).filter(ok), dim), ok.to_numpy(zero_copy_only=False)
+            best = np.zeros(b.num_rows, np.int32)
+            best[here] = lids[np.argmax(X @ C.T, axis=1)]     # first max = lowest id
+            yield b.append_column(out_col, pa.array(best, pa.int32(), mask=~here))
 
     return index.mapInArrow(assign, schema)
 
 
 def ivf_build(index: DataFrame, centroids: DataFrame, root: str, *, vec_col: str = "embedding",
-              list_col: str = "list_id") -> DataFrame:
+              list_col: str = "list_id", salts: int = 8) -> DataFrame:
     """Assign lists and store the index partitioned by list id; returns the stored table.
 
-    A probe then reads only the files of the probed lists (partition pruning).
+    A list is written by up to ``salts`` tasks, so a hot list is not one task's
+    and a list has at most so many files.
     """
     (ivf_assign(index, centroids, vec_col=vec_col, out_col=list_col)
+     .repartition(F.col(list_col), F.pmod(F.xxhash64(vec_col), F.lit(salts)))
      .write.mode("overwrite").partitionBy(list_col).parquet(root))
     return index.sparkSession.read.parquet(root)
 
@@ -158,7 +155,7 @@ def ivf_search(index_assigned: DataFrame, queries: DataFrame, centroids: DataFra
                qvec_col: str = "embedding", list_col: str = "list_id",
                max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
     """Top-k over the rows of the ``nprobe`` nearest lists of each query."""
-    q = ivf_probes(queries.select(qid_col, qvec_col), centroids, nprobe, vec_col=qvec_col)
+    q = ivf_probes(queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()), centroids, nprobe, vec_col=qvec_col)
     return block_knn(index_assigned, q, k, mode="ivf", id_col=id_col, vec_col=vec_col,
                      qid_col=qid_col, qvec_col=qvec_col, list_col=list_col,
                      probe_col="probes", max_chunk_bytes=max_chunk_bytes)
@@ -170,7 +167,7 @@ def ivf_sweep(index_assigned: DataFrame, queries: DataFrame, centroids: DataFram
               max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
     """IVF results for several probe counts in one scan ->
     (nprobe, query_id, rank, vector_id, score); equals ``ivf_search`` per nprobe."""
-    q = ivf_probes(queries.select(qid_col, qvec_col), centroids, max(nprobes), vec_col=qvec_col)
+    q = ivf_probes(queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()), centroids, max(nprobes), vec_col=qvec_col)
     return block_knn(index_assigned, q, k, mode="ivf", id_col=id_col, vec_col=vec_col,
                      qid_col=qid_col, qvec_col=qvec_col, list_col=list_col, probe_col="probes",
                      sweep_levels=list(nprobes), max_chunk_bytes=max_chunk_bytes)
@@ -239,10 +236,10 @@ def lsh_search(index: DataFrame, queries: DataFrame, k: int = 10, *, bands: int
     from vecspark.operators.blockscan import _first_dim
     dim = _first_dim(queries, qvec_col) or vector_dim(queries, qvec_col)
     P = planes_matrix(index.sparkSession, dim, bands, bits, seed)
-    q = lsh_keys(queries.select(qid_col, qvec_col), P, bands, bits, vec_col=qvec_col)
-    return block_knn(index, q, k, mode="lsh", id_col=id_col, vec_col=vec_col,
-                     qid_col=qid_col, qvec_col=qvec_col, key_col="band_keys",
-                     planes=P, bands=bands, bits=bits, max_chunk_bytes=max_chunk_bytes)
+    rows, qs = (lsh_keys(df.select(i, v).where(F.col(v).isNotNull()), P, bands, bits, vec_col=v)
+                for df, i, v in ((index, id_col, vec_col), (queries, qid_col, qvec_col)))
+    return block_knn(rows, qs, k, mode="lsh", id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col,
+                     key_col="band_keys", bits=bits, max_chunk_bytes=max_chunk_bytes)
 
 
 # ---------------------------------------------------------------------------
@@ -269,22 +266,17 @@ def _lsh_strategy(index, queries, k, **kw):
     return lsh_search(index, queries, k, **kw)
 
 
-def search_auto(index: DataFrame, queries: DataFrame, k: int = 10, *,
-                full_scan_threshold: int = 10000, **kw) -> DataFrame:
-    """Exact scan for small indexes (<= threshold rows), inverted lists otherwise.
+STRATEGIES = {"exact": _exact_strategy, "ivf": _ivf_strategy, "lsh": _lsh_strategy}
 
-    The choice is recorded on the result as ``_vecspark_strategy``.
-    """
-    if index.count() <= full_scan_threshold:
-        out, chosen = _exact_strategy(index, queries, k, **kw), "exact"
-    else:
-        out, chosen = _ivf_strategy(index, queries, k, **kw), "ivf"
-    out._vecspark_strategy = chosen
-    return out
 
+def search_auto(index: DataFrame, queries: DataFrame, k: int = 10, *, strategy: str = "exact", **kw) -> DataFrame:
+    """Search by the named strategy, with a ``strategy`` column.
 
-STRATEGIES = {"exact": _exact_strategy, "ivf": _ivf_strategy, "lsh": _lsh_strategy,
-              "auto": search_auto}
+    The caller names it: an exact result never turns approximate by the size of the index.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy](index, queries, k, **kw).select(F.lit(strategy).alias("strategy"), "*")
 
 
 def register_strategy(name: str, fn) -> None:

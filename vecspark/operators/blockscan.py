@@ -1,52 +1,44 @@
-"""Block scorer: score a bounded query chunk against the index, one task per
-index partition, keeping only a local top-k per query.
+"""Block k-NN: both sides are dealt to bounded cells, scored by BLAS, merged by joins and windows.
 
-Plan shape (per query chunk)::
+Plan shape::
 
-    index scan (parquet, column-pruned) -> mapInArrow(score + local top-k)
-        -> Exchange hashpartitioning(query_id) -> top-k merge
+    index rows   -> (cell, salt) x every query block of the cell --\
+                                                                    repartition(cell, salt, block)
+    query rows   -> (cell, block) x every salt of the cell --------/
+        -> mapInArrow(a cell's queries first, then its rows streamed: local top-k)
+        -> top-k per (query, salt of the row) -> top-k per query
 
-The index is read exactly once per chunk and never shuffled; what crosses the
-network is at most ``k`` rows per (query, index partition).  The query chunk is
-shipped to the tasks as a broadcast whose byte size is checked before it is
-built (``max_chunk_bytes``); larger query sets are split into several chunks
-by a hash of the query id, each chunk again a bounded broadcast.
+A cell of the exact search is the whole index, of the inverted lists one list,
+of LSH one bucket of one band: queries and rows meet by an equi-join on the
+cell.  Cells of many rows are cut by salts and those of many queries by blocks
+(``group_bytes`` and ``max_chunk_bytes`` of vectors), so a hot list or bucket
+spreads over tasks.  No side passes through the driver or is broadcast here.
 
-Candidate rules inside a task:
-
-* ``exact``  every index row is scored (dense BLAS block product);
-* ``ivf``    an index row is scored only for queries that probe its list;
-* ``lsh``    an index row is scored only for queries sharing a band bucket.
-
-No candidate is ever dropped: every admitted (query, row) pair is scored and
-ranked by ``score desc, vector_id asc`` (ties resolved exactly, not by
-``argpartition`` order).
+No candidate is dropped: every admitted (query, row) pair is scored and ranked
+by ``score desc, vector_id asc`` (ties resolved exactly, not by partition
+order).
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.session import ship_library
 
-SCORED_SCHEMA = "query_id long, vector_id long, score double"
-# bytes of one broadcast query chunk (float64 vectors + side columns); every
-# Python worker process holds its own copy, so an executor with c cores keeps
-# about c x this much for the scorer
-DEFAULT_MAX_CHUNK_BYTES = 128 * 1024 * 1024
+SCORED_SCHEMA = "query_id long, probe_rank int, vector_id long, score double"
+# bytes of query vectors that a task holds at once (float64)
+DEFAULT_MAX_CHUNK_BYTES = 32 * 1024 * 1024
+# bytes of index vectors (float64) that one cell streams
+GROUP_BYTES = 256 * 1024 * 1024
 # cells of one dense score block inside a task (8 bytes each)
 _BLOCK_CELLS = 4 * 1024 * 1024
-# candidate pairs gathered at once in the LSH path
-_PAIR_BLOCK = 1 << 20
-# largest probed-list set pushed down as an IN filter
-MAX_PRUNE_LISTS = 10000
+# parts that a query's candidates are merged in before the last merge
+MERGE_SALTS = 16
 
 
 # ---------------------------------------------------------------------------
@@ -133,167 +125,96 @@ def band_keys(signs: np.ndarray, bands: int, bits: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------------
-# the task function
+# the task functions
 # ---------------------------------------------------------------------------
 
-@dataclass
-class QueryChunk:
-    """What each task receives (through one broadcast)."""
-    qids: np.ndarray                 # (nq,) int64
-    Q: np.ndarray                    # (nq, dim) float64
-    mode: str = "exact"
-    probes: np.ndarray | None = None     # ivf: (nq, nprobe) list ids
-    qkeys: np.ndarray | None = None      # lsh: (nq, bands) bucket keys
-    planes: np.ndarray | None = None     # lsh: (bands*bits, dim) hyperplanes
-    bands: int = 0
-    bits: int = 0
-    cosine: bool = False                 # divide dot products by both norms
-    qnorm: np.ndarray | None = None
-    extra: dict = field(default_factory=dict)
-
-
-def _block(ch: QueryChunk, qsel, X, xn):
-    S = ch.Q[qsel] @ X.T
-    if xn is not None:
-        S = S / (ch.qnorm[qsel][:, None] * xn[None, :])
-    return S
-
-
-def _score_exact(ch: QueryChunk, ids, X, xn, acc: TopKAccumulator, k: int):
-    nq = len(ch.qids)
-    nb = X.shape[0]
-    qb = max(1, _BLOCK_CELLS // max(nb, 1))
-    for q0 in range(0, nq, qb):
-        S = _block(ch, slice(q0, q0 + qb), X, xn)
+def _score_block(Q, qn, ids, X, xn, acc: TopKAccumulator, k: int) -> None:
+    qb = max(1, _BLOCK_CELLS // max(len(ids), 1))
+    for q0 in range(0, len(Q), qb):
+        S = Q[q0:q0 + qb] @ X.T
+        if qn is not None:
+            S = S / (qn[q0:q0 + qb, None] * xn[None, :])
         r, i, s = dense_candidates(S, ids, k)
         acc.add(r + q0, i, s)
 
 
-def _score_ivf(ch: QueryChunk, ids, X, xn, lists, acc: TopKAccumulator, k: int, inv):
-    """``inv``: list id -> (query rows, accumulator keys).  In a sweep the key
-    is ``query * nprobe + probe rank`` so each probe rank keeps its own top-k."""
-    order = np.argsort(lists, kind="stable")
-    ls = lists[order]
-    starts = np.flatnonzero(np.r_[True, ls[1:] != ls[:-1]])
-    ends = np.r_[starts[1:], len(ls)]
-    for a, b in zip(starts, ends):
-        hit = inv.get(int(ls[a]))
-        if hit is None:
-            continue
-        qs, keys = hit
-        rows = order[a:b]
-        Xl, il = X[rows], ids[rows]
-        xl = xn[rows] if xn is not None else None
-        qb = max(1, _BLOCK_CELLS // max(len(rows), 1))
-        for q0 in range(0, len(qs), qb):
-            qsel = qs[q0:q0 + qb]
-            S = _block(ch, qsel, Xl, xl)
-            r, i, s = dense_candidates(S, il, k)
-            acc.add(keys[q0:q0 + qb][r], i, s)
-
-
-def _score_lsh(ch: QueryChunk, ids, X, xn, acc: TopKAccumulator, k: int, band_index):
-    """Score every (row, query) pair that shares a bucket in some band.
-
-    Rows are taken in ranges whose candidate count stays near ``_PAIR_BLOCK``,
-    so a hot bucket costs time, never unbounded memory; no pair is skipped.
-    """
-    keys = band_keys((X @ ch.planes.T) > 0, ch.bands, ch.bits)
-    nb = len(ids)
-    lo = np.empty((nb, ch.bands), dtype=np.int64)
-    cnt = np.empty((nb, ch.bands), dtype=np.int64)
-    for b in range(ch.bands):
-        qk_sorted, _ = band_index[b]
-        lo[:, b] = np.searchsorted(qk_sorted, keys[:, b], side="left")
-        cnt[:, b] = np.searchsorted(qk_sorted, keys[:, b], side="right") - lo[:, b]
-    cum = np.cumsum(cnt.sum(axis=1))
-    r0 = 0
-    while r0 < nb:
-        base = cum[r0 - 1] if r0 else 0
-        r1 = max(int(np.searchsorted(cum, base + _PAIR_BLOCK, side="right")), r0 + 1)
-        pr, pq = [], []
-        for b in range(ch.bands):
-            c = cnt[r0:r1, b]
-            tot = int(c.sum())
-            if tot == 0:
-                continue
-            rows = np.repeat(np.arange(r0, r1), c)
-            offs = np.arange(tot) - np.repeat(np.cumsum(c) - c, c)
-            pr.append(rows)
-            pq.append(band_index[b][1][np.repeat(lo[r0:r1, b], c) + offs])
-        r0 = r1
-        if not pr:
-            continue
-        pair = np.unique(np.concatenate(pq).astype(np.int64) * nb + np.concatenate(pr))  # distinct candidates
-        q_, r_ = pair // nb, pair % nb
-        sc = np.einsum("ij,ij->i", ch.Q[q_], X[r_])
-        if xn is not None:
-            sc = sc / (ch.qnorm[q_] * xn[r_])
-        q_, i_, sc = first_k_per_row(q_, ids[r_], sc, k)
-        acc.add(q_, i_, sc)
-
-
-def make_scorer(bc, k: int, dim: int, id_col: str, vec_col: str, list_col: str | None):
-    """mapInArrow function closing over a broadcast ``QueryChunk``."""
+def _directed(X: np.ndarray, *cols):
+    """Rows with a direction (norm above zero) and their norms."""
+    norm = np.sqrt((X * X).sum(axis=1))
+    ok = norm > 0
+    return X[ok], norm[ok], *[c[ok] for c in cols]
+
+
+def _score_cells(k: int, dim: int, cosine: bool):
+    """mapInArrow over rows sorted by (cell, salt, block, side): queries are side 0, index rows side 1."""
 
     def score(batches):
-        ch: QueryChunk = bc.value
-        acc = TopKAccumulator(k, len(ch.qids) * (ch.probes.shape[1] if ch.probes is not None else 1))
-        inv = band_index = None
-        sweep = ch.extra.get("sweep", False)
-        width = ch.probes.shape[1] if ch.mode == "ivf" else 1
-        if ch.mode == "ivf":
-            inv = {}
-            for qi, row in enumerate(ch.probes):
-                for rank, l in enumerate(row):
-                    inv.setdefault(int(l), []).append((qi, qi * width + rank if sweep else qi))
-            inv = {l: (np.asarray([a for a, _ in v], dtype=np.int64), np.asarray([b for _, b in v], dtype=np.int64))
-                   for l, v in inv.items()}
-        elif ch.mode == "lsh":
-            band_index = []
-            for b in range(ch.bands):
-                o = np.argsort(ch.qkeys[:, b], kind="stable")
-                band_index.append((ch.qkeys[o, b], o))
-        for batch in batches:
-            if batch.num_rows and batch.column(vec_col).null_count:
-                batch = batch.filter(pc.is_valid(batch.column(vec_col)))
-            if batch.num_rows == 0:
+        key, held, acc = None, [], None
+        Q = qn = qids = ranks = None
+
+        def result():
+            r, i, s = acc.result()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(qids[r], pa.int64()), pa.array(ranks[r], pa.int32()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
+                names=["query_id", "probe_rank", "vector_id", "score"])
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            X = list_matrix(batch.column(vec_col), dim)
-            lists = (batch.column(list_col).to_numpy(zero_copy_only=False).astype(np.int64)
-                     if ch.mode == "ivf" else None)
-            xn = None
-            if ch.cosine:
-                xn = np.sqrt((X * X).sum(axis=1))
-                ok = xn > 0                     # zero vectors have no direction
-                if not ok.all():
-                    ids, X, xn = ids[ok], X[ok], xn[ok]
-                    lists = lists[ok] if lists is not None else None
-                if len(ids) == 0:
-                    continue
-            if ch.mode == "exact":
-                _score_exact(ch, ids, X, xn, acc, k)
-            elif ch.mode == "ivf":
-                _score_ivf(ch, ids, X, xn, lists, acc, k, inv)
-            else:
-                _score_lsh(ch, ids, X, xn, acc, k, band_index)
+            cells = np.stack([rb.column(i).to_numpy() for i in range(3)], axis=1)
+            side, ids, probe = (rb.column(i).to_numpy() for i in (3, 4, 5))
+            X = list_matrix(rb.column(6), dim)
+            new = np.append(True, (cells[1:] != cells[:-1]).any(axis=1) | (side[1:] != side[:-1]))
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts, np.append(starts[1:], rb.num_rows)):
+                if key != tuple(cells[a]):
+                    if acc is not None:
+                        yield result()
+                    key, held, acc = tuple(cells[a]), [], None
+                if side[a] == 0:
+                    held.append((X[a:b], ids[a:b], probe[a:b]))
+                elif held:
+                    if acc is None:
+                        Q, qids, ranks = (np.concatenate(c) for c in zip(*held))
+                        if cosine:
+                            Q, qn, qids, ranks = _directed(Q, qids, ranks)
+                        acc = TopKAccumulator(k, len(qids))
+                    Y, xn, own = X[a:b], None, ids[a:b]
+                    if cosine:                          # zero vectors have no direction
+                        Y, xn, own = _directed(Y, own)
+                    if len(own):
+                        _score_block(Q, qn, own, Y, xn, acc, k)
+        if acc is not None:
+            yield result()
+
+    return score
+
+
+def _score_one(q: np.ndarray, k: int, cosine: bool):
+    """mapInArrow over (id, vector): the local top-k of one query vector."""
+
+    def score(batches):
+        acc = TopKAccumulator(k, 1)
+        Q, qn = q[None, :], None
+        if cosine:
+            Q, qn = _directed(Q)
+        for rb in batches:
+            rb = rb.filter(pc.is_valid(rb.column(1)))
+            ids, X, xn = rb.column(0).to_numpy(), list_matrix(rb.column(1), len(q)), None
+            if cosine:
+                X, xn, ids = _directed(X, ids)
+            if len(ids):
+                _score_block(Q, qn, ids, X, xn, acc, k)
         r, i, s = acc.result()
-        if len(r) and sweep:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ch.qids[r // width], pa.int64()), pa.array((r % width).astype(np.int32), pa.int32()),
-                 pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-                names=["query_id", "probe_rank", "vector_id", "score"])
-        elif len(r):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ch.qids[r], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-                names=["query_id", "vector_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int64)), pa.array(np.zeros(len(i), np.int32)),
+                                          pa.array(i, pa.int64()), pa.array(s, pa.float64())],
+                                         names=["query_id", "probe_rank", "vector_id", "score"])
 
     return score
 
 
 # ---------------------------------------------------------------------------
-# driver side: chunking and plan assembly
+# plan assembly
 # ---------------------------------------------------------------------------
 
 def frame_stats(df: DataFrame, vec_col: str) -> tuple[int, int]:
@@ -311,159 +232,105 @@ def vector_dim(df: DataFrame, vec_col: str) -> int:
     return frame_stats(df, vec_col)[1]
 
 
-def n_chunks_for(n: int, dim: int, side_bytes_per_row: int, max_chunk_bytes: int) -> int:
-    """Number of query chunks so that every broadcast chunk fits the byte bound."""
-    per_row = 8 * dim + 8 + side_bytes_per_row
-    return max(1, math.ceil(n * per_row / max_chunk_bytes))
-
-
 def _first_dim(df: DataFrame, vec_col: str) -> int | None:
     """Vector length of the first row (reads one partition, no shuffle)."""
     r = df.select(F.size(vec_col).alias("d")).first()
     return int(r["d"]) if r is not None and r["d"] is not None and r["d"] >= 0 else None
 
 
-def _arrow_chunk(t, qid_col: str, vec_col: str, dim: int, side_cols: list[str]) -> dict:
-    col = t.column(vec_col).combine_chunks()
-    if col.null_count:
-        t = t.filter(pc.is_valid(col))
-        col = t.column(vec_col).combine_chunks()
-    if t.num_rows:
-        lens = pc.list_value_length(col)
-        if pc.min(lens).as_py() != dim or pc.max(lens).as_py() != dim:
-            raise ValueError(f"{vec_col}: mixed vector lengths; run dimension_check first")
-    out = {"qids": t.column(qid_col).to_numpy().astype(np.int64),
-           "Q": list_matrix(col, dim) if t.num_rows else np.zeros((0, dim))}
-    for c in side_cols:
-        sc = t.column(c).combine_chunks()
-        width = len(sc[0]) if t.num_rows else 0
-        out[c] = (np.asarray(sc.flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(-1, width)
-                  if t.num_rows else np.zeros((0, 0), dtype=np.int64))
-    return out
-
-
-def query_chunks(queries: DataFrame, qid_col: str, qvec_col: str, side: list[str],
-                 max_chunk_bytes: int):
-    """Yield bounded query chunks (dicts of numpy arrays) fetched to the driver.
-
-    Common case: one light job reads the first row's dimension, a second
-    fetches at most ``cap + 1`` rows (cap = byte bound / row size).  Only when
-    the cap is exceeded are the rows counted and split by hash into chunks
-    that each fit the bound.
-    """
-    cols = [qid_col, qvec_col, *side]
-    dim = _first_dim(queries, qvec_col)
-    if dim is None:
-        n, dim = frame_stats(queries, qvec_col)
-        if n == 0:
-            return
-    per_row = 8 * dim + 8 + 8 * 64 * len(side)
-    cap = max(1, max_chunk_bytes // per_row)
-    t = queries.select(*cols).limit(cap + 1).toArrow()
-    if t.num_rows <= cap:
-        yield _arrow_chunk(t, qid_col, qvec_col, dim, side)
-        return
-    n = queries.count()
-    n_chunks = n_chunks_for(n, dim, per_row - 8 * dim - 8, max_chunk_bytes)
-    for c in range(n_chunks):
-        part = queries.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_chunks)) == c)
-        yield _arrow_chunk(part.select(*cols).toArrow(), qid_col, qvec_col, dim, side)
-
-
-def merge_topk(scored: DataFrame, k: int) -> DataFrame:
-    """Final per-query top-k: one shuffle on query_id, WindowGroupLimit inside."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_id").asc())
-    return (scored.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select("query_id", "rank", "vector_id", "score"))
-
+def merge_topk(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Final top-k per ``by``, in two steps: by salted candidates, then whole (k x MERGE_SALTS rows)."""
+    order = [F.col("score").desc(), F.col("vector_id").asc()]
+    part = Window.partitionBy(*by, F.pmod(F.xxhash64("vector_id"), F.lit(MERGE_SALTS))).orderBy(*order)
+    whole = Window.partitionBy(*by).orderBy(*order)
+    return (scored.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
+            .withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+            .select(*by, "rank", "vector_id", "score"))
 
-SWEEP_SCHEMA = "query_id long, probe_rank int, vector_id long, score double"
 
-
-def merge_sweep(parts, k: int, levels, spark: SparkSession) -> DataFrame:
+def merge_sweep(scored: DataFrame, k: int, levels) -> DataFrame:
     """Top-k per (query, nprobe) from per-(query, probe rank) candidates:
     a row found in the list of probe rank r belongs to every nprobe > r."""
-    if not parts:
-        return spark.createDataFrame([], "nprobe int, query_id long, rank int, vector_id long, score double")
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
     lv = F.array(*[F.lit(int(x)) for x in sorted(set(levels))])
     ex = scored.withColumn("nprobe", F.explode(F.filter(lv, lambda p: p > F.col("probe_rank"))))
-    w = Window.partitionBy("nprobe", "query_id").orderBy(F.col("score").desc(), F.col("vector_id").asc())
-    return (ex.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("nprobe", "query_id", "rank", "vector_id", "score"))
+    return merge_topk(ex, k, ("nprobe", "query_id"))
+
+
+def _vector_type(index: DataFrame, vec_col: str, queries: DataFrame, qvec_col: str) -> str:
+    floats = T.ArrayType(T.FloatType())
+    both = {index.schema[vec_col].dataType.simpleString(), queries.schema[qvec_col].dataType.simpleString()}
+    return "array<float>" if both == {floats.simpleString()} else "array<double>"
+
+
+def scan_one(index: DataFrame, vector, k: int, *, id_col: str = "vector_id", vec_col: str = "embedding",
+             cosine: bool = False) -> DataFrame:
+    """Top-k of one given vector -> (query_id 0, rank, vector_id, score): one scan, k rows per task to the merge."""
+    ship_library(index.sparkSession)
+    q = np.asarray(vector, dtype=np.float64)
+    rows = index.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    return merge_topk(rows.mapInArrow(_score_one(q, k, cosine), SCORED_SCHEMA), k)
 
 
 def block_knn(index: DataFrame, queries: DataFrame, k: int, *, mode: str = "exact",
               id_col: str = "vector_id", vec_col: str = "embedding",
               qid_col: str = "query_id", qvec_col: str = "embedding",
               list_col: str | None = None, probe_col: str | None = None,
-              key_col: str | None = None, planes: np.ndarray | None = None,
-              bands: int = 0, bits: int = 0, cosine: bool = False, sweep_levels=None,
-              max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
+              key_col: str | None = None, bits: int = 0, cosine: bool = False, sweep_levels=None,
+              max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Top-k of every query over ``index`` -> (query_id, rank, vector_id, score).
 
-    ``sweep_levels`` (IVF only): one scan answers several probe counts; the
+    ``mode``: ``exact``; ``ivf`` (rows of list ``list_col`` meet the queries whose
+    array ``probe_col`` names it); ``lsh`` (arrays ``key_col`` of both sides, one
+    key of ``bits`` bits per band, meet by band and key).
+
+    ``sweep_levels`` (IVF only): one pass answers several probe counts; the
     result gets an ``nprobe`` column and is ranked per (query, nprobe).
 
     ``cosine=True`` scores dot / (||q|| * ||x||) without normalizing first
     (zero vectors are skipped); otherwise the score is the plain dot product.
+    Null vectors take no part; vectors of another length than the first query's
+    fail the job.
     """
     spark: SparkSession = index.sparkSession
     ship_library(spark)
-    side = [c for c in (probe_col, key_col) if c]
-    idx_cols = [F.col(id_col).cast("long").alias(id_col), F.col(vec_col)]
-    if list_col:
-        idx_cols.append(F.col(list_col))
-    # null vectors are skipped inside the scorer: a Filter here would be
-    # pushed below the projection and re-evaluate a computed vector column
-    idx = index.select(*idx_cols)
-    parts = []
-    # the query side may be computed (probes, band keys, embeddings) and is
-    # read by the dimension probe and the fetch: keep it for this call only
-    qside = queries.select(qid_col, qvec_col, *side).persist()
-    chunks = list(query_chunks(qside, qid_col, qvec_col, side, max_chunk_bytes))
-    qside.unpersist()
-    for data in chunks:
-        if len(data["qids"]) == 0:
-            continue
-        dim = data["Q"].shape[1]
-        ch = QueryChunk(qids=data["qids"], Q=data["Q"], mode=mode,
-                        probes=data.get(probe_col) if probe_col else None,
-                        qkeys=data.get(key_col) if key_col else None,
-                        planes=planes, bands=bands, bits=bits, cosine=cosine,
-                        extra={"sweep": sweep_levels is not None})
-        if cosine:
-            qn = np.sqrt((ch.Q * ch.Q).sum(axis=1))
-            keep = qn > 0
-            ch.qids, ch.Q, qn = ch.qids[keep], ch.Q[keep], qn[keep]
-            if ch.probes is not None:
-                ch.probes = ch.probes[keep]
-            if ch.qkeys is not None:
-                ch.qkeys = ch.qkeys[keep]
-            ch.qnorm = qn
-        bc = spark.sparkContext.broadcast(ch)
-        scan = idx
-        if mode == "ivf" and ch.probes is not None:
-            # list pruning: only probed lists are read (partition pruning when
-            # the index is stored partitioned by list id, see ann.ivf_build)
-            probed = np.unique(ch.probes)
-            if len(probed) <= MAX_PRUNE_LISTS:
-                scan = idx.where(F.col(list_col).isin([int(x) for x in probed]))
-        schema = SWEEP_SCHEMA if sweep_levels is not None else SCORED_SCHEMA
-        parts.append(scan.mapInArrow(make_scorer(bc, k, dim, id_col, vec_col, list_col), schema))
+    dim = _first_dim(queries, qvec_col) or vector_dim(queries, qvec_col)
+    block_rows = max(1, max_chunk_bytes // (8 * max(dim, 1)))
+    group_rows = max(1, group_bytes // (8 * max(dim, 1)))
+    vt = _vector_type(index, vec_col, queries, qvec_col)
+
+    def side(df: DataFrame, number: int, i: str, v: str, keys: str | None) -> DataFrame:
+        cols = [F.lit(number).alias("side"), F.col(i).cast("long").alias("id"), F.col(v).cast(vt).alias("v")]
+        if keys is None:
+            out = df.select(*cols, F.lit(0).alias("probe_rank"), F.lit(0).cast("long").alias("cell"))
+        elif isinstance(df.schema[keys].dataType, T.ArrayType):
+            out = df.select(*cols, F.posexplode(keys).alias("probe_rank", "cell"))
+        else:
+            out = df.select(*cols, F.lit(0).alias("probe_rank"), F.col(keys).cast("long").alias("cell"))
+        if mode == "lsh":                               # a bucket of each band is a cell of its own
+            out = out.withColumn("cell", F.col("probe_rank") * F.lit(1 << bits).cast("long") + F.col("cell")).withColumn("probe_rank", F.lit(0))
+        return out.where(F.col("v").isNotNull())
+
+    rows = side(index, 1, id_col, vec_col, list_col if mode == "ivf" else key_col)
+    qs = side(queries, 0, qid_col, qvec_col, probe_col if mode == "ivf" else key_col)
+    if mode == "exact":
+        salts = max(spark.sparkContext.defaultParallelism, -(-index.count() // group_rows))
+        blocks = max(1, -(-queries.count() // block_rows))
+        size = {"salts": F.lit(salts).cast("long"), "blocks": F.lit(blocks).cast("long")}
+        rows, qs = rows.withColumns(size), qs.withColumns(size)
+    else:
+        # only cells that both sides have; their sizes say into how many salts and blocks they are cut
+        size = (rows.groupBy("cell").agg(F.ceil(F.count("*") / group_rows).cast("long").alias("salts"))
+                .join(qs.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")), "cell"))
+        rows, qs = rows.join(size, "cell"), qs.join(size, "cell")
+    h = F.xxhash64("id")
+    rows = rows.withColumn("salt", F.pmod(h, "salts")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    qs = qs.withColumn("block", F.pmod(h, "blocks")).withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
+    cols = ["cell", "salt", "block", "side", "id", "probe_rank", "v"]
+    scored = (qs.select(cols).unionByName(rows.select(cols)).repartition("cell", "salt", "block")
+              .sortWithinPartitions("cell", "salt", "block", "side")
+              .mapInArrow(_score_cells(k, dim, cosine), SCORED_SCHEMA))
     if sweep_levels is not None:
-        return merge_sweep(parts, k, sweep_levels, spark)
-    if not parts:
-        return spark.createDataFrame([], SCORED_SCHEMA + ", rank int").select(
-            "query_id", "rank", "vector_id", "score")
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    out = merge_topk(scored, k)
-    # known size bound of the result (queries fetched x k): lets consumers
-    # broadcast it without a count job (see textjoin.broadcast_if_small)
-    out._vecspark_row_bound = k * sum(len(c["qids"]) for c in chunks)
-    return out
+        return merge_sweep(scored, k, sweep_levels)
+    if mode == "lsh":                                   # a row may be found in several bands
+        scored = scored.groupBy("query_id", "vector_id").agg(F.max("score").alias("score"))
+    return merge_topk(scored, k)

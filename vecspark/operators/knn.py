@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.vector import cosine_distance, dot
-from vecspark.operators.blockscan import DEFAULT_MAX_CHUNK_BYTES, block_knn
+from vecspark.operators.blockscan import DEFAULT_MAX_CHUNK_BYTES, block_knn, scan_one
 
 
 def knn_exact(index: DataFrame, queries: DataFrame, k: int = 10, *,
@@ -50,12 +50,12 @@ def search_one(index: DataFrame, query, k: int = 10, *,
                         cosine_distance(F.col(vec_col), F.col("_q")).alias("distance"))
                 .orderBy(F.col("distance").asc(), F.col(id_col).asc())
                 .limit(k))
-    spark = index.sparkSession
-    if isinstance(query, DataFrame):
-        qdf = query.select(F.lit(0).cast("long").alias("query_id"), F.col(qvec_col).alias("embedding"))
-    else:
-        qdf = spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<double>")
-    res = block_knn(index, qdf, k, mode="exact", id_col=id_col, vec_col=vec_col, cosine=True)
+    if isinstance(query, DataFrame):                # one row
+        first = query.select(qvec_col).first()
+        query = first[0] if first is not None else None
+    if query is None:
+        return index.select(id_col, *keep, F.lit(None).cast("double").alias("distance")).where("false")
+    res = scan_one(index, query, k, id_col=id_col, vec_col=vec_col, cosine=True)
     out = res.select(F.col("vector_id").alias(id_col), "rank", (F.lit(1.0) - F.col("score")).alias("distance"))
     if keep:
         out = index.select(id_col, *keep).join(F.broadcast(out), id_col)   # k rows: proven bound

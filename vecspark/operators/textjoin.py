@@ -1,9 +1,8 @@
 """Ranked ids -> texts (id -> passage, query position -> query text).
 
 The ranked side is |queries| x k rows; the text tables can be the whole
-corpus.  The ranked side is broadcast after its row count is checked
-(``max_broadcast_rows``), so the corpus is scanned but never shuffled;
-above the bound the join falls back to a shuffle join.
+corpus.  Joins are by id; whether a side is broadcast is left to adaptive
+execution, which knows the sizes.
 """
 
 from __future__ import annotations
@@ -11,26 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 20_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when its row count is within ``max_rows``.
-
-    ``bound`` is a known upper bound of the row count (e.g. queries x k of a
-    k-NN result); without one, the rows are counted (one job).
-    """
-    n = bound if bound is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def id_to_passage(ranked: DataFrame, passages: DataFrame) -> DataFrame:
     """Replace ids by passage texts; ids outside the passage table are dropped
     and the remaining positions are re-numbered 1.. per query (bounded by k)."""
     p = passages.select("vector_id", F.col("text").alias("passage"))
-    r = broadcast_if_small(ranked.select("query_id", "rank", "vector_id"),
-                           bound=getattr(ranked, "_vecspark_row_bound", None))
-    j = p.join(r, "vector_id")
+    j = p.join(ranked.select("query_id", "rank", "vector_id"), "vector_id")
     w = Window.partitionBy("query_id").orderBy("rank")
     return j.select("query_id", F.row_number().over(w).alias("rank"), "vector_id", "passage")
 

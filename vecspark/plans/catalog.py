@@ -247,14 +247,12 @@ def q_lsh_search(spark, sf):
 
 
 @register("search_auto", O.sql("""
-SELECT CASE WHEN (SELECT count(*) FROM f_index) <= 10000 THEN 'exact' ELSE 'ivf' END AS strategy,
-       query_id, rank, vector_id, round(score, 4) AS score FROM f_gt""", "f_gt", "f_index"))
+SELECT 'exact' AS strategy, query_id, rank, vector_id, round(score, 4) AS score FROM f_gt""", "f_gt"))
 def q_search_auto(spark, sf):
     from vecspark.operators.ann import search_auto
     v = Views(spark, sf)
-    res = search_auto(v.index, v.queries, 10, full_scan_threshold=10000)
-    return res.select(F.lit(res._vecspark_strategy).alias("strategy"), "query_id", "rank", "vector_id",
-                      r6("score", 4).alias("score"))
+    return (search_auto(v.index, v.queries, 10, strategy="exact")
+            .select("strategy", "query_id", "rank", "vector_id", r6("score", 4).alias("score")))
 
 
 @register("compare_strategies", O.sql("""
@@ -305,9 +303,9 @@ def q_passage_topup(spark, sf):
                          second_field="text")
 
 
-@register("query_extract", O.sql("SELECT query_id, text, example_pos FROM f_qtexts", "f_qtexts"))
+@register("query_extract", O.sql("SELECT query_id, text, example_pos FROM f_qfirst", "f_qfirst"))
 def q_query_extract(spark, sf):
-    return Views(spark, sf).qtexts
+    return Views(spark, sf).first_queries
 
 
 @register("passage_ids", O.sql(

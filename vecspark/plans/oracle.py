@@ -172,10 +172,11 @@ cte("f_pex", ["f_exp"], f"""SELECT example_pos, pos, raw, {strip('raw')} AS text
 cte("f_passages", ["f_pex"], f"""SELECT vector_id, text FROM (
   SELECT row_number() OVER (ORDER BY example_pos, pos) - 1 AS vector_id, text FROM f_pex)
   WHERE vector_id < {N_VEC}""")
-cte("f_ptexts", ["f_passages", "sp"], "SELECT vector_id, text FROM f_passages WHERE vector_id < (SELECT c FROM sp)")
-cte("f_qtexts", ["f_exq", "sp"], f"""SELECT query_id, text, example_pos FROM (
-  SELECT example_pos, {strip('query')} AS text, row_number() OVER (ORDER BY example_pos) - 1 AS query_id
-  FROM f_exq WHERE length({strip('query')}) > 5)
+cte("f_ptexts", ["f_exp"], f"""SELECT row_number() OVER (ORDER BY example_pos, pos) - 1 AS vector_id, {strip('raw')} AS text
+  FROM f_exp WHERE raw IS NOT NULL AND length({strip('raw')}) > 10""")
+cte("f_qtexts", ["f_exq"], f"""SELECT example_pos, {strip('query')} AS text, row_number() OVER (ORDER BY example_pos) - 1 AS query_id
+  FROM f_exq WHERE length({strip('query')}) > 5""")
+cte("f_qfirst", ["f_qtexts", "sp"], f"""SELECT query_id, text, example_pos FROM f_qtexts
   WHERE query_id < {N_VEC} - (SELECT c FROM sp)""")
 cte("f_rel", ["f_exq", "f_exp"], f"""SELECT q.example_pos, {strip('q.query')} AS query, p.pos, {strip('p.raw')} AS passage
   FROM f_exp p JOIN f_exq q USING (example_pos)

@@ -9,8 +9,9 @@ pred               top-k after inverted-list pruning with those centroids, nprob
 lat                events as a latency table (engine, worker_count, query_id, latency_s)
 load               per-engine insert/index time (+ memory for one engine)
 examples           conversations as judged examples
-passages, ptexts   passages extracted from the examples; their first 80 % is the index
-qtexts             query texts extracted from the examples
+passages           first passages, as many as there are vectors
+ptexts, qtexts     all passages (the index) and all query texts of the examples
+first_queries      first query texts, as many as there are query vectors
 qrels              relevant passages per query text
 retrieved          hash-embedded query texts -> exact cosine top-k over passage texts
 results_text       (query, rank, passage) of ``retrieved``
@@ -137,8 +138,8 @@ class Views:
 
     @cached_property
     def evaluation_rows(self) -> DataFrame:
-        self.n_vectors, self.examples                      # shared inputs first
-        resolve_concurrently(lambda: self.passages, lambda: self.qtexts, lambda: self.first_engine)
+        self.examples                                      # shared input first
+        resolve_concurrently(lambda: self.ptexts, lambda: self.qtexts, lambda: self.first_engine)
         return evaluation_rows(self.results_text, self.qrels, self.first_engine, EVALUATION_KS)
 
     @cached_property
@@ -165,14 +166,18 @@ class Views:
     def passages(self) -> DataFrame:
         return passage_extract(self.examples, self.n_vectors)
 
+    @cached_property
+    def first_queries(self) -> DataFrame:
+        return query_extract(self.examples, self.n_queries)
+
     @cached_property
     def ptexts(self) -> DataFrame:
-        """The indexed passages: the first int(0.8 * n_vectors) positions."""
-        return self.passages.where(F.col("vector_id") < self.split_point)
+        """The indexed passages: all valid ones."""
+        return passage_extract(self.examples)
 
     @cached_property
     def qtexts(self) -> DataFrame:
-        return query_extract(self.examples, self.n_queries)
+        return query_extract(self.examples)
 
     @cached_property
     def qrels(self) -> DataFrame:

@@ -112,19 +112,18 @@ def _valid_passages(passages: DataFrame, min_chars: int) -> DataFrame:
             .where(F.col("passage_text").isNotNull() & (F.char_length("text") > min_chars)))
 
 
-def passage_extract(examples: Examples, n: int, *, min_chars: int = PASSAGE_MIN_CHARS,
+def passage_extract(examples: Examples, n: int | None = None, *, min_chars: int = PASSAGE_MIN_CHARS,
                     max_n: int | None = None) -> DataFrame:
     """First ``n`` stripped passages longer than ``min_chars`` in document order
-    (also stopping after ``n`` examples) -> (vector_id, text).
+    (also stopping after ``n`` examples; None: all) -> (vector_id, text).
 
     ``max_n`` clamps the request (``n = min(n, max_n)``) like the CLI limit.
     """
     if max_n is not None:
-        n = min(n, max_n)
-    p = _valid_passages(examples.passages.where(F.col("example_pos") < n), min_chars)
-    return (dense_index(p.select("example_pos", "pos", "text"), ["example_pos", "pos"], "vector_id")
-            .where(F.col("vector_id") < n)
-            .select("vector_id", "text"))
+        n = max_n if n is None else min(n, max_n)
+    p = examples.passages if n is None else examples.passages.where(F.col("example_pos") < n)
+    out = dense_index(_valid_passages(p, min_chars).select("example_pos", "pos", "text"), ["example_pos", "pos"], "vector_id")
+    return (out if n is None else out.where(F.col("vector_id") < n)).select("vector_id", "text")
 
 
 def passage_field_fallback(flat: DataFrame, *, id_col: str, fields: Sequence[str] = TEXT_FIELDS,
@@ -150,13 +149,12 @@ def passage_topup(first: DataFrame, second: DataFrame, n: int, *, second_pos: st
             .select("vector_id", "text", "pass"))
 
 
-def query_extract(examples: Examples, n: int, *, min_chars: int = QUERY_MIN_CHARS) -> DataFrame:
-    """First ``n`` stripped queries longer than ``min_chars`` -> (query_id, text, example_pos)."""
+def query_extract(examples: Examples, n: int | None = None, *, min_chars: int = QUERY_MIN_CHARS) -> DataFrame:
+    """First ``n`` (None: all) stripped queries longer than ``min_chars`` -> (query_id, text, example_pos)."""
     q = (examples.queries.select("example_pos", py_strip("query").alias("text"))
          .where(F.char_length("text") > min_chars))
-    return (dense_index(q, ["example_pos"], "query_id")
-            .where(F.col("query_id") < n)
-            .select("query_id", "text", "example_pos"))
+    out = dense_index(q, ["example_pos"], "query_id")
+    return (out if n is None else out.where(F.col("query_id") < n)).select("query_id", "text", "example_pos")
 
 
 def passage_ids(passages: DataFrame) -> DataFrame:
