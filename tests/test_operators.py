@@ -170,6 +170,22 @@ def test_distributed_quantiles_hot_group(spark):
         assert got[g][1] == pytest.approx(np.percentile(grp["v"], 99))
 
 
+def test_quantiles_of_one_repeated_value(spark):
+    from vecspark.operators.perf import exact_quantiles
+    df = spark.range(0, 5000, 1, 8).select(F.lit("g").alias("g"), F.when(F.col("id") < 4000, 7.0).otherwise(F.col("id") * 1.0).alias("v"))
+    q = exact_quantiles(df, ["g"], "v", (0.0, 0.5, 0.8, 1.0), partitions=8).first()
+    v = [7.0] * 4000 + [float(i) for i in range(4000, 5000)]
+    assert list(q)[1:] == pytest.approx([np.quantile(v, p) for p in (0.0, 0.5, 0.8, 1.0)])
+
+
+def test_null_id_fails_the_write(spark):
+    from vecspark.session import scratch_path
+    from vecspark.sinks import vector_table as vt
+    df = spark.createDataFrame([(1, [1.0]), (None, [2.0])], "vector_id long, embedding array<double>")
+    with pytest.raises(Exception, match="vector_id is null"):
+        vt.overwrite(vt.to_vector_table(df), scratch_path(spark, "t-null"))
+
+
 def test_small_cells_equal_whole_ones(spark, views):
     """Cells of few rows and queries, for every candidate rule, give the rows of large ones."""
     from vecspark.operators.ann import ivf_probes, lsh_search

@@ -152,43 +152,40 @@ def judged_queries(results: DataFrame, qrels: DataFrame) -> DataFrame:
     return results.join(qrels.select("query").distinct(), "query", "left_semi")
 
 
-def _judged_per_query(results: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(query, R = retrieved passages in rank order, REL = distinct relevant passages)
-    for judged queries that have results; one shuffle on the query text."""
-    r = results.select("query", F.struct(F.col("rank").cast("int").alias("r"), F.col("passage").alias("i")).alias("_e"),
-                       F.lit(0).alias("_s"))
-    q = qrels.select("query", F.struct(F.lit(0).alias("r"), F.col("passage").alias("i")).alias("_e"),
-                     F.lit(1).alias("_s"))
-    return (r.unionByName(q).groupBy("query")
-            .agg(F.array_sort(F.collect_list(F.when(F.col("_s") == 0, F.col("_e")))).alias("_r"),
-                 F.array_distinct(F.collect_list(F.when(F.col("_s") == 1, F.col("_e")["i"]))).alias("REL"))
-            .where((F.size("_r") > 0) & (F.size("REL") > 0))
-            .select("query", F.transform("_r", lambda x: x["i"]).alias("R"), "REL"))
+def _judged_per_query(results: DataFrame, qrels: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """(query, n_rel, first, found_<k>...) for judged queries that have results.
+
+    ``first``: least rank of a relevant passage (null if none); ``found_<k>``:
+    distinct relevant passages of rank <= k.  Joins on texts, no list of a
+    query's passages is collected.
+    """
+    rel = qrels.select("query", "passage").where(F.col("passage").isNotNull()).distinct()
+    n_rel = rel.groupBy("query").agg(F.count(F.lit(1)).alias("n_rel"))
+    best = results.groupBy("query", "passage").agg(F.min(F.col("rank").cast("int")).alias("rank"))
+    hit = best.join(rel.withColumn("_rel", F.lit(True)), ["query", "passage"], "left")
+    at = F.when(F.col("_rel"), F.col("rank"))
+    return (hit.groupBy("query").agg(F.min(at).alias("first"), *[F.count_if(at <= k).alias(f"found_{k}") for k in ks])
+            .join(n_rel, "query"))
 
 
-def _found(k):
-    return F.size(F.array_intersect(F.col("REL"), F.slice(F.col("R"), 1, k)))
+def _mean_recalls(ks):
+    return [F.coalesce(F.avg(F.col(f"found_{k}") / F.col("n_rel")), F.lit(0.0)).alias(f"r{k}") for k in ks]
 
 
-def _first_relevant():
-    pos = F.filter(_positions(F.col("R")), lambda i: F.array_contains(F.col("REL"), F.element_at(F.col("R"), i)))
-    return F.try_element_at(pos, F.lit(1))   # null when nothing relevant was retrieved
+def _mean_reciprocal():
+    return F.coalesce(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), F.lit(0.0)).alias("mrr")
 
 
 def judged_recall(results: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     """(k, recall): mean over judged queries of |rel & set(ret[:k])| / |rel|; 0 if none."""
-    per = _judged_per_query(results, qrels)
-    tot = per.agg(*[F.avg(_found(k) / F.size("REL")).alias(f"r{k}") for k in ks])
-    cells = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.coalesce(F.col(f"r{k}"), F.lit(0.0)).alias("recall"))
-                      for k in ks])
+    tot = _judged_per_query(results, qrels, ks).agg(*_mean_recalls(ks))
+    cells = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks])
     return tot.select(F.explode(cells).alias("c")).select("c.k", "c.recall")
 
 
 def mrr(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """One row (mrr): mean over judged queries of 1/first relevant rank (0 if none)."""
-    per = _judged_per_query(results, qrels)
-    return per.agg(F.coalesce(F.avg(F.coalesce(F.lit(1.0) / _first_relevant(), F.lit(0.0))),
-                              F.lit(0.0)).alias("mrr"))
+    return _judged_per_query(results, qrels, ()).agg(_mean_reciprocal())
 
 
 def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
@@ -199,9 +196,7 @@ def evaluation_rows(results: DataFrame, qrels: DataFrame, database,
     relevant position, then a single global aggregate.  Without any
     judgments there are no rows.
     """
-    per = _judged_per_query(results, qrels)
-    tot = per.agg(*[F.coalesce(F.avg(_found(k) / F.size("REL")), F.lit(0.0)).alias(f"r{k}") for k in ks],
-                  F.coalesce(F.avg(F.coalesce(F.lit(1.0) / _first_relevant(), F.lit(0.0))), F.lit(0.0)).alias("mrr"))
+    tot = _judged_per_query(results, qrels, ks).agg(*_mean_recalls(ks), _mean_reciprocal())
     cells = F.array(*[F.struct(F.lit(f"recall@{k}").alias("metric"), F.col(f"r{k}").alias("value")) for k in ks],
                     F.struct(F.lit("mrr").alias("metric"), F.col("mrr").alias("value")))
     db = database if not isinstance(database, str) else F.lit(database)

@@ -2,9 +2,8 @@
 
 Latency stats (per group, in ms = seconds * 1000): exact linear-interpolation
 percentiles 50/95/99 (equal to NumPy's default), mean, population std, min,
-max.  Percentiles are exact: Spark ``percentile`` for bounded groups, or the
-skew-safe ``exact_quantiles`` (range-partitioned rank selection) when a group
-is large.  Throughput = n / sum(latency), 0 when the sum is 0.
+max.  Percentiles are exact, from counts per (group, value) whatever the size
+of a group (``exact_quantiles``).  Throughput = n / sum(latency), 0 when the sum is 0.
 """
 
 from __future__ import annotations
@@ -19,15 +18,15 @@ from vecspark.schemas import measurement_rows
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], *, partitions: int | None = None,
-                    max_broadcast_groups: int = 1_000_000) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, safe for hot groups.
-
-    The values are range-partitioned by (group, value), so one group may span
-    many tasks, sorted within partitions and checkpointed.  Per-(partition,
-    group) counts give every row its rank without a per-group sort; only the
-    rows at ranks floor/ceil(p * (n - 1)) are fetched by id.  No task ever
-    holds a whole group.  -> group cols + ``q0, q1, ...`` (one per prob).
+                    probs: Sequence[float], *, partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, safe for hot groups and hot values.
+
+    Rows are first counted per (group, value), so a repeated value is one row.
+    Those are range-partitioned by (group, value), so one group may span many
+    tasks, and written with their partition numbers.  Counts before a value in
+    its partition and in earlier partitions give the ranks it covers; a
+    quantile interpolates the values at ranks floor/ceil(p * (n - 1)), picked
+    by a partial aggregate.  -> group cols + ``q0, q1, ...`` (one per prob).
     """
     from pyspark.sql import Window
 
@@ -37,50 +36,36 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     g = list(group_cols)
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-         .repartitionByRange(P, *g, "_v").sortWithinPartitions(*g, "_v")
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .checkpoint(eager=True))
-    cnt = s.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
-    cnt = (cnt.withColumn("_off", F.sum("_c").over(Window.partitionBy(*g).orderBy("_pid")) - F.col("_c"))
+         .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_w"))
+         .repartitionByRange(P, *g, "_v").withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    cnt = (s.groupBy("_pid", *g).agg(F.sum("_w").alias("_c"))
+           .withColumn("_off", F.sum("_c").over(Window.partitionBy(*g).orderBy("_pid")) - F.col("_c"))
            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*g))))
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    tg = (cnt.select(*g, "_n").distinct()
-          .select(*g, "_n", F.explode(targets).alias("t"))
-          .select(*g, F.col("t.i").alias("_i"), (F.col("t.p") * (F.col("_n") - 1)).alias("_h"))
-          .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h")))
-    ranks = tg.select(*g, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    loc = (ranks.join(cnt, g)
-           .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
-           .select(*g, "_r", (F.col("_m0") + F.col("_r") - F.col("_off")).alias("_mid")))
-    n_groups = cnt.select(*g).distinct().count()
-    loc_side = F.broadcast(loc) if n_groups <= max_broadcast_groups else loc
-    vals = s.select("_mid", "_v").join(loc_side, "_mid").select(*g, "_r", "_v")
-    lo = vals.select(*g, F.col("_r").alias("_lo"), F.col("_v").alias("_a"))
-    hi = vals.select(*g, F.col("_r").alias("_hi"), F.col("_v").alias("_b"))
-    q = (tg.join(lo, g + ["_lo"]).join(hi, g + ["_hi"])
-         .select(*g, "_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias("_q")))
-    return (q.groupBy(*g).pivot("_i", list(range(len(probs)))).agg(F.first("_q"))
-            .select(*g, *[F.col(str(i)).alias(f"q{i}") for i in range(len(probs))]))
+    at = (s.withColumn("_end", F.sum("_w").over(Window.partitionBy("_pid", *g).orderBy("_v")))
+          .join(cnt, ["_pid", *g]).withColumn("_end", F.col("_end") + F.col("_off")))
+    picks, out = [], []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        for name, rank in (("a", F.floor(h)), ("b", F.ceil(h))):
+            here = (rank >= F.col("_end") - F.col("_w")) & (rank < F.col("_end"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}{i}"))
+        picks.append(F.max(h - F.floor(h)).alias(f"_f{i}"))
+        out.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(f"q{i}"))
+    return at.groupBy(*g).agg(*picks).select(*g, *out)
 
 
 def latency_stats(lat: DataFrame, group_cols: Sequence[str] = ("engine", "worker_count"),
-                  value_col: str = "latency_s", *, method: str = "auto",
-                  max_exact_group_rows: int = 5_000_000, accuracy: int = 100000) -> DataFrame:
+                  value_col: str = "latency_s", *, method: str = "distributed",
+                  accuracy: int = 100000) -> DataFrame:
     """Group stats -> group cols + p50_ms, p95_ms, p99_ms, mean_ms, std_ms, min_ms, max_ms.
 
-    ``method``: ``"exact"`` = Spark ``percentile`` (per-group value map in one
-    task: for bounded groups); ``"distributed"`` = ``exact_quantiles`` (same
-    values, no group held by one task); ``"approx"`` = ``percentile_approx``;
-    ``"auto"`` = exact when the largest group has at most
-    ``max_exact_group_rows`` rows, distributed otherwise (one count job).
+    ``method``: ``"distributed"`` = ``exact_quantiles`` (no group held by one
+    task); ``"exact"`` = Spark ``percentile`` (the same values, a group's value
+    map in one task); ``"approx"`` = ``percentile_approx``.
     Empty input gives no rows (a group exists only if it has latencies).
     """
     g = list(group_cols)
     ms = F.col(value_col) * F.lit(1000.0)
-    if method == "auto":
-        biggest = lat.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-        method = "exact" if biggest <= max_exact_group_rows else "distributed"
     moments = [F.avg(ms).alias("mean_ms"), F.stddev_pop(ms).alias("std_ms"),
                F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms")]
     if method == "distributed":
@@ -105,10 +90,10 @@ def throughput(lat: DataFrame, group_cols: Sequence[str] = ("engine", "worker_co
 
 
 def performance_rows(lat: DataFrame, *, engine_col: str = "engine", workers_col: str = "worker_count",
-                     value_col: str = "latency_s", method: str = "auto") -> DataFrame:
+                     value_col: str = "latency_s", method: str = "distributed") -> DataFrame:
     """Seven latency rows + one throughput row per (engine, worker_count), long form.
 
-    One aggregation pass (stats and qps together), then an unpivot.
+    Statistics and throughput are two aggregations, joined and unpivoted.
     """
     g = [engine_col, workers_col]
     stats = latency_stats(lat, g, value_col, method=method)
