@@ -80,8 +80,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc
     later = windows.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
     starts = later.groupBy("id", "th").agg(F.collect_set("pos").alias("__starts"))
     starts = write_table(spark, starts, "line-starts")
+    # merged at every size: the starts grow with the documents, so they are never broadcast
     joined = (docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__th": F.xxhash64(text)})
-              .join(starts.withColumnsRenamed({"id": "__id", "th": "__th"}), ["__id", "__th"], "left").drop("__id", "__th"))
+              .join(starts.withColumnsRenamed({"id": "__id", "th": "__th"}).hint("merge"), ["__id", "__th"], "left")
+              .drop("__id", "__th"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_rewrite(window, text), f"{fields}, n_lines long, n_removed long")
 
