@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -33,6 +34,8 @@ _MASK = 0xA282EAD8                      # fixed value of the record format
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 #: pieces that a worker remembers
 MEMO_PIECES = 300_000
+#: bytes of text that are encoded at once
+PART_BYTES = 1 << 20
 #: one record file of a task, at most (a longer record has its own)
 ROLL_BYTES = 256 << 20
 
@@ -231,6 +234,10 @@ class Encoder:
                          and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.pieces: dict[str, bytes] = {}
+        #: by id: whether the token begins with the byte of a space
+        vocab = spec["model"]["vocab"]
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _plain(self, text: str) -> bool:
         return (self.by_piece and _PLAIN.fullmatch(text) is not None
@@ -239,31 +246,38 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of the form space and letters, one after another: such a text is cut back into these pieces."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.append(4 * np.flatnonzero(self.opens[ids]), 4 * len(ids)).tolist()     # a space only opens a piece
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cut, cut[1:])]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        out = dict(zip(words, self._words(words))) if words else {}
+        for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list = [None] * len(texts)
-        cut: list[tuple[int, list[str], list]] = []
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            if not self._plain(text):
-                out[i] = self._whole(text)
-                continue
-            found = _PIECE.findall(text)
-            got = list(map(self.pieces.get, found))
-            if None in got:
-                new.update([p for p, g in zip(found, got) if g is None])
-                cut.append((i, found, got))
-            else:
-                out[i] = b"".join(got)
+        found = [_PIECE.findall(t) if self._plain(t) else None for t in texts]
+        distinct: set[str] = set()
+        for f in found:
+            distinct.update(f or ())
+        memo = self.pieces
+        known = memo.get
+        ids = {p: got for p in distinct if (got := known(p)) is not None}       # the batch's own table: small and near
+        new = [p for p in distinct if p not in ids]
         if new:
-            names = list(new)
-            fresh = {p: np.array(e.ids, "<u4").tobytes()
-                     for p, e in zip(names, self.tok.encode_batch_fast(names, add_special_tokens=False))}
-            for i, found, got in cut:
-                out[i] = b"".join([fresh[p] if g is None else g for p, g in zip(found, got)])
-            if len(self.pieces) < MEMO_PIECES:
-                self.pieces.update(fresh)
-        return out
+            fresh = self._pieces(new)
+            ids.update(fresh)
+            if len(memo) < MEMO_PIECES:
+                memo.update(fresh)
+        get = ids.__getitem__
+        return [self._whole(t) if f is None else b"".join(map(get, f)) for t, f in zip(texts, found)]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -281,11 +295,14 @@ def _encode(spec, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for rb in batches:
             ids, texts = rb.column(0), rb.column(1)
-            step = max(1, min(rb.num_rows, 256))
-            for a in range(0, rb.num_rows, step):
-                part = [t or "" for t in texts.slice(a, step).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, step), pa.array([x + end for x in enc.encode(part)], pa.binary())],
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < rb.num_rows:                      # about PART_BYTES of text at once, a longer text by itself
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PART_BYTES, side="right")))
+                part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([x + end for x in enc.encode(part)], pa.binary())],
                                                  names=["doc_id", "ids"])
+                a = b
     return run
 
 
