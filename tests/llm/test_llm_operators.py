@@ -359,6 +359,25 @@ def test_rates_meet_reachable_targets(spark):
     assert [r["copies"] for r in odd.collect()] == [1, 1, 1]
 
 
+def test_toxic_documents_go_at_any_share(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    say = lambda n: " ".join("w%d" % rng.randrange(300) for _ in range(n))
+    for share, words in ((0.001, 1000), (0.01, 100), (0.1, 9)):       # 30 toxic documents of 10 words, 300 clean ones
+        rows = [(i, say(words) + (" fine" if i % 3 else " meh")) for i in range(300)]
+        rows += [(1000 + i, "foul slur " + say(8)) for i in range(30)]
+        n = [len(t.split()) for _, t in rows]
+        assert abs(sum(n[300:]) / sum(n) - share) < 0.1 * share
+        d = str(tmp_path / str(words))
+        spark.createDataFrame([(i, int(i % 3 > 0), int(i >= 1000)) for i, _ in rows if i % 5], "doc_id long, quality int, toxic int"
+                              ).write.parquet(f"{d}/labels.parquet")
+        got = sorted(r[0] for r in cp.mixing_stage(spark, docs_of(spark, rows), d).select("doc_id").collect())
+        assert got == list(range(300))                                # every toxic one goes, every clean one stays once
+    spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(f"{d}/none/labels.parquet")
+    assert cp.mixing_stage(spark, docs_of(spark, rows), f"{d}/none").count() == len(rows)
+
+
 # ---- queries ----
 
 @pytest.fixture(scope="module")

@@ -207,7 +207,8 @@ def _apply(d: int, steps):
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float | None], *,
-                   text: str = "text", doc_id: str = "doc_id", total: float | None = None) -> DataFrame:
+                   text: str = "text", doc_id: str = "doc_id", total: float | None = None,
+                   leave_out: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with n_tokens, posterior (per domain in the targets' order), rate and copies.
 
     ``targets``: each domain's share of ``total`` tokens (default: all tokens of
@@ -216,6 +217,11 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     wordless text has no tokens; its posterior is the prior and its rate follows.
     Repeated rows each take part; a document labelled several times counts with
     its first domain.  Columns with the new names are replaced.
+
+    ``leave_out``: domains that should go, with the posterior above which a
+    document has rate 0, however many such documents there are (if no label is
+    usable, none has).  They take no part in the present tokens of any domain,
+    and the target of such a domain is never above what the others have of it.
     """
     new = ("n_tokens", "posterior", "rate", "copies")
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in new])
@@ -225,11 +231,20 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     scored = docs.mapInArrow(_posteriors(spark.sparkContext.broadcast(weights), text), f"{fields}, n_tokens long, posterior array<double>")
     scored = write_table(spark, scored, "mix-scored")
-    present = _moment_sums(scored, d, [])[0]
-    whole = float(present.sum()) if total is None else float(total)
-    goal = np.array([present[i] if targets[x] is None else targets[x] * whole for i, x in enumerate(names)])
-    steps = fit_rates(scored, goal)
+    limits = leave_out if leave_out and weights.any() else {}
+    gone = F.lit(False)
+    for x, limit in limits.items():
+        gone = gone | (F.get("posterior", F.lit(names.index(x))) > limit)
+    rest = scored.where(~gone) if limits else scored
+    present = _moment_sums(rest, d, [])[0]
+    if total is None:
+        total = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    goal = np.array([present[i] if targets[x] is None else targets[x] * float(total) for i, x in enumerate(names)])
+    for x in leave_out or {}:
+        goal[names.index(x)] = min(goal[names.index(x)], present[names.index(x)])
+    steps = fit_rates(rest, goal)
     out = scored.mapInArrow(_apply(d, steps), f"{fields}, n_tokens long, posterior array<double>, rate double")
+    out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
     return out.withColumn("copies", F.floor(F.col("rate") + 0.5).cast("int"))
 
 
