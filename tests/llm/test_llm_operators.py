@@ -359,6 +359,22 @@ def test_rates_meet_reachable_targets(spark):
     assert [r["copies"] for r in odd.collect()] == [1, 1, 1]
 
 
+def test_copies_meet_the_targets_in_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    mix = lambda d: mixing.mix_to_targets(spark, d, labels, mixing.label_domain(), {"good": 0.7, "poor": 0.27, "toxic": 0.03})
+    rows = mix(docs).select("doc_id", "n_tokens", "posterior", "rate", "copies").collect()
+    n, c = np.array([r["n_tokens"] for r in rows], float), np.array([r["copies"] for r in rows])
+    p, w = np.array([r["posterior"] for r in rows]), np.array([r["rate"] for r in rows])
+    assert (np.floor(w) <= c).all() and (c <= np.floor(w) + 1).all()
+    assert np.abs((n * c) @ p / n.sum() - [0.7, 0.27, 0.03]).max() < 0.02
+    same = spark.range(400).select(F.lit(1).cast("long").alias("doc_id"), F.lit("all the same words").alias("text"))
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "copies").collect()))
+    thin = lambda d: mixing.mix_to_targets(spark, d, labels.limit(0), mixing.label_domain(), {"good": 0.35, "poor": 0.35})
+    one = key(thin(same))
+    assert one == key(thin(same.repartition(7))) and 240 < sum(x for _, x in one) < 320      # equal rows share the fraction
+
+
 def test_toxic_documents_go_at_any_share(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import write_table
@@ -27,6 +27,8 @@ TRAIN_ROWS = 8192
 FIT_ROUNDS = 150
 MIX_ROUNDS = 60
 TOLERANCE = 1e-6
+#: seed of the hash that decides on a rate's fraction
+COPY_SEED = 20240607
 #: step, weight decay and least documents of a feature (fewer in small samples) of the classifier
 STEP = 10.0
 DECAY = 1e-6
@@ -206,22 +208,37 @@ def _apply(d: int, steps):
     return run
 
 
+def _numbered(spark: SparkSession, rows: DataFrame, text: str, doc_id: str, seed: int) -> DataFrame:
+    """``rows`` with __key (hash of id and text) and __number among the rows of that key; only repeated keys are sorted."""
+    plain = [f"`{f.name}`" for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumn("__key", F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").isNull(), f"`{doc_id}`", f"`{text}`"))
+    often = write_table(spark, rows.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"), "mix-often")
+    if often.isEmpty():
+        return rows.withColumn("__number", F.lit(1))
+    order = Window.partitionBy("__key").orderBy(F.xxhash64(*plain))
+    again = rows.join(often, "__key", "left_semi").withColumn("__number", F.row_number().over(order))
+    return rows.join(often, "__key", "left_anti").withColumn("__number", F.lit(1)).unionByName(again)
+
+
 def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float | None], *,
                    text: str = "text", doc_id: str = "doc_id", total: float | None = None,
-                   leave_out: dict[str, float] | None = None) -> DataFrame:
+                   leave_out: dict[str, float] | None = None, seed: int = COPY_SEED) -> DataFrame:
     """``docs`` with n_tokens, posterior (per domain in the targets' order), rate and copies.
 
     ``targets``: each domain's share of ``total`` tokens (default: all tokens of
-    ``docs``); None keeps a domain's present expected tokens.  ``copies`` is the
-    rate rounded to the nearest whole (0: the document is left out).  A null or
+    ``docs``); None keeps a domain's present expected tokens.  ``copies`` is
+    the whole part of the rate, and one more where a hash of (``seed``, doc_id,
+    text, number among equal rows) is below the fraction: token totals of the
+    copies hold in expectation (0: the document is left out).  A null or
     wordless text has no tokens; its posterior is the prior and its rate follows.
     Repeated rows each take part; a document labelled several times counts with
     its first domain.  Columns with the new names are replaced.
 
     ``leave_out``: domains that should go, with the posterior above which a
-    document has rate 0, however many such documents there are (if no label is
-    usable, none has).  They take no part in the present tokens of any domain,
-    and the target of such a domain is never above what the others have of it.
+    document has rate 0, however many such documents there are.  They take no
+    part in the present tokens of any domain, and the target of such a domain is
+    never above what the others have of it.  If no label is usable, no document
+    is known to belong to such a domain, and it keeps its present tokens.
     """
     new = ("n_tokens", "posterior", "rate", "copies")
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in new])
@@ -241,11 +258,15 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
         total = scored.agg(F.sum("n_tokens")).first()[0] or 0
     goal = np.array([present[i] if targets[x] is None else targets[x] * float(total) for i, x in enumerate(names)])
     for x in leave_out or {}:
-        goal[names.index(x)] = min(goal[names.index(x)], present[names.index(x)])
+        i = names.index(x)
+        goal[i] = min(goal[i], present[i]) if limits else present[i]
     steps = fit_rates(rest, goal)
     out = scored.mapInArrow(_apply(d, steps), f"{fields}, n_tokens long, posterior array<double>, rate double")
     out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
-    return out.withColumn("copies", F.floor(F.col("rate") + 0.5).cast("int"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__key", "__number"), 11).cast("double") / float(1 << 53)
+    return (_numbered(spark, out, text, doc_id, seed)
+            .withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+            .drop("__key", "__number"))
 
 
 def label_domain() -> Column:
