@@ -416,6 +416,24 @@ def test_query_matches_sql(spark, small_duck, name):
     assert rows(got) == rows(want)
 
 
+def test_one_row_of_a_group_stays(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d, e = ("one two three four five six %s" % x for x in "abcde")
+    a, b, c, d, e = (t + " " + " ".join(t[-1] + str(i) for i in range(40)) for t in (a, b, c, d, e))
+    rows = [(3, a), (7, a), (7, b), (9, b),                    # an id with two texts, one of them linked to a lesser id
+            (20, c), (20, c), (20, c),                         # repeated rows
+            (None, d), (None, d), (None, d + " end"),          # a group without ids, near copies too
+            (None, e), (30, e), (40, None), (None, ""), (41, "")]
+    got = cp.near_duplicates(spark, docs_of(spark, rows), SMALL)
+    assert got.columns == docs_of(spark, rows).columns
+    kept = [(r[0], r[1]) for r in got.select("doc_id", "text").collect()]
+    ends = [x for x in kept if x[1] and x[1].startswith(d)]
+    assert len(ends) == 1 and ends[0][0] is None
+    assert sorted((x for x in kept if x not in ends), key=str) == sorted(
+        [(3, a), (7, b), (20, c), (30, e), (40, None), (None, ""), (41, "")], key=str)
+
+
 def test_pipeline_stages_do_their_work(spark):
     import corpus_pipeline as cp
 

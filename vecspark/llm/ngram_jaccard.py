@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -72,7 +72,7 @@ def _unpack(payload: bytes, coded: bool = False):
 # ---- step 1: texts to blocks --------------------------------------------------------------------
 
 def _blocks(parts: int, k: int):
-    """mapInArrow (doc_id, text) -> (part, kind, block, payload); kind 0: a block's documents, 1: its tokens in a range."""
+    """mapInArrow (doc_id, text, text hash) -> (part, kind, block, payload); kind 0: a block's documents, 1: its tokens in a range."""
     shift = TOKEN_BITS - (parts.bit_length() - 1)
 
     def run(batches):
@@ -80,13 +80,13 @@ def _blocks(parts: int, k: int):
 
         task, seq = TaskContext.get().partitionId(), 0
         keys, docs, held = [], 0, 0
-        ids, valid, sizes, d1, d2 = [], [], [], [], []
+        ids, valid, sizes, d1, d2, hashes = [], [], [], [], [], []
 
         def flush():
             nonlocal seq, keys, docs, held
             block = (task << 24) | seq
             seq += 1
-            meta = np.stack([np.concatenate(x).astype(np.uint64) for x in (ids, valid, sizes, d1, d2)])
+            meta = np.stack([np.concatenate(x).astype(np.uint64) for x in (ids, valid, sizes, d1, d2, hashes)])
             rows = [(block % parts, 0, block, meta.tobytes())]
             if keys:
                 key = np.concatenate(keys)
@@ -98,7 +98,7 @@ def _blocks(parts: int, k: int):
                     part = key[cut[p]:cut[p + 1]]
                     rows.append((int(p), 1, block, _pack(part >> _U(16), (part & _U(0xFFFF)))))
             keys, docs, held = [], 0, 0
-            for x in (ids, valid, sizes, d1, d2):
+            for x in (ids, valid, sizes, d1, d2, hashes):
                 x.clear()
             cols = list(zip(*rows))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -135,6 +135,7 @@ def _blocks(parts: int, k: int):
                     sizes.append(n)
                     d1.append(dig[0])
                     d2.append(dig[1])
+                    hashes.append(rb.column(2).slice(a, b - a).to_numpy().view(np.uint64))
                     docs += b - a
                     held += len(key)
         if docs:
@@ -180,7 +181,7 @@ def _shared_tokens(t: pa.Table) -> pa.Table:
                      "payload": pa.array(cols[2], pa.binary())})
 
 
-_DOC = "rid long, doc_id long, n long, d1 long, d2 long, n_prefix int, toks binary"
+_DOC = "rid long, doc_id long, text_hash long, n long, d1 long, d2 long, n_prefix int, toks binary"
 
 
 def _documents(num: int, den: int):
@@ -189,10 +190,11 @@ def _documents(num: int, den: int):
         meta, hits = None, []
         for kind, payload in zip(t["kind"].to_pylist(), t["payload"]):
             if kind == 0:
-                meta = np.frombuffer(payload.as_py(), np.uint64).reshape(5, -1)
+                meta = np.frombuffer(payload.as_py(), np.uint64).reshape(6, -1)
             else:
                 hits.append(_unpack(payload.as_py(), coded=True))
         ids, valid, n, d1, d2 = meta[0].view(np.int64), meta[1] > 0, meta[2].astype(np.int64), meta[3], meta[4]
+        text_hash = meta[5].view(np.int64)
         rid = np.where(valid, ids, NO_ID + (d1 >> _U(3)).astype(np.int64))
         toks: list[bytes | None] = [None] * len(ids)
         prefix: list[int | None] = [None] * len(ids)
@@ -218,6 +220,7 @@ def _documents(num: int, den: int):
                 need = -(-num * int(n[i]) // den)
                 prefix[i] = int(n[i]) - need + 1 - (int(n[i]) - len(own))
         return pa.table({"rid": pa.array(rid, pa.int64()), "doc_id": pa.array(ids, pa.int64(), mask=~valid),
+                         "text_hash": pa.array(text_hash, pa.int64()),
                          "n": pa.array(n, pa.int64()), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64)),
                          "n_prefix": pa.array(prefix, pa.int32()), "toks": pa.array(toks, pa.binary())})
     return run
@@ -399,7 +402,25 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, *, text: str = "tex
     their 64-bit digests are.  ``docs`` must give the
     same rows in the same order when a lost task reads it again, as files do.
     """
+    groups = ngram_jaccard_groups(spark, docs, text=text, doc_id=doc_id, k=k, num=num, den=den)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def text_hash(text: str) -> Column:
+    """64-bit hash that tells the texts of one id apart (null has one of its own)."""
+    return F.xxhash64(F.col(text).isNull(), F.col(text))
+
+
+def ngram_jaccard_groups(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5,
+                         num: int = 75, den: int = 100) -> DataFrame:
+    """``ngram_jaccard_join`` with ``text_hash`` and ``component``.
+
+    ``component`` names a row's component also where component_id does not tell
+    it: without any id, or where components share their least id.  It is null
+    for a null or wordless text, which is linked with nothing.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.withColumn("text_hash", text_hash("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 64                                       # token ranges; a byte of text gives less than 1/4 token
     while parts * BLOCK_TOKENS * 4 < n_bytes:
@@ -427,11 +448,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, *, text: str = "tex
     # a group's label is the least id of its classes
     grouped = write_table(spark, classes.join(group, "d1").select("n", "d1", "d2", "cid", "grp"), "nj-grouped")
     least = write_table(spark, grouped.groupBy("grp").agg(F.min("cid").alias("label")), "nj-least")
-    label = grouped.join(least, "grp").select("n", "d1", "d2", "label")
+    label = grouped.join(least, "grp").select("n", "d1", "d2", "label", "grp")
 
     named = write_table(spark, classes.join(label, ["n", "d1", "d2"], "left")
-                        .select("n", "d1", "d2", F.coalesce("label", "cid").alias("label")), "nj-named")
+                        .select("n", "d1", "d2", F.coalesce("label", "cid").alias("label"), "grp"), "nj-named")
     out = every.join(named, ["n", "d1", "d2"], "left").withColumn("label", F.coalesce("label", "rid"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
                       F.when((F.col("n") > 0) & (F.col("label") < NO_ID), F.col("label"))
-                      .otherwise(F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+                      .otherwise(F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"),
+                      F.when(F.col("n") > 0, F.coalesce("grp", "d1")).alias("component"))
