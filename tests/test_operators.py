@@ -338,3 +338,18 @@ def test_register_custom_strategy(spark, views):
             compare_strategies(views.index, views.queries, 3, ["nope"])
     finally:
         STRATEGIES.pop("naive", None)
+
+
+def test_extraction_keys_over_all_conversations(spark):
+    from pyspark.sql import functions as F
+
+    from vecspark.functions.text import stripped_length
+    from vecspark.plans.catalog import QUERIES
+    from vecspark.plans.views import Views
+
+    v = Views(spark, SF_SMALL)
+    passages = v.examples.passages.where(stripped_length("passage_text") > 10).count()
+    texts = v.table("documents").where(stripped_length("text") > 10).count()
+    n = {k: QUERIES[k](spark, SF_SMALL).count() for k in ("passage_extract_all", "passage_ids_all", "passage_topup_all", "query_extract_all")}
+    assert n == {"passage_extract_all": passages, "passage_ids_all": passages, "passage_topup_all": passages + texts,
+                 "query_extract_all": v.examples.queries.where(stripped_length("query") > 5).count()}

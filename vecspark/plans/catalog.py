@@ -315,6 +315,37 @@ def q_passage_ids(spark, sf):
     return passage_ids(Views(spark, sf).passages)
 
 
+# the same over all conversations and documents; the keys above keep their first n rows, as their SQL does
+
+@register("passage_extract_all", O.sql("SELECT vector_id, text FROM f_ptexts", "f_ptexts"))
+def q_passage_extract_all(spark, sf):
+    return Views(spark, sf).ptexts
+
+
+O.cte("f_topup_all", ["f_ptexts"], f"""SELECT row_number() OVER (ORDER BY pass, pos) - 1 AS vector_id, text, pass FROM (
+    SELECT 0 AS pass, vector_id AS pos, text FROM f_ptexts UNION ALL
+    SELECT 1, doc_id, {O.strip('text')} FROM documents WHERE length({O.strip('text')}) > 10)""")
+
+
+@register("passage_topup_all", O.sql("SELECT vector_id, text, pass FROM f_topup_all", "f_topup_all"))
+def q_passage_topup_all(spark, sf):
+    from vecspark.sources.corpus import passage_topup
+    v = Views(spark, sf)
+    return passage_topup(v.ptexts, v.table("documents"), None, second_pos="doc_id", second_field="text")
+
+
+@register("query_extract_all", O.sql("SELECT query_id, text, example_pos FROM f_qtexts", "f_qtexts"))
+def q_query_extract_all(spark, sf):
+    return Views(spark, sf).qtexts
+
+
+@register("passage_ids_all", O.sql(
+    "SELECT vector_id, 'p_' || vector_id AS passage_id, text FROM f_ptexts", "f_ptexts"))
+def q_passage_ids_all(spark, sf):
+    from vecspark.sources.corpus import passage_ids
+    return passage_ids(Views(spark, sf).ptexts)
+
+
 @register("qrels_extract", O.sql("SELECT query, example_pos, pos, passage FROM f_qrels", "f_qrels"))
 def q_qrels_extract(spark, sf):
     return Views(spark, sf).qrels

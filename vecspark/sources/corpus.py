@@ -137,16 +137,15 @@ def passage_field_fallback(flat: DataFrame, *, id_col: str, fields: Sequence[str
             .where(F.char_length("text") > min_chars))
 
 
-def passage_topup(first: DataFrame, second: DataFrame, n: int, *, second_pos: str,
+def passage_topup(first: DataFrame, second: DataFrame, n: int | None, *, second_pos: str,
                   second_field: str = "passage", min_chars: int = PASSAGE_MIN_CHARS) -> DataFrame:
-    """First-pass passages, then a second pass over ``second_field`` until n rows."""
+    """First-pass passages, then a second pass over ``second_field`` until n rows (None: all)."""
     a = first.select(F.lit(0).alias("pass"), F.col("vector_id").alias("pos"), "text")
     b = (second.select(F.lit(1).alias("pass"), F.col(second_pos).cast("long").alias("pos"),
                        py_strip(F.col(second_field)).alias("text"))
          .where(F.char_length("text") > min_chars))
-    return (dense_index(a.unionByName(b), ["pass", "pos"], "vector_id")
-            .where(F.col("vector_id") < n)
-            .select("vector_id", "text", "pass"))
+    out = dense_index(a.unionByName(b), ["pass", "pos"], "vector_id")
+    return (out if n is None else out.where(F.col("vector_id") < n)).select("vector_id", "text", "pass")
 
 
 def query_extract(examples: Examples, n: int | None = None, *, min_chars: int = QUERY_MIN_CHARS) -> DataFrame:
