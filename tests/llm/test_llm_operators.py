@@ -291,6 +291,24 @@ def test_license_scan_matches_plain_dice(spark, texts):
     assert [(m["unit"], m["first_line"]) for m in found] == [("paragraph", 2)]
 
 
+def test_licenses_inside_longer_texts(spark):
+    mit = licenses.TEMPLATES["MIT"][2]
+    one, two = mit.index("The above"), mit.index("THE SOFTWARE IS")
+    parts = "\n\n".join((mit[:one], mit[one:two], mit[two:]))
+    prose = " ".join("plain%d words" % i for i in range(400))
+    bsd3 = licenses.TEMPLATES["BSD-3-Clause"][0]
+    rows = [(1, prose + "\n\nMIT License\n\n" + parts + "\n\n" + prose), (2, prose + " Released under the MIT License. " + prose),
+            (3, "# " + "\n# ".join(textwrap.wrap(licenses.TEMPLATES["Zlib"][0], 70)) + "\n" + "x = call(y)\n" * 300),
+            (4, prose + " released under the MIT press by " + prose), (5, "Licensed under the Apache License, Version 1.0 " + prose),
+            (6, "Code\n" * 300 + bsd3 + "\n" + prose), (7, prose + " " + mit + " " + mit + " " + prose),
+            (8, prose + " " + licenses.TEMPLATES["AGPL-3.0"][0] + " see it " + prose)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark, docs_of(spark, rows)).collect()}
+    assert {i: [m["license"] for m in x] for i, x in got.items()} == {
+        1: ["MIT"], 2: ["MIT"], 3: ["Zlib"], 4: [], 5: [], 6: ["BSD-3-Clause"], 7: ["MIT", "MIT"], 8: ["AGPL-3.0"]}
+    assert (got[1][0]["first_line"], got[1][0]["last_line"], got[1][0]["dice"]) == (4, 8, 1.0)
+    assert got[2][0]["unit"] == "words" and got[2][0]["dice"] == 1.0
+
+
 # ---- 8 ----
 
 def test_line_dedup_matches_brute_force(spark):

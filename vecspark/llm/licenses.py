@@ -1,9 +1,10 @@
 """License scan: normalised text against license templates by Dice coefficient over word bigrams.
 
-Units are whole texts, paragraphs and lines.  A template can only reach the
-threshold for units within a factor of its size, and a unit only if enough of
-its bigrams occur in any template; what passes both bounds is compared exactly
-(multisets of bigrams).
+Units are whole texts, paragraphs, lines and windows of words.  A template can
+only reach the threshold for units within a factor of its size, and a unit only
+if enough of its bigrams occur in any template; what passes both bounds is
+compared exactly (multisets of bigrams).  Windows are as long as the template or
+longer, start anywhere and find what no line, paragraph or text holds alone.
 """
 
 from __future__ import annotations
@@ -83,6 +84,51 @@ TEMPLATES: dict[str, list[str]] = {
         "misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
         "distribution."],
 }
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+        "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_3 = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+          "derived from this software without specific prior written permission. ")
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+            "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+            "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+            "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+            "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+            "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+            "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+TEMPLATES |= {
+    "BSD-2-Clause": [_BSD + _BSD_END],
+    "BSD-3-Clause": [_BSD + _BSD_3 + _BSD_END],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for "
+        "more details."],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for "
+        "more details."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors "
+        "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication "
+        "for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be "
+        "an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE "
+        "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "CC0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide. This software is distributed without any warranty. You should have received a "
+        "copy of the CC0 Public Domain Dedication along with this software. If not, see "
+        "<http://creativecommons.org/publicdomain/zero/1.0/>."],
+}
 MATCHES = "array<struct<license:string,unit:string,first_line:int,last_line:int,dice:double>>"
 
 
@@ -110,6 +156,8 @@ class _Catalogue:
                         grams = _bigrams(w).tolist()
                         self.templates.append(_Template(name, len(grams), Counter(grams)))
         self.known = np.unique(np.array([g for t in self.templates for g in t.counts], np.uint64))
+        #: [template, known bigram]: how often the template has it
+        self.table = np.array([[t.counts.get(g, 0) for g in self.known.tolist()] for t in self.templates], np.int32)
         sizes = [t.size for t in self.templates]
         self.smallest, self.largest = (min(sizes), max(sizes)) if sizes else (1, 0)
 
@@ -132,6 +180,47 @@ class _Catalogue:
                 found = (t.license, dice)
         return found
 
+    def windows(self, grams: np.ndarray) -> list[tuple[float, float, int, int, int, str]]:
+        """Windows of bigrams (surplus over the threshold, dice, overlap, start, end, license): the best of each start.
+
+        With gains 2 - threshold for a template's bigram and -threshold for
+        others, no window that reaches the threshold gains less than threshold
+        times the template's size; the starts that can are compared exactly.
+        """
+        total, th, found = len(grams), self.threshold, []
+        at = np.searchsorted(self.known, grams)
+        at[at == len(self.known)] = 0
+        hit = self.known[at] == grams
+        held = self.table[:, at[hit]] > 0
+        for k, t in enumerate(self.templates):
+            if t.size > total or held[k].sum() * (2 - th) < th * t.size:
+                continue
+            need = np.where(hit, self.table[k, at], 0)
+            score = np.append(0.0, np.cumsum(2.0 * (need > 0) - th))
+            top = np.maximum.accumulate(score[::-1])[::-1]
+            can = top[:-1] - score[:-1] >= th * t.size - 1e-9
+            # windows of the least size that would pass the end start there
+            starts = np.unique(np.minimum(np.flatnonzero(can & (need > 0)), total - t.size))
+            if not len(starts):
+                continue
+            # a bigram counts in windows that start after its last occurrence too many
+            after = np.where(need > 0, -1, total)
+            seen: dict[int, list[int]] = {}
+            for i in np.flatnonzero(need).tolist():
+                places = seen.setdefault(int(at[i]), [])
+                if len(places) >= need[i]:
+                    after[i] = places[-int(need[i])]
+                places.append(i)
+            for a in starts.tolist():
+                b = min(total, a + int(self.high * t.size))
+                over = np.cumsum(after[a:b] < a)[t.size - 1:]
+                dice = 2 * over / (np.arange(t.size, t.size + len(over)) + t.size)
+                j = int(dice.argmax())
+                if dice[j] >= th:
+                    n, o = t.size + j, int(over[j])
+                    found.append((2 * o - th * (n + t.size), float(dice[j]), o, a, a + n, t.license))
+        return found
+
 
 def _units(line_words: np.ndarray) -> list[tuple[str, int, int]]:
     """(kind, first line, last line + 1) of a text's lines, paragraphs and whole, without repeats."""
@@ -168,11 +257,21 @@ def _scan(catalogue, text_col: str):
                 found.append((got[1], b - a, got[0], kind, a, b))
         # best first; what overlaps a better match goes
         found.sort(key=lambda x: (-x[0], -x[1], x[4]))
-        kept: list = []
+        kept: list = []                                                  # (first word, last word + 1, overlap, match)
         for dice, _, name, kind, a, b in found:
-            if all(b <= k["first_line"] or a > k["last_line"] for k in kept):
-                kept.append({"license": name, "unit": kind, "first_line": a, "last_line": b - 1, "dice": dice})
-        return sorted(kept, key=lambda k: k["first_line"])
+            lo, hi = int(first_word[a]), int(first_word[b])
+            if all(hi <= k[0] or lo >= k[1] for k in kept):
+                kept.append((lo, hi, dice * (hi - lo), {"license": name, "unit": kind, "first_line": a, "last_line": b - 1, "dice": dice}))
+        # windows of words: where nothing matches yet, or only much shorter notices do
+        for _, dice, o, a, b, name in sorted(cat.windows(grams), key=lambda x: (-x[0], -x[1], x[3], x[5])):
+            lo, hi = a, b + 1
+            over = [k for k in kept if lo < k[1] and hi > k[0]]
+            if any(k[3]["unit"] == "words" or 2 * k[2] >= o for k in over):
+                continue
+            kept = [k for k in kept if k not in over]
+            line = [int(np.searchsorted(first_word, w, "right")) - 1 for w in (lo, hi - 1)]
+            kept.append((lo, hi, o, {"license": name, "unit": "words", "first_line": line[0], "last_line": line[1], "dice": dice}))
+        return [k[3] for k in sorted(kept, key=lambda k: k[0])]
 
     def run(batches):
         cat: _Catalogue = catalogue.value
@@ -202,7 +301,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, *, templates: dict[str,
 
     Words are lowered ASCII letters and digits and all non-ASCII characters;
     everything else separates.  Units: each line, each paragraph (lines between
-    lines without words) and the whole text; line numbers count from 0.  A unit
+    lines without words), the whole text, and windows of words (unit ``words``)
+    that overlap none of these or only much shorter ones; line numbers count from 0.  A unit
     of fewer than two words has no bigrams and matches nothing.  Null and empty
     texts give an empty list.  Equal coefficients go to the longer unit, then the
     earlier, and among licenses to the first by name.  A column named licenses is
