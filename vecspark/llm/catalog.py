@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, langid, licenses, line_dedup, mixing, ngram_jaccard, sharding, token_records, topk, warc
+from . import decontaminate, fim, langid, licenses, line_dedup, mixing, ngram_jaccard, sharding, token_records, topk, warc
 from .storage import table
 
 
@@ -75,6 +75,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("rate", 6).alias("rate"), "copies")
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.fim_digest(fim.fim_restore(spark, fim.fim_transform(spark, docs)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_ngram_jaccard, op4_token_records, op5_warc,
-                            op6_language_id, op7_license_scan, op8_line_dedup, op9_sharding, op10_mixing, pipeline)}
+                            op6_language_id, op7_license_scan, op8_line_dedup, op9_sharding, op10_mixing, op12_fim, pipeline)}
 
 _WORDS1 = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS3 = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -140,4 +145,17 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines A
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id)::BIGINT AS n_removed,
        CASE WHEN text IS NOT NULL THEN md5(coalesce(t, '')) END AS kept_md5
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_fim": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, text, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90
+                  THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+             array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s""",
 }
