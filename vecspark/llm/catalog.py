@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, fim, langid, licenses, line_dedup, mixing, ngram_jaccard, sharding, token_records, topk, warc
+from . import decontaminate, fim, langid, licenses, line_dedup, mixing, ngram_jaccard, prefix_trie, sharding, token_records, topk, warc
 from .storage import table
 
 
@@ -75,6 +75,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("rate", 6).alias("rate"), "copies")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark, table(spark, sf_dir, "conversations")).drop("key", "parent")
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fim.fim_digest(fim.fim_restore(spark, fim.fim_transform(spark, docs)))
@@ -88,8 +92,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_ngram_jaccard, op4_token_records, op5_warc,
-                            op6_language_id, op7_license_scan, op8_line_dedup, op9_sharding, op10_mixing, op12_fim, pipeline)}
+                            op6_language_id, op7_license_scan, op8_line_dedup, op9_sharding, op10_mixing, op11_prefix_trie, op12_fim, pipeline)}
 
+#: crc32 of a decimal number's digits {s}
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, len({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT), lambda c, b:
+list_reduce(range(8), lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT))"""
 _WORDS1 = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS3 = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -145,6 +152,25 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines A
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id)::BIGINT AS n_removed,
        CASE WHEN text IS NOT NULL THEN md5(coalesce(t, '')) END AS kept_md5
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id, turn, strlen(coalesce(text, ''))::BIGINT AS b,
+                  md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'k': k, 'b': b}} ORDER BY turn NULLS FIRST, k) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, l, conv_id - conv_id % 5 AS src, {_CRC32.format(s='conv_id::VARCHAR')} % 9 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(s.l, [])[1:c.h], c.l[c.h + 1:]) AS l FROM c LEFT JOIN o s ON s.conv_id = c.src),
+p AS (SELECT conv_id, d, len(l) AS n, array_to_string(list_transform(l[1:d], lambda x: x.k), ',') AS key,
+             array_to_string(list_transform(l[1:d + 1], lambda x: x.k), ',') AS next, CASE WHEN d > 0 THEN l[d].b ELSE 0 END AS b
+      FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM r)),
+v AS (SELECT key, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(b) AS b,
+             count(DISTINCT CASE WHEN n > d THEN next END) AS n_children,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS e FROM p GROUP BY key),
+up AS (SELECT p.key, sum((v.n_children = 0)::INT) AS n_leaves, sum((v.n_convs - 1) * v.b) AS saved
+       FROM v JOIN p ON p.conv_id = v.conv_id AND p.d <= v.depth GROUP BY p.key),
+par AS (SELECT v.key, w.conv_id AS parent_conv_id FROM v JOIN p ON p.conv_id = v.conv_id AND p.d = v.depth - 1 JOIN v w ON w.key = p.key)
+SELECT v.conv_id, v.depth::BIGINT AS depth, par.parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(e) AS ends_sha256
+FROM v JOIN up USING (key) LEFT JOIN par USING (key)""",
     "op12_fim": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
