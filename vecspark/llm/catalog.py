@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, fim, langid, licenses, line_dedup, mixing, ngram_jaccard, prefix_trie, sharding, token_records, topk, warc
+from . import decontaminate, fim, flat_graph, langid, licenses, line_dedup, mixing, ngram_jaccard, prefix_trie, sharding, token_records, topk, warc
 from .storage import table
 
 
@@ -84,6 +84,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digest(fim.fim_restore(spark, fim.fim_transform(spark, docs)))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicate_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +96,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_ngram_jaccard, op4_token_records, op5_warc,
-                            op6_language_id, op7_license_scan, op8_line_dedup, op9_sharding, op10_mixing, op11_prefix_trie, op12_fim, pipeline)}
+                            op6_language_id, op7_license_scan, op8_line_dedup, op9_sharding, op10_mixing, op11_prefix_trie, op12_fim, op13_embedding_dedup,
+                            pipeline)}
 
 #: crc32 of a decimal number's digits {s}
 _CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, len({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT), lambda c, b:
@@ -184,4 +189,15 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
        CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
               ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s""",
+    "op13_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+         WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x),
+reach(vec_id, r) AS (SELECT x, x FROM link UNION SELECT reach.vec_id, link.y FROM reach JOIN link ON link.x = reach.r),
+c AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id,
+       coalesce(c.c, e.vec_id) IS NOT DISTINCT FROM e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.vec_id = e.vec_id""",
 }
