@@ -861,3 +861,10 @@ def q_stream_search(spark, sf):
     q = stream_search(spark, v.index, src, v.queries.schema, out, ck, 10)
     q.awaitTermination()
     return spark.read.parquet(out).select("query_id", "rank", "vector_id", r6("score", 4).alias("score"))
+
+
+# =============================================================================
+# stored indexes (a module of their own; importing it registers them)
+# =============================================================================
+
+from vecspark.plans import stored_catalog  # noqa: E402,F401
