@@ -230,7 +230,7 @@ def lsh_keys(df: DataFrame, planes: np.ndarray, bands: int, bits: int, *,
 def lsh_search(index: DataFrame, queries: DataFrame, k: int = 10, *, bands: int = 8,
                bits: int = 4, seed: int = 42, id_col: str = "vector_id",
                vec_col: str = "embedding", qid_col: str = "query_id",
-               qvec_col: str = "embedding",
+               qvec_col: str = "embedding", cosine: bool = False,
                max_chunk_bytes: int = DEFAULT_MAX_CHUNK_BYTES) -> DataFrame:
     """Top-k over rows that share at least one band bucket with the query."""
     from vecspark.operators.blockscan import _first_dim
@@ -239,7 +239,7 @@ def lsh_search(index: DataFrame, queries: DataFrame, k: int = 10, *, bands: int
     rows, qs = (lsh_keys(df.select(i, v).where(F.col(v).isNotNull()), P, bands, bits, vec_col=v)
                 for df, i, v in ((index, id_col, vec_col), (queries, qid_col, qvec_col)))
     return block_knn(rows, qs, k, mode="lsh", id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col,
-                     key_col="band_keys", bits=bits, max_chunk_bytes=max_chunk_bytes)
+                     key_col="band_keys", bits=bits, cosine=cosine, max_chunk_bytes=max_chunk_bytes)
 
 
 # ---------------------------------------------------------------------------

@@ -853,18 +853,19 @@ def q_stream_ingest(spark, sf):
 @register("stream_search", O.sql(
     "SELECT query_id, rank, vector_id, round(score, 4) AS score FROM f_gt", "f_gt"))
 def q_stream_search(spark, sf):
+    from vecspark.operators.stored import store_index
     from vecspark.session import scratch_path
     from vecspark.streaming.jobs import stream_search
     v = Views(spark, sf)
     src, out, ck = (scratch_path(spark, n) for n in ("search-src", "search-out", "search-ck"))
     _stage_files(v.queries, src, 3, "query_id")
-    q = stream_search(spark, v.index, src, v.queries.schema, out, ck, 10)
+    q = stream_search(spark, store_index(v.index), src, v.queries.schema, out, ck, 10)
     q.awaitTermination()
     return spark.read.parquet(out).select("query_id", "rank", "vector_id", r6("score", 4).alias("score"))
 
 
 # =============================================================================
-# stored indexes (a module of their own; importing it registers them)
+# stored indexes and the benchmark run (modules of their own; importing them registers them)
 # =============================================================================
 
-from vecspark.plans import stored_catalog  # noqa: E402,F401
+from vecspark.plans import benchmark_catalog, stored_catalog  # noqa: E402,F401

@@ -5,7 +5,8 @@
   rewrites its own version, so the sink is idempotent).
 * ``stream_search``: a stream of query vectors -> per micro-batch exact (or
   any strategy) k-NN join against the static index -> result files, one
-  partition per batch.
+  partition per batch.  Against a ``StoredIndex`` a micro-batch moves its
+  queries only.
 
 Both use a checkpoint location under the shared checkpoint folder and
 ``trigger(availableNow=True)`` in tests; in production pass any trigger.
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecspark.operators.stored import StoredIndex, knn_stored
 from vecspark.sinks import vector_table as vt
 
 
@@ -34,14 +36,17 @@ def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, ta
     return q
 
 
-def stream_search(spark: SparkSession, index: DataFrame, source_dir: str, schema: T.StructType,
+def stream_search(spark: SparkSession, index: DataFrame | StoredIndex, source_dir: str, schema: T.StructType,
                   out_root: str, checkpoint: str, k: int = 10, *, strategy: str = "exact",
                   trigger: dict | None = None, **kw):
     from vecspark.operators.knn import batch_search
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
 
     def search_batch(batch: DataFrame, epoch_id: int):
-        res = batch_search(index, batch, k, strategy=strategy, **kw)
+        if isinstance(index, StoredIndex):
+            res = knn_stored(index, batch, k, **kw)
+        else:
+            res = batch_search(index, batch, k, strategy=strategy, **kw)
         (res.withColumn("epoch", F.lit(int(epoch_id))).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_root))
 
