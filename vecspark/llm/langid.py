@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import tidy, tidy_group
+
 #: labelled texts used per language (expected number of a hashed sample)
 TRAIN_TEXTS = 400
 EM_ROUNDS = 3
@@ -27,8 +29,10 @@ WORD_BYTES = 48
 PIECE_BYTES = 12
 #: added to every piece's expected count
 SMOOTH = 0.02
+#: probabilities are scaled by 2 to this power per byte while a word's segmentations are summed
+SCALE_BITS = 10
 #: words that a worker remembers
-MEMO = 500_000
+MEMO = 200_000
 _MARK = "▁".encode()
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -189,7 +193,14 @@ class Model:
     """Languages, pieces and their probabilities [piece, language]."""
 
     def __init__(self, langs: list[str], pieces: dict[bytes, int], probs: np.ndarray):
+        if len(langs) > 1:                           # what no language has seen tells none from another
+            least = probs.min(axis=0)
+            probs = np.where((probs <= least * (1 + 1e-9)).all(axis=1)[:, None], np.exp(np.log(least).mean()), probs)
         self.langs, self.table, self.probs = langs, PieceTable(pieces), probs
+        size = np.zeros(len(pieces))
+        size[list(pieces.values())] = [len(p) for p in pieces]
+        #: as many factors as a segmentation has bytes, whatever its pieces: no sum underflows
+        self.scaled = probs * (2.0 ** (SCALE_BITS * size))[:, None]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language; nan for words without a letter."""
@@ -201,7 +212,8 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         owner = np.array(owner, np.int64)
         for lat in _lattices(parts, self.table):
-            np.add.at(out, owner[lat.who], np.log(lat.total(lat.forward(self.probs))))
+            log = np.log(lat.total(lat.forward(self.scaled))) - (SCALE_BITS * np.log(2.0) * lat.lens)[:, None]
+            np.add.at(out, owner[lat.who], log)
         for i, w in enumerate(words):
             if not w.isalpha() and not any(c.isalpha() for c in w):
                 out[i] = np.nan
@@ -314,8 +326,8 @@ def fit_language_model(spark: SparkSession, docs: DataFrame, piece_model: str, *
     u = (F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53))
     sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text")
     shared = spark.sparkContext.broadcast(pieces)
-    fitted = (sample.mapInArrow(_count_words, "lang string, words array<string>, counts array<long>")
-              .groupBy("lang").applyInArrow(_fit(shared), "lang string, probs binary").collect())
+    fitted = (sample.mapInArrow(tidy(_count_words), "lang string, words array<string>, counts array<long>")
+              .groupBy("lang").applyInArrow(tidy_group(_fit(shared)), "lang string, probs binary").collect())
     fitted = sorted((r["lang"], np.frombuffer(r["probs"], "<f8")) for r in fitted) if fitted else []
     probs = np.stack([p for _, p in fitted], axis=1) if fitted else np.zeros((len(pieces), 0))
     return Model([x for x, _ in fitted], pieces, probs)
@@ -345,4 +357,4 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: Model, *, text
     """
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), text), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(_predict(spark.sparkContext.broadcast(model), text)), f"{fields}, lang_pred string, score double")
