@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import tidy, write_table
 
 #: edges that one pass of the in-task contraction holds
 LOCAL_EDGES = 1 << 20
@@ -65,7 +65,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    edges = write_table(spark, edges.mapInArrow(_contract, "a long, b long").distinct(), "cc-edges")
+    edges = write_table(spark, edges.mapInArrow(tidy(_contract), "a long, b long").distinct(), "cc-edges")
     place = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .storage import write_table
+from .storage import tidy, write_table
 from .words import LOWER
 
 #: words of a window
@@ -218,7 +218,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                        item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                       block_bytes: int = BLOCK_BYTES, then=None) -> DataFrame:
     """``docs`` with n_words, spans (merged word ranges that benchmark windows cover) and items (sorted ids).
 
     A window is ``window`` consecutive words of an item, or the whole item if it
@@ -227,19 +227,20 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     count for themselves.  Columns of ``docs`` named like the three new ones are
     replaced; all others pass through.  Items fill as many bounded blocks as
     they need; between blocks the result so far lies in the shared folder.
+    ``then``: a function over the resulting batches, of the same schema, run in
+    the last pass's tasks.
     """
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "items")]
     docs = docs.select(*[f"`{c}`" for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _OUT
-    out, more = docs, False
+    out, more, held = docs, False, None
+    search = lambda block, more: _search(spark.sparkContext.broadcast(Phrases(block, window)), text, more)
     for block in item_blocks(benchmark, item_id, item_text, block_bytes):
-        if more:
-            out = write_table(spark, out, "decontaminate")
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(Phrases(block, window)), text, more), schema)
-        more = True
-    if not more:
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(Phrases([], window)), text, False), schema)
-    return out
+        if held is not None:
+            out, more = write_table(spark, out.mapInArrow(tidy(search(held, more)), schema), "decontaminate"), True
+        held = block
+    last = search(held or [], more)
+    return out.mapInArrow(tidy(last if then is None else lambda batches: then(last(batches))), schema)
 
 
 def _cut(text_col: str):
@@ -273,8 +274,7 @@ def remove_spans(text: str, spans: list[dict]) -> str:
 
 def remove_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **kw) -> DataFrame:
     """``docs`` with the contaminated word spans cut out of the texts (others are left as they are)."""
-    found = find_contamination(spark, docs, benchmark, text=text, **kw)
-    return found.mapInArrow(_cut(text), found.schema)
+    return find_contamination(spark, docs, benchmark, text=text, then=_cut(text), **kw)
 
 
 def contamination_digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

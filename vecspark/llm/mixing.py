@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import tidy, tidy_group, write_table
 from .words import ALNUM, word_hashes
 
 #: hashed word features
@@ -112,8 +112,8 @@ def fit_domains(spark: SparkSession, docs: DataFrame, labels: DataFrame, domain:
     some = known.where(u < 0.9 * train_rows / n).limit(train_rows)
     rows = (docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
             .join(F.broadcast(some), "id").select("domain", "text"))
-    got = (rows.mapInArrow(_sample_rows, "one int, domain int, features binary").groupBy("one")
-           .applyInArrow(_train(len(domains)), "weights binary").collect())
+    got = (rows.mapInArrow(tidy(_sample_rows), "one int, domain int, features binary").groupBy("one")
+           .applyInArrow(tidy_group(_train(len(domains))), "weights binary").collect())
     if not got:
         return np.zeros((FEATURES + 1, len(domains)))
     return np.frombuffer(got[0][0], "<f4").reshape(FEATURES + 1, len(domains)).astype(float)
@@ -167,7 +167,7 @@ def _summed(df: DataFrame, size: int) -> np.ndarray:
 
 
 def _moment_sums(features: DataFrame, d: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sums = _summed(features.select("n_tokens", "posterior").mapInArrow(_moments(d, steps), "sums array<double>"), d + 2 * d * d)
+    sums = _summed(features.select("n_tokens", "posterior").mapInArrow(tidy(_moments(d, steps)), "sums array<double>"), d + 2 * d * d)
     return sums[:d], sums[d:d + d * d].reshape(d, d), sums[d + d * d:].reshape(d, d)
 
 
@@ -246,7 +246,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     d = len(names)
     weights = fit_domains(spark, docs, labels, domain, names, text=text, doc_id=doc_id)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = docs.mapInArrow(_posteriors(spark.sparkContext.broadcast(weights), text), f"{fields}, n_tokens long, posterior array<double>")
+    scored = docs.mapInArrow(tidy(_posteriors(spark.sparkContext.broadcast(weights), text)), f"{fields}, n_tokens long, posterior array<double>")
     scored = write_table(spark, scored, "mix-scored")
     limits = leave_out if leave_out and weights.any() else {}
     gone = F.lit(False)
@@ -261,7 +261,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
         i = names.index(x)
         goal[i] = min(goal[i], present[i]) if limits else present[i]
     steps = fit_rates(rest, goal)
-    out = scored.mapInArrow(_apply(d, steps), f"{fields}, n_tokens long, posterior array<double>, rate double")
+    out = scored.mapInArrow(tidy(_apply(d, steps)), f"{fields}, n_tokens long, posterior array<double>, rate double")
     out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__key", "__number"), 11).cast("double") / float(1 << 53)
     return (_numbered(spark, out, text, doc_id, seed)

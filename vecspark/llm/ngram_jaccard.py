@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import write_table
+from .storage import tidy, tidy_group, write_table
 from .trie import link_cell
 from .words import NON_SPACE, mix64, shingle_hashes, word_hashes
 
@@ -330,7 +330,7 @@ def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num
     while True:
         sub = (todo.select("cluster", "chunk", "cid", "n", "toks")
                .repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "cid")
-               .mapInArrow(_join_within(num, den), "cid long, sub long"))
+               .mapInArrow(tidy(_join_within(num, den)), "cid long, sub long"))
         sub = write_table(spark, sub.distinct(), "nj-sub")
         found.append(sub.where("cid != sub").select(F.col("cid").alias("a"), F.col("sub").alias("b")))
         if rounds == 0:
@@ -371,7 +371,7 @@ def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num
     cols = ["cluster", "i", "j", "side", "node", "lab"]
     cells = placed(build.select(cols).unionByName(probe.select(cols))).select("cluster", "i", "j", "side", "cid", "n", "toks", "lab")
     last = (cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "cid")
-            .mapInArrow(_join_across(num, den), "a long, b long"))
+            .mapInArrow(tidy(_join_across(num, den)), "a long, b long"))
     found.append(write_table(spark, last, "nj-last"))
     return _all(found)
 
@@ -425,9 +425,9 @@ def ngram_jaccard_groups(spark: SparkSession, docs: DataFrame, *, text: str = "t
     parts = 64                                       # token ranges; a byte of text gives less than 1/4 token
     while parts * BLOCK_TOKENS * 4 < n_bytes:
         parts *= 2
-    rows = docs.mapInArrow(_blocks(parts, k), "part long, kind int, block long, payload binary")
-    shared = rows.groupBy("part").applyInArrow(_shared_tokens, "block long, kind int, payload binary")
-    every = write_table(spark, shared.groupBy("block").applyInArrow(_documents(num, den), _DOC), "nj-docs")
+    rows = docs.mapInArrow(tidy(_blocks(parts, k)), "part long, kind int, block long, payload binary")
+    shared = rows.groupBy("part").applyInArrow(tidy_group(_shared_tokens), "block long, kind int, payload binary")
+    every = write_table(spark, shared.groupBy("block").applyInArrow(tidy_group(_documents(num, den)), _DOC), "nj-docs")
 
     # classes of equal sets; the least id stands for the class, the digest d1 names it as a node
     classes = (every.where("n > 0").groupBy("n", "d1", "d2")
@@ -436,7 +436,7 @@ def ngram_jaccard_groups(spark: SparkSession, docs: DataFrame, *, text: str = "t
 
     # sets meet on their prefix tokens; those connected by such tokens form a cluster
     sets = every.where("toks is not null")
-    posts = sets.select("d1", "n_prefix", "toks").mapInArrow(_postings, "token long, cid long")
+    posts = sets.select("d1", "n_prefix", "toks").mapInArrow(tidy(_postings), "token long, cid long")
     hubs = posts.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("other"))
     hubs = write_table(spark, hubs.where("hub < other").select("token", "hub"), "nj-hubs")
     candidates = posts.join(hubs, "token").where("cid != hub").select("cid", "hub")
