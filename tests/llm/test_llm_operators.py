@@ -417,7 +417,7 @@ def test_toxic_documents_go_at_any_share(spark, tmp_path):
 @pytest.fixture(scope="module")
 def small_duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     return con
 
