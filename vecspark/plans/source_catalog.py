@@ -49,12 +49,12 @@ O.cte("vx_t", ["vx_c", "vx_d"], f"""SELECT id, pos, field, {O.strip('text')} AS
 @register("variant_examples", O.sql("""
 SELECT id, pos::BIGINT AS pos, field, length(text)::INTEGER AS n_chars, md5(text) AS text_md5, NULL::VARCHAR AS reason FROM vx_t WHERE length(text) > 10
 UNION ALL
-SELECT CASE WHEN s < 7 THEN id END, NULL, NULL, NULL, NULL,
+SELECT CASE WHEN s < 7 THEN id END, -1::BIGINT, NULL, 0::INTEGER, NULL,
        CASE s WHEN 7 THEN 'not_json' WHEN 6 THEN 'not_text' WHEN 5 THEN 'no_text' WHEN 0 THEN 'no_text'
               ELSE CASE WHEN s = 4 AND coalesce(text, '') = '' THEN 'no_text' WHEN s = 1 AND text IS NULL THEN 'no_text' ELSE 'too_short' END END
 FROM vx_c WHERE s >= 5 OR NOT EXISTS (SELECT 1 FROM vx_t WHERE vx_t.id = vx_c.id AND length(vx_t.text) > 10)
 UNION ALL
-SELECT CASE WHEN s <> 2 THEN id END, NULL, NULL, NULL, NULL,
+SELECT CASE WHEN s <> 2 THEN id END, -1::BIGINT, NULL, 0::INTEGER, NULL,
        CASE WHEN s = 2 THEN 'not_object' WHEN s = 3 THEN 'too_short' WHEN coalesce(text, '') = '' THEN 'no_text' ELSE 'too_short' END
 FROM vx_d WHERE s >= 2 OR NOT EXISTS (SELECT 1 FROM vx_t WHERE vx_t.id = vx_d.id AND length(vx_t.text) > 10)
 """, "vx_t"))
@@ -64,5 +64,5 @@ def q_variant_examples(spark, sf):
     got = read_json_examples(spark, path)
     none = lambda kind: F.lit(None).cast(kind)
     return (got.passages.select("id", "pos", "field", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"), none("string").alias("reason"))
-            .unionByName(got.rejects.select("id", none("long").alias("pos"), none("string").alias("field"), none("int").alias("n_chars"),
+            .unionByName(got.rejects.select("id", F.lit(-1).cast("long").alias("pos"), none("string").alias("field"), F.lit(0).alias("n_chars"),
                                             none("string").alias("text_md5"), "reason")))
