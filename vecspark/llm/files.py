@@ -30,6 +30,17 @@ def write_manifest(path: str, files: list[dict]) -> None:
     write_bytes(f"{path.rstrip('/')}/_manifest.json", json.dumps(files).encode())
 
 
+def commit_manifest(path: str, files: list[dict], overwrite: bool) -> None:
+    """List ``files`` after those of earlier writes, or in their place: then the earlier files go once they are unlisted."""
+    earlier = read_manifest(path) or []
+    write_manifest(path, files if overwrite else earlier + files)
+    if overwrite:
+        store, base = filesystem(path.rstrip("/"))
+        for name in (f"{base}/{f['name']}{end}" for f in earlier for end in ("", ".idx")):
+            if store.get_file_info(name).type == fs.FileType.File:
+                store.delete_file(name)
+
+
 def read_manifest(path: str) -> list[dict] | None:
     try:
         return json.loads(read_bytes(f"{path.rstrip('/')}/_manifest.json"))

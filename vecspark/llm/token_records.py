@@ -9,6 +9,7 @@ bytes per token id (2 or 4) and the ids, all little-endian.  ``<file>.idx``
 holds each record's offset and token count (pairs of signed 64 bits): any order
 of reading needs one seek per record.  ``_manifest.json`` names the files of
 the writing tasks that succeeded, in order; files of lost attempts are ignored.
+An appended write's records follow the earlier ones, an overwriting one's replace them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .files import filesystem, read_manifest, write_bytes, write_manifest
+from .files import commit_manifest, filesystem, read_manifest, write_bytes
 
 _MASK = 0xA282EAD8                      # fixed value of the record format
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -87,8 +88,8 @@ class _Records(InputPartition):
 class TokenRecordWriter(DataSourceArrowWriter):
     """Rows (doc_id, ids as little-endian unsigned 32-bit integers) to one or more record files per task, in order."""
 
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path.rstrip("/"), width
+    def __init__(self, path: str, width: int, overwrite: bool):
+        self.path, self.width, self.overwrite = path.rstrip("/"), width, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -125,7 +126,7 @@ class TokenRecordWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         files = sorted((f for m in messages if m for f in m.files), key=lambda f: (f["task"], f["part"]))
-        write_manifest(self.path, files)
+        commit_manifest(self.path, files, self.overwrite)
 
     def abort(self, messages) -> None:
         """Files of an aborted job are in no manifest."""
@@ -190,7 +191,7 @@ class TokenRecords(DataSource):
         return TokenRecordReader(self.options["path"], self.options.get("shuffle_seed"))
 
     def writer(self, schema, overwrite):
-        return TokenRecordWriter(self.options["path"], int(self.options.get("width", 4)))
+        return TokenRecordWriter(self.options["path"], int(self.options.get("width", 4)), overwrite)
 
 
 # ---- tokenizing -----------------------------------------------------------------------------------
@@ -307,13 +308,14 @@ def _encode(spec, end_id: int):
 
 
 def write_token_records(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
-                        text: str = "text", doc_id: str = "doc_id") -> None:
+                        text: str = "text", doc_id: str = "doc_id", mode: str = "append") -> None:
     """Encode every whole text, append ``end_id`` and write record files to ``path`` in ascending doc_id order.
 
     ``tokenizer``: path of a ``tokenizers`` JSON file on the driver; its text is
     sent to the workers.  Null text: only the end id.  Null ids come first;
     rows of one id are ordered by text.  Other columns are not read.  An empty
-    table writes an empty manifest.
+    table writes an empty manifest.  ``mode``: "append" puts the records after
+    those that ``path`` holds, "overwrite" in their place.
     """
     import json
 
@@ -325,7 +327,7 @@ def write_token_records(spark: SparkSession, docs: DataFrame, path: str, tokeniz
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ids = rows.mapInArrow(_encode(spark.sparkContext.broadcast(spec), end_id), "doc_id long, ids binary")
-    ids.write.format("token_records").option("path", path).option("width", 2 if top < 1 << 16 else 4).mode("append").save()
+    ids.write.format("token_records").option("path", path).option("width", 2 if top < 1 << 16 else 4).mode(mode).save()
 
 
 def read_token_records(spark: SparkSession, path: str, shuffle_seed: int | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual,
                                     StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 
-from .files import filesystem, read_manifest, write_bytes, write_manifest
+from .files import commit_manifest, filesystem, read_manifest, write_bytes
 from .storage import write_table
 
 #: a task begins another file beyond this size
@@ -58,8 +58,9 @@ def build_record(page_id: int | None, uri: str | None, date: str, payload: bytes
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {_record_id(page_id, digest, uri)}", f"WARC-Date: {date}"]
     if uri is not None:
-        # a header's value is one line: control characters and % are percent-encoded
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20%\x7f-\x9f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri))
+        # a header's value is one line: control characters and % are percent-encoded, and a header of our own says so
+        line = re.sub(r"[\x00-\x20%\x7f-\x9f  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri)
+        head += [f"WARC-Target-URI: {line}"] + ["X-Target-URI-Escaped: yes"] * (line != uri)
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head += [f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {len(payload)}"]
@@ -80,7 +81,7 @@ def parse_headers(head: bytes) -> dict:
     if digest and digest.startswith("sha1:") and len(digest) == 37:
         digest = base64.b32decode(digest[5:]).hex()
     uri = h.get("warc-target-uri")
-    if uri is not None:
+    if uri is not None and h.get("x-target-uri-escaped") == "yes":        # other writers' escapes are part of the URI
         uri = re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), uri)
     return {"record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "page_id": number("x-page-id"),
             "target_uri": uri, "date": h.get("warc-date"), "payload_digest": digest, "payload_bytes": number("x-payload-length"),
@@ -123,8 +124,8 @@ class _Files(InputPartition):
 class WarcWriter(DataSourceArrowWriter):
     """Rows (page_id, url, payload, digest, refers_to) to record files."""
 
-    def __init__(self, path: str, date: str):
-        self.path, self.date = path.rstrip("/"), date
+    def __init__(self, path: str, date: str, overwrite: bool):
+        self.path, self.date, self.overwrite = path.rstrip("/"), date, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -160,7 +161,7 @@ class WarcWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages) -> None:
-        write_manifest(self.path, sorted((f for m in messages if m for f in m.files), key=lambda f: f["name"]))
+        commit_manifest(self.path, sorted((f for m in messages if m for f in m.files), key=lambda f: f["name"]), self.overwrite)
 
     def abort(self, messages) -> None:
         """Files of an aborted job are in no manifest."""
@@ -296,20 +297,22 @@ class Warc(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") != "false")
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"))
+        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), overwrite)
 
 
 # ---- operators --------------------------------------------------------------------------------------
 
 def write_warc(spark: SparkSession, pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url",
-               html: str = "html", least_dedup: int = LEAST_DEDUP) -> None:
+               html: str = "html", least_dedup: int = LEAST_DEDUP, mode: str = "append") -> None:
     """A record per row of ``pages``; of equal payloads of ``least_dedup`` bytes or more one is stored.
 
     That one is the largest page_id's; the others become revisits of it.  Null
     html is an empty payload; a null url is left out; a row without page_id is a
     revisit where an equal payload has an id, else a response.  Rows that share
     the largest page_id and the payload are all responses.  Other columns are
-    not read.  An empty table writes an empty manifest.
+    not read.  An empty table writes an empty manifest.  ``mode``: "append" adds
+    archives to those at ``path`` (payloads are compared within one write),
+    "overwrite" replaces them.
     """
     spark.dataSource.register(Warc)
     body = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
@@ -321,7 +324,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, path: str, *, page_id: str
     known = write_table(spark, known.drop("n"), "warc-known")
     out = (rows.join(known, ["digest", "size"], "left")
            .withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))))
-    out.select("page_id", "url", "payload", "digest", "refers_to").write.format("warc").option("path", path).mode("append").save()
+    out.select("page_id", "url", "payload", "digest", "refers_to").write.format("warc").option("path", path).mode(mode).save()
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
