@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import unused, write_table
 
 WINDOW = 3
 #: the place in the order of documents without an id
@@ -32,12 +32,12 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             .select("id", "th", "h.h1", "h.h2", "pos"))
 
 
-def _rewrite(window: int, text_col: str):
+def _rewrite(window: int, text_col: str, starts_col: str):
     def run(batches):
         for rb in batches:
             at = rb.schema.get_field_index(text_col)
             out, total, gone = [], [], []
-            for text, starts in zip(rb.column(at), rb.column(rb.schema.get_field_index("__starts"))):
+            for text, starts in zip(rb.column(at), rb.column(rb.schema.get_field_index(starts_col))):
                 t, s = text.as_py(), starts.as_py()
                 if t is None:
                     out.append(None), total.append(0), gone.append(0)
@@ -53,7 +53,7 @@ def _rewrite(window: int, text_col: str):
                 covered = np.cumsum(change[:-1]) > 0
                 out.append("\n".join(x for x, c in zip(lines, covered) if not c))
                 total.append(len(lines)), gone.append(int(covered.sum()))
-            names = [c for c in rb.schema.names if c != "__starts"]
+            names = [c for c in rb.schema.names if c != starts_col]
             cols = [pa.array(out, rb.schema.field(at).type) if c == text_col else rb.column(rb.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                                              names=[*names, "n_lines", "n_removed"])
@@ -70,7 +70,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc
     n_removed are replaced; all others pass through.  Windows are told apart by
     128 hashed bits.
     """
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "__starts")])
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    at_id, at_th, at_starts = unused(docs, "__id", "__th", "__starts")
     key = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"),
                       F.col(text).alias("text"))
     windows = _windows(key, window)
@@ -78,14 +79,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, text: str = "text", doc
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = write_table(spark, first.where("first != last").select("h1", "h2", "first"), "line-windows")
     later = windows.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
-    starts = later.groupBy("id", "th").agg(F.collect_set("pos").alias("__starts"))
+    starts = later.groupBy("id", "th").agg(F.collect_set("pos").alias(at_starts))
     starts = write_table(spark, starts, "line-starts")
     # merged at every size: the starts grow with the documents, so they are never broadcast
-    joined = (docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "__th": F.xxhash64(text)})
-              .join(starts.withColumnsRenamed({"id": "__id", "th": "__th"}).hint("merge"), ["__id", "__th"], "left")
-              .drop("__id", "__th"))
+    joined = (docs.withColumns({at_id: F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), at_th: F.xxhash64(text)})
+              .join(starts.withColumnsRenamed({"id": at_id, "th": at_th}).hint("merge"), [at_id, at_th], "left")
+              .drop(at_id, at_th))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_rewrite(window, text), f"{fields}, n_lines long, n_removed long")
+    return joined.mapInArrow(_rewrite(window, text, at_starts), f"{fields}, n_lines long, n_removed long")
 
 
 def dedup_digest(out: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import tidy, tidy_group, write_table
+from .storage import tidy, tidy_group, unused, write_table
 from .words import ALNUM, word_hashes
 
 #: hashed word features
@@ -208,16 +208,16 @@ def _apply(d: int, steps):
     return run
 
 
-def _numbered(spark: SparkSession, rows: DataFrame, text: str, doc_id: str, seed: int) -> DataFrame:
-    """``rows`` with __key (hash of id and text) and __number among the rows of that key; only repeated keys are sorted."""
+def _numbered(spark: SparkSession, rows: DataFrame, key: str, number: str, text: str, doc_id: str, seed: int) -> DataFrame:
+    """``rows`` with ``key`` (hash of id and text) and ``number`` among the rows of that key; only repeated keys are sorted."""
     plain = [f"`{f.name}`" for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    rows = rows.withColumn("__key", F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").isNull(), f"`{doc_id}`", f"`{text}`"))
-    often = write_table(spark, rows.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"), "mix-often")
+    rows = rows.withColumn(key, F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").isNull(), f"`{doc_id}`", f"`{text}`"))
+    often = write_table(spark, rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias(key)), "mix-often")
     if often.isEmpty():
-        return rows.withColumn("__number", F.lit(1))
-    order = Window.partitionBy("__key").orderBy(F.xxhash64(*plain))
-    again = rows.join(often, "__key", "left_semi").withColumn("__number", F.row_number().over(order))
-    return rows.join(often, "__key", "left_anti").withColumn("__number", F.lit(1)).unionByName(again)
+        return rows.withColumn(number, F.lit(1))
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*plain))
+    again = rows.join(often, key, "left_semi").withColumn(number, F.row_number().over(order))
+    return rows.join(often, key, "left_anti").withColumn(number, F.lit(1)).unionByName(again)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float | None], *,
@@ -263,10 +263,11 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     steps = fit_rates(rest, goal)
     out = scored.mapInArrow(tidy(_apply(d, steps)), f"{fields}, n_tokens long, posterior array<double>, rate double")
     out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__key", "__number"), 11).cast("double") / float(1 << 53)
-    return (_numbered(spark, out, text, doc_id, seed)
+    key, number = unused(out, "__key", "__number")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, number), 11).cast("double") / float(1 << 53)
+    return (_numbered(spark, out, key, number, text, doc_id, seed)
             .withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
-            .drop("__key", "__number"))
+            .drop(key, number))
 
 
 def label_domain() -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import write_table
+from .storage import unused, write_table
 from .words import mix64
 
 ROUNDS = 6
@@ -61,23 +61,26 @@ def row_at(positions: np.ndarray, n: int, seed: int) -> np.ndarray:
     return _walk(positions, n, seed, True)
 
 
-def _number(batches):
-    from pyspark import TaskContext
+def _number(part_col: str, at_col: str):
+    def run(batches):
+        from pyspark import TaskContext
 
-    part, at = TaskContext.get().partitionId(), 0
-    for rb in batches:
-        n = rb.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [*rb.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))],
-            names=[*rb.schema.names, "__part", "__at"])
-        at += n
+        part, at = TaskContext.get().partitionId(), 0
+        for rb in batches:
+            n = rb.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*rb.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))],
+                names=[*rb.schema.names, part_col, at_col])
+            at += n
+    return run
 
 
 def _place(first, n: int, shards: int, seed: int):
+    """Rows whose last two columns are the partition and the place in it."""
     def run(batches):
         start = first.value
         for rb in batches:
-            part, at = (rb.column(rb.schema.get_field_index(c)).to_numpy() for c in ("__part", "__at"))
+            part, at = (c.to_numpy() for c in rb.columns[-2:])
             row = start[part] + at
             p = position(row, n, seed)
             yield pa.RecordBatch.from_arrays(
@@ -94,12 +97,13 @@ def shuffle_into_shards(spark: SparkSession, df: DataFrame, shards: int, order_b
     named row_no, shard or slot are replaced.  An empty table gives no rows;
     with fewer rows than shards some shards stay empty.
     """
-    df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("row_no", "shard", "slot", "__part", "__at")])
+    df = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("row_no", "shard", "slot")])
+    part_col, at_col = unused(df, "__part", "__at")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    numbered = write_table(spark, ranged.mapInArrow(_number, f"{fields}, __part int, __at long"), "shard-rows")
+    numbered = write_table(spark, ranged.mapInArrow(_number(part_col, at_col), f"{fields}, {part_col} int, {at_col} long"), "shard-rows")
     # one count per written partition
-    counts = {r[0]: r[1] for r in numbered.groupBy("__part").count().collect()}
+    counts = {r[0]: r[1] for r in numbered.groupBy(part_col).count().collect()}
     sizes = np.zeros(max(counts, default=0) + 1, np.int64)
     for part, n in counts.items():
         sizes[part] = n

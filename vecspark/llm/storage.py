@@ -41,6 +41,17 @@ def tidy_group(run):
     return over_group
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each led by as many underscores as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts lineage, survives executors)."""
     path = scratch_path(spark, name)
