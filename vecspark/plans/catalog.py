@@ -868,4 +868,4 @@ def q_stream_search(spark, sf):
 # stored indexes and the benchmark run (modules of their own; importing them registers them)
 # =============================================================================
 
-from vecspark.plans import benchmark_catalog, source_catalog, sql_catalog, stored_catalog, stream_catalog  # noqa: E402,F401
+from vecspark.plans import benchmark_catalog, source_catalog, sql_catalog, store_catalog, stored_catalog, stream_catalog  # noqa: E402,F401
