@@ -65,6 +65,15 @@ def test_second_writes_of_archives(spark):
     assert [r[0] for r in warc.read_warc(spark, path).select("page_id").collect()] == [3]
 
 
+def test_archives_answer_several_queries(spark):
+    path = scratch_path(spark, "t-warc")
+    pages = spark.createDataFrame([(i, None, "<p>" * 500 if i < 3 else f"{i}") for i in range(9)], "page_id long, url string, html string")
+    warc.write_warc(spark, pages, path)
+    records = warc.read_warc(spark, path)
+    assert [records.where("record_type = 'revisit'").count(), records.count(), records.where("page_id > 6").count()] == [2, 9, 2]
+    assert records.where("length(payload) > 100 or page_id = 8").count() == 2 and records.select("page_id").distinct().count() == 9
+
+
 def test_escapes_of_other_writers_stay(tmp_path):
     raw = hashlib.sha1(b"p").hexdigest()
     own = warc.build_record(1, "http://a/x%20y z", "2024-01-01T00:00:00Z", b"p", raw, None)

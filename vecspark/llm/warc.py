@@ -328,10 +328,16 @@ def write_warc(spark: SparkSession, pages: DataFrame, path: str, *, page_id: str
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives; predicates on header columns reach the reader (the session's setting is switched on)."""
+    """Records of the archives; predicates on header columns reach the reader (the session's setting is switched on).
+
+    Spark keeps pushed predicates with a DataFrame: two branches of one query
+    need a DataFrame of their own each, as in ``warc_digest``.
+    """
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    rows = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    # Spark keeps pushed predicates with a DataFrame until others are pushed: one that always holds goes with every query
+    return rows.where(~F.col("record_type").eqNullSafe(""))
 
 
 def warc_digest(spark: SparkSession, path: str) -> DataFrame:
