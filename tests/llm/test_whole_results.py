@@ -119,3 +119,19 @@ def test_pipeline_stages_keep_the_columns_of_the_input(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
         assert out.count() > 0 and kept(out, own), name
+
+
+def test_mixing_stage_brings_poor_text_to_its_share(spark, tmp_path):
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    say = lambda word: word + " " + " ".join("w%d" % rng.randrange(200) for _ in range(19))
+    rows = [(i, say("fine fair")) for i in range(500)] + [(1000 + i, say("meh dull")) for i in range(40)] + [(2000 + i, say("foul slur")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(i, int(i < 1000), int(i >= 2000)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n = {r["doc_id"]: r["count"] for r in cp.mixing_stage(spark, docs, str(tmp_path)).groupBy("doc_id").count().collect()}
+    assert set(range(500)) <= set(n) and set(n) <= set(range(500)) | set(range(1000, 1040))      # no good document goes, every toxic one does
+    poor = sum(c for i, c in n.items() if i >= 1000)
+    assert abs(poor - cp.TARGETS["poor"] * len(rows)) < 0.15 * cp.TARGETS["poor"] * len(rows)    # 114 copies of 40 documents, in expectation

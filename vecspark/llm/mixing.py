@@ -11,6 +11,8 @@ recomputed from those instead of being stored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -177,24 +179,27 @@ def fit_rates(features: DataFrame, targets: np.ndarray, rounds: int = MIX_ROUNDS
     A document weighs as its tokens and a domain as its second moment over the
     documents that are above rate 0 (a step that does not lessen the residual is
     taken back for one over all documents, which always descends).  Targets that
-    cannot be met end at the least squares in that scale.
+    cannot be met end at the least squares in that scale.  A domain whose
+    target is NaN is free: nothing is asked of it.
     """
-    d = len(targets)
-    scale = max(1.0, float(targets.sum()))
+    d, asked = len(targets), np.flatnonzero(~np.isnan(targets))
+    scale = max(1.0, float(np.nansum(targets)))
     steps: list[np.ndarray] = []
     totals, active, full = _moment_sums(features, d, steps)
-    residual, bold = totals - targets, True
+    residual, bold = (totals - targets)[asked], True
     for _ in range(rounds):
-        if np.abs(residual).max() <= tolerance * scale:
+        if not len(asked) or np.abs(residual).max() <= tolerance * scale:
             break
-        step = np.linalg.pinv(active if bold else full, rcond=1e-9, hermitian=True) @ residual
+        step = np.zeros(d)
+        step[asked] = np.linalg.pinv((active if bold else full)[np.ix_(asked, asked)], rcond=1e-9, hermitian=True) @ residual
         totals, new_active, _ = _moment_sums(features, d, [*steps, step])
-        if bold and np.linalg.norm(totals - targets) >= 0.9 * np.linalg.norm(residual):
+        left = (totals - targets)[asked]
+        if bold and np.linalg.norm(left) >= 0.9 * np.linalg.norm(residual):
             bold = False
             continue
         steps.append(step)
-        stalled = not bold and np.linalg.norm(totals - targets) > 0.999 * np.linalg.norm(residual)
-        residual, active, bold = totals - targets, new_active, True
+        stalled = not bold and np.linalg.norm(left) > 0.999 * np.linalg.norm(residual)
+        residual, active, bold = left, new_active, True
         if stalled:                                          # nonnegative rates come no closer
             break
     return steps
@@ -222,7 +227,7 @@ def _numbered(spark: SparkSession, rows: DataFrame, key: str, number: str, text:
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float | None], *,
                    text: str = "text", doc_id: str = "doc_id", total: float | None = None,
-                   leave_out: dict[str, float] | None = None, seed: int = COPY_SEED) -> DataFrame:
+                   leave_out: dict[str, float] | None = None, at_least: Sequence[str] = (), seed: int = COPY_SEED) -> DataFrame:
     """``docs`` with n_tokens, posterior (per domain in the targets' order), rate and copies.
 
     ``targets``: each domain's share of ``total`` tokens (default: all tokens of
@@ -239,6 +244,10 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     part in the present tokens of any domain, and the target of such a domain is
     never above what the others have of it.  If no label is usable, no document
     is known to belong to such a domain, and it keeps its present tokens.
+
+    ``at_least``: domains whose share is the least they should have; one that
+    has more keeps its present tokens, and one without a share is free: its
+    documents are not thinned for what others bring of it.
     """
     new = ("n_tokens", "posterior", "rate", "copies")
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in new])
@@ -260,6 +269,9 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     for x in leave_out or {}:
         i = names.index(x)
         goal[i] = min(goal[i], present[i]) if limits else present[i]
+    for x in at_least:
+        i = names.index(x)
+        goal[i] = np.nan if targets[x] is None else max(goal[i], present[i])
     steps = fit_rates(rest, goal)
     out = scored.mapInArrow(tidy(_apply(d, steps)), f"{fields}, n_tokens long, posterior array<double>, rate double")
     out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
