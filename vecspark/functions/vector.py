@@ -34,9 +34,13 @@ def l2_norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """v / ||v||; a zero or null vector gives null (callers route it to rejects)."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(as_double_array(v), lambda x: x / n))
+    """v / ||v||; a zero or null vector gives null (callers route it to rejects).
+
+    The norm is bound to a lambda's variable: inside the lambda over the
+    components it would be summed anew for each of them.
+    """
+    norms = F.filter(F.array(l2_norm(v)), lambda n: n > 0)
+    return F.get(F.transform(norms, lambda n: F.transform(as_double_array(v), lambda x: x / n)), F.lit(0))
 
 
 def cosine_similarity(a, b) -> Column:

@@ -437,8 +437,9 @@ def q_synthetic_vectors(spark, sf):
     from vecspark.sources.corpus import synthetic_vectors
     e = Views(spark, sf).table("embeddings")
     n, dim = e.count(), vector_dim(e, "embedding")
+    # outer: before an inner one Spark filters by size, and generates every vector once more for it
     return (synthetic_vectors(spark, n, dim)
-            .select("vector_id", F.posexplode("embedding").alias("d", "x"))
+            .select("vector_id", F.posexplode_outer("embedding").alias("d", "x")).where("d is not null")
             .select("vector_id", F.col("d").cast("int").alias("d"), r6("x").alias("value")))
 
 
