@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..memory import give_back, tidy, tidy_group  # noqa: F401
 from ..session import scratch_path
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Python workers are reused, and what they keep adds up over a job's stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):                # no glibc
-        pass
-
-
-def tidy(run):
-    """``run``, a function over a task's batches, that gives memory back when the task ends."""
-    def over_batches(batches):
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-    return over_batches
-
-
-def tidy_group(run):
-    """``run``, a function over one group, that gives memory back after each."""
-    def over_group(table: pa.Table) -> pa.Table:
-        try:
-            return run(table)
-        finally:
-            give_back()
-    return over_group
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each led by as many underscores as it takes to be no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
