@@ -272,7 +272,16 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     for x in at_least:
         i = names.index(x)
         goal[i] = np.nan if targets[x] is None else max(goal[i], present[i])
+    # a left-out domain below its share is asked only if what the others' copies bring of it goes beyond that share
+    caps = {names.index(x): targets[x] * float(total) for x in limits if at_least and targets[x] is not None}
+    caps = {i: cap for i, cap in caps.items() if present[i] <= cap}
+    goal[list(caps)] = np.nan
     steps = fit_rates(rest, goal)
+    if caps and steps:
+        over = _moment_sums(rest, d, steps)[0]
+        if beyond := {i: cap for i, cap in caps.items() if over[i] > cap}:
+            goal[list(beyond)] = list(beyond.values())
+            steps = fit_rates(rest, goal)
     out = scored.mapInArrow(tidy(_apply(d, steps)), f"{fields}, n_tokens long, posterior array<double>, rate double")
     out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
     key, number = unused(out, "__key", "__number")
