@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,22 @@ def test_mixing_stage_brings_poor_text_to_its_share(spark, tmp_path):
     assert set(range(500)) <= set(n) and set(n) <= set(range(500)) | set(range(1000, 1040))      # no good document goes, every toxic one does
     poor = sum(c for i, c in n.items() if i >= 1000)
     assert abs(poor - cp.TARGETS["poor"] * len(rows)) < 0.15 * cp.TARGETS["poor"] * len(rows)    # 114 copies of 40 documents, in expectation
+
+
+def test_encoder_cuts_columns_as_the_library_does():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = token_records.Encoder(f.read())
+    bits = ["'", "'s", "'re", "'ll", "'S", " ", "  ", "\n", "\t", "a", "Z", "é", "12", "²", ".", "–", "€", "日本", " ", "<|endoftext|>", "word", " the", "s", "l"]
+    draw = random.Random(5)
+    texts = [None, "", "'", " ", "l'", "s"] + ["".join(draw.choices(bits[:16 + 8 * (i % 2)], k=draw.randint(0, 20))) for i in range(600)]
+    for size in (1, 250):                               # a cut, a contraction or a run of spaces ends with its text
+        for i in range(0, len(texts), size):
+            part = texts[i:i + size]
+            ids, cut = enc.encode_column(pa.array(part, pa.string()))
+            want = [e.ids for e in enc.tok.encode_batch([t or "" for t in part], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, cut[1:-1])] == want

@@ -14,13 +14,13 @@ An appended write's records follow the earlier ones, an overwriting one's replac
 
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .files import commit_manifest, filesystem, read_manifest, write_bytes
+from .storage import tidy
 
 _MASK = 0xA282EAD8                      # fixed value of the record format
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 #: pieces that a worker remembers
-MEMO_PIECES = 300_000
+MEMO_PIECES = 400_000
 #: bytes of text that are encoded at once
-PART_BYTES = 1 << 20
+PART_BYTES = 2 << 20
 #: one record file of a task, at most (a longer record has its own)
 ROLL_BYTES = 256 << 20
 
@@ -196,23 +197,60 @@ class TokenRecords(DataSource):
 
 # ---- tokenizing -----------------------------------------------------------------------------------
 
-def _chars(kind: str) -> str:
-    """The characters of plain texts in a general category, as the inside of a character class."""
-    ranges = ((0x20, 0x7F), (0xA1, 0xAD), (0xAE, 0x250), (0x2010, 0x2028), (0x2030, 0x203B), (0x20AC, 0x20AD))
-    own = [c for lo, hi in ranges for c in range(lo, hi) if unicodedata.category(chr(c))[0] in kind]
-    runs: list[list[int]] = []
-    for c in own:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\u{lo:04x}-\\u{hi:04x}" for lo, hi in runs)
+#: classes of characters; texts of the first four are cut alike by all versions of Unicode, others go to the library whole
+_LETTER, _NUMBER, _MARK, _SPACE, _OTHER = range(5)
+_APOSTROPHE = ord("'")
+#: what follows the apostrophe of a contraction that is a piece by itself
+_SHORT = ((ord("s"),), (ord("t"),), (ord("r"), ord("e")), (ord("v"), ord("e")), (ord("m"),), (ord("l"), ord("l")), (ord("d"),))
 
 
-#: texts of these characters are cut alike by all versions of Unicode; others go to the library whole
-_PLAIN = re.compile(f"[\\t\\n\\r {_chars('LNPSMC')}]*")
-#: the byte-level pre-tokenizer's pieces, in plain texts
-_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_chars('L')}]+| ?[{_chars('N')}]+| ?[{_chars('PSMC')}]+|\\s+(?!\\S)|\\s+")
+def _classes() -> np.ndarray:
+    out = np.full(0x110000, _OTHER, np.uint8)
+    of = {"L": _LETTER, "N": _NUMBER, "P": _MARK, "S": _MARK, "M": _MARK, "C": _MARK}
+    for lo, hi in ((0x20, 0x7F), (0xA1, 0xAD), (0xAE, 0x250), (0x2010, 0x2028), (0x2030, 0x203B), (0x20AC, 0x20AD)):
+        for c in range(lo, hi):
+            out[c] = of.get(unicodedata.category(chr(c))[0], _OTHER)
+    out[[9, 10, 13, 32]] = _SPACE
+    return out
+
+
+_CLASS = _classes()
+
+
+def cut_pieces(chars: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokenizer's pieces begin, in plain texts laid end to end (``first``: a text's first character).
+
+    The rule: ``'(?:s|t|re|ve|m|ll|d)| ?L+| ?N+| ?[^ LN]+|\\s+(?!\\S)|\\s+``.  A run of
+    white space leaves its last character over to what follows it; a space joins that.
+    """
+    n = len(chars)
+    start = first.copy()
+    start[1:] |= cls[1:] != cls[:-1]
+    after = np.flatnonzero(~first[1:] & (cls[1:] != _SPACE) & (cls[:-1] == _SPACE)) + 1
+    start[after - 1] = True
+    start[after] = chars[after - 1] != 32
+    own = np.flatnonzero(start & (chars == _APOSTROPHE))
+    for tail in _SHORT:
+        at = own[own + len(tail) < n]
+        for j, c in enumerate(tail, 1):
+            at = at[(chars[at + j] == c) & ~first[at + j]]
+        start[at + 1] = False
+        end = at + 1 + len(tail)
+        start[end[end < n]] = True
+    return np.flatnonzero(start)
+
+
+def _strings(offsets: np.ndarray, data) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), data)
+
+
+def _gather(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of the pieces ``take`` one after another, their number before each piece and at the end); piece i has ``size[i]`` from ``begin[i]``."""
+    n = size[take]
+    at = np.append(0, np.cumsum(n))
+    where = np.repeat(begin[take] - at[:-1], n)
+    where += np.arange(at[-1])
+    return ids[where], at
 
 
 class Encoder:
@@ -234,51 +272,97 @@ class Encoder:
                          and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
                          and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces: dict[str, bytes] = {}
+        #: the remembered pieces with their numbers, where the ids of each begin and how many they are, and the ids
+        self.pieces: dict[str, int] = {}
+        self.begin, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
         #: by id: whether the token begins with the byte of a space
         vocab = spec["model"]["vocab"]
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
-    def _plain(self, text: str) -> bool:
-        return (self.by_piece and _PLAIN.fullmatch(text) is not None
-                and not any(s in text for s in self.special))
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _words(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of the form space and letters, one after another: such a text is cut back into these pieces."""
+    def _words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each piece's) of pieces of the form space and letters: laid end to end they are cut back into these pieces."""
         ids = np.array(self.tok.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.append(4 * np.flatnonzero(self.opens[ids]), 4 * len(ids)).tolist()     # a space only opens a piece
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(cut, cut[1:])]
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        out = dict(zip(words, self._words(words))) if words else {}
-        for p, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
-            out[p] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = [_PIECE.findall(t) if self._plain(t) else None for t in texts]
-        distinct: set[str] = set()
-        for f in found:
-            distinct.update(f or ())
-        memo = self.pieces
-        known = memo.get
-        ids = {p: got for p in distinct if (got := known(p)) is not None}       # the batch's own table: small and near
-        new = [p for p in distinct if p not in ids]
-        if new:
-            fresh = self._pieces(new)
-            ids.update(fresh)
-            if len(memo) < MEMO_PIECES:
-                memo.update(fresh)
-        get = ids.__getitem__
-        return [self._whole(t) if f is None else b"".join(map(get, f)) for t, f in zip(texts, found)]
+        return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))       # a space only opens a piece
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the pieces, where each piece's begin, their number)."""
+        word = np.fromiter((p[0] == " " and p[1:].isalpha() for p in pieces), bool, len(pieces))
+        size, parts = np.zeros(len(pieces), np.int64), []
+        if word.any():
+            ids, size[word] = self._words([p for p, w in zip(pieces, word) if w])
+            parts.append(ids)
+        others = [e.ids for e in self.tok.encode_batch_fast([p for p, w in zip(pieces, word) if not w], add_special_tokens=False)]
+        size[~word] = [len(x) for x in others]
+        parts.append(np.fromiter(chain.from_iterable(others), "<u4"))
+        at = np.zeros(len(pieces), np.int64)
+        order = np.append(np.flatnonzero(word), np.flatnonzero(~word))
+        at[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(parts), at, size
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, unsigned 32-bit."""
+        ids, cut = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, cut[1:-1])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin and the last one's end); a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars = np.frombuffer(b"".join(t.as_buffer() for t in texts).decode().encode("utf-32-le"), "<u4")
+        cls = _CLASS[chars]
+        width = np.uint8(1) + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+        begin = np.append(0, np.cumsum(width, dtype=np.int64))                                  # bytes before each character
+        text_at = np.searchsorted(begin, np.append(0, np.cumsum(size)))         # characters before each text
+        other = np.append(0, np.cumsum(cls == _OTHER, dtype=np.int64))[text_at]
+        plain = other[1:] == other[:-1] if self.by_piece else np.zeros(len(texts), bool)
+        for s in self.special:
+            plain &= ~pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        keep = np.repeat(plain, np.diff(text_at))
+        out, sizes = self._plain(chars[keep], cls[keep], width[keep], np.diff(text_at)[plain])
+        cut = np.append(0, np.cumsum(sizes))
+        if plain.all():
+            return out, cut
+        parts, mine = [], iter(zip(cut, cut[1:]))
+        for i, p in enumerate(plain):
+            parts.append(out[slice(*next(mine))] if p else self._whole(texts[i].as_py()))
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    def _plain(self, chars: np.ndarray, cls: np.ndarray, width: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of plain texts of so many characters laid end to end, number of ids of each)."""
+        if not len(chars):
+            return np.zeros(0, "<u4"), np.zeros(len(lengths), np.int64)
+        text_at = np.append(0, np.cumsum(lengths))
+        first = np.zeros(len(chars), bool)
+        first[text_at[:-1][lengths > 0]] = True
+        at = cut_pieces(chars, cls, first)
+        data = pa.py_buffer(chars.tobytes().decode("utf-32-le").encode())
+        pieces = _strings(np.append(0, np.cumsum(width, dtype=np.int64))[np.append(at, len(chars))], data)
+        named = pieces.dictionary_encode()
+        begin, size, ids = self._lookup(named.dictionary)
+        out, before = _gather(ids, begin, size, named.indices.to_numpy())
+        return out, np.diff(before[np.searchsorted(at, text_at)])
+
+    def _lookup(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of different pieces begin, their number, and all ids."""
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.pieces.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        begin, size = (np.append(x, 0)[number].astype(np.int64) for x in (self.begin, self.size))
+        if not len(new):
+            return begin, size, self.ids
+        names = [names[i] for i in new]
+        fresh, at, size[new] = self._pieces(names)
+        begin[new] = len(self.ids) + at
+        ids = np.append(self.ids, fresh)
+        if len(self.pieces) < MEMO_PIECES:
+            self.pieces.update(zip(names, range(len(self.pieces), len(self.pieces) + len(new))))
+            self.begin, self.size = np.append(self.begin, begin[new].astype(np.int32)), np.append(self.size, size[new].astype(np.int32))
+            self.ids = ids
+        return begin, size, ids
 
 
 _encoders: dict[int, Encoder] = {}
@@ -293,16 +377,17 @@ def _encode(spec, end_id: int):
         if enc is None:
             _encoders.clear()
             enc = _encoders[hash(spec.value)] = Encoder(spec.value)
-        end = np.array([end_id], "<u4").tobytes()
         for rb in batches:
             ids, texts = rb.column(0), rb.column(1)
             size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < rb.num_rows:                      # about PART_BYTES of text at once, a longer text by itself
                 b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PART_BYTES, side="right")))
-                part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([x + end for x in enc.encode(part)], pa.binary())],
-                                                 names=["doc_id", "ids"])
+                tokens, cut = enc.encode_column(texts.slice(a, b - a))
+                tokens = np.insert(tokens, cut[1:], end_id)
+                cut = (cut + np.arange(len(cut))) * 4
+                col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut), pa.py_buffer(tokens)])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), col.cast(pa.binary())], names=["doc_id", "ids"])
                 a = b
     return run
 
@@ -326,7 +411,7 @@ def write_token_records(spark: SparkSession, docs: DataFrame, path: str, tokeniz
     top = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ids = rows.mapInArrow(_encode(spark.sparkContext.broadcast(spec), end_id), "doc_id long, ids binary")
+    ids = rows.mapInArrow(tidy(_encode(spark.sparkContext.broadcast(spec), end_id)), "doc_id long, ids binary")
     ids.write.format("token_records").option("path", path).option("width", 2 if top < 1 << 16 else 4).mode(mode).save()
 
 
