@@ -155,3 +155,24 @@ def test_encoder_cuts_columns_as_the_library_does():
             ids, cut = enc.encode_column(pa.array(part, pa.string()))
             want = [e.ids for e in enc.tok.encode_batch([t or "" for t in part], add_special_tokens=False)]
             assert [x.tolist() for x in np.split(ids, cut[1:-1])] == want
+
+
+def test_small_tables_of_the_jaccard_join_are_few_files(spark, monkeypatch):
+    from vecspark.llm import ngram_jaccard, storage
+
+    paths, place = [], storage.scratch_path
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, name: paths.append(place(spark, name)) or paths[-1])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 96)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        texts = [" ".join(f"w{(i // 4) * 40 + j}" for j in range(40)) + " end" * (i % 4) for i in range(80)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard_join(spark, docs).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 4 * 4 for i in range(80)}
+    most = 2 * spark.sparkContext.defaultParallelism
+    files = {p: spark.read.parquet(p).inputFiles() for p in paths if "/nj-docs-" not in p}
+    assert len(files) > 10 and all(len(f) <= most for f in files.values())

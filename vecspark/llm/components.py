@@ -58,32 +58,33 @@ def _contract(batches):
         yield out()
 
 
-def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(node, label) for each node of ``edges`` (two long columns, no nulls); label: the least node it reaches.
 
     An empty input gives an empty result; loops and repeated edges are allowed.
+    ``tasks``: of each written table, at most (see ``write_table``).
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    edges = write_table(spark, edges.mapInArrow(tidy(_contract), "a long, b long").distinct(), "cc-edges")
+    edges = write_table(spark, edges.mapInArrow(tidy(_contract), "a long, b long").distinct(), "cc-edges", tasks)
     place = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = F.min(F.struct(F.xxhash64("b").alias("p"), F.col("b").alias("v")))
         own = F.struct(F.xxhash64("a").alias("p"), F.col("a").alias("v"))
         parent = write_table(spark, both.groupBy("a").agg(best.alias("m"))
-                             .select(F.col("a").alias("node"), F.least(own, F.col("m"))["v"].alias("to")), "cc-parent")
+                             .select(F.col("a").alias("node"), F.least(own, F.col("m"))["v"].alias("to")), "cc-parent", tasks)
         if place is None:
             place = parent
         else:
             moved = parent.select(F.col("node").alias("to"), F.col("to").alias("then"))
             place = write_table(spark, place.join(moved, "to", "left")
-                                .select("node", F.coalesce("then", "to").alias("to")), "cc-place")
+                                .select("node", F.coalesce("then", "to").alias("to")), "cc-place", tasks)
         pa_, pb_ = (parent.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b"))
         edges = write_table(spark, edges.join(pa_, "a").join(pb_, "b").where("to_a != to_b")
                             .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-                            .distinct(), "cc-edges")
+                            .distinct(), "cc-edges", tasks)
     if place is None:
         return spark.createDataFrame([], "node long, label long")
-    least = write_table(spark, place.groupBy("to").agg(F.min("node").alias("label")), "cc-least")
+    least = write_table(spark, place.groupBy("to").agg(F.min("node").alias("label")), "cc-least", tasks)
     return place.join(least, "to").select("node", "label")

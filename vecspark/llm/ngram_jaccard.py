@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import tidy, tidy_group, write_table
+from .storage import tasks_for, tidy, tidy_group, write_table
 from .trie import link_cell
 from .words import NON_SPACE, mix64, shingle_hashes, word_hashes
 
@@ -308,16 +308,17 @@ def _chunked(df: DataFrame, sizes: DataFrame) -> DataFrame:
             .drop("m"))
 
 
-def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num: int, den: int,
+                   tasks: int | None = None) -> DataFrame:
     """Links (a, b) that connect all sets of each cluster that any links connect.
 
     sets: rid, d1, n, toks; members: cluster, node, cid (whose set stands for the
     node).  Only sets of clusters of several cells move more than once.
     """
-    sizes = write_table(spark, members.groupBy("cluster").agg(F.count("*").alias("m")), "nj-sizes")
+    sizes = write_table(spark, members.groupBy("cluster").agg(F.count("*").alias("m")), "nj-sizes", tasks)
     names = members.join(sizes, "cluster").withColumnsRenamed({"cid": "rid", "node": "d1"})
     every = write_table(spark, sets.join(names, ["rid", "d1"]).withColumnRenamed("d1", "cid")
-                        .select("cluster", "cid", "n", "m", "toks"), "nj-sets")
+                        .select("cluster", "cid", "n", "m", "toks"), "nj-sets", tasks)
     large = every.where(F.col("m") > CELL_SETS).drop("m")
 
     def placed(names: DataFrame) -> DataFrame:
@@ -331,38 +332,38 @@ def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num
         sub = (todo.select("cluster", "chunk", "cid", "n", "toks")
                .repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "cid")
                .mapInArrow(tidy(_join_within(num, den)), "cid long, sub long"))
-        sub = write_table(spark, sub.distinct(), "nj-sub")
+        sub = write_table(spark, sub.distinct(), "nj-sub", tasks)
         found.append(sub.where("cid != sub").select(F.col("cid").alias("a"), F.col("sub").alias("b")))
         if rounds == 0:
             if big.isEmpty():
                 return found[0]
-            inside = write_table(spark, members.join(big, "cluster").select("cluster", "node"), "nj-inside")
+            inside = write_table(spark, members.join(big, "cluster").select("cluster", "node"), "nj-inside", tasks)
             label = inside.select("cluster", "node").join(sub.toDF("node", "lab"), "node")
         else:
             label = label.join(sub.toDF("lab", "next"), "lab", "left").select("cluster", "node", F.coalesce("next", "lab").alias("lab"))
-        label = write_table(spark, label, "nj-label")
-        groups = write_table(spark, label.groupBy("cluster", "lab").agg(F.count("*").alias("members")), "nj-groups")
+        label = write_table(spark, label, "nj-label", tasks)
+        groups = write_table(spark, label.groupBy("cluster", "lab").agg(F.count("*").alias("members")), "nj-groups", tasks)
         now = groups.count()
         rounds += 1
         # representatives of the groups meet until that merges little more
         if rounds > 1 and now > 0.7 * before:
             break
         before = now
-        many = write_table(spark, groups.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1"), "nj-many")
+        many = write_table(spark, groups.groupBy("cluster").agg(F.count("*").alias("m")).where("m > 1"), "nj-many", tasks)
         if many.isEmpty():
             return _all(found)
         reps = groups.join(many.select("cluster"), "cluster").select("cluster", F.col("lab").alias("node"))
         todo = placed(_chunked(reps, many))
     # exact end: every set outside its cluster's largest group against every set of the cluster
     lead = groups.groupBy("cluster").agg(F.max(F.struct("members", "lab")).alias("g"), F.count("*").alias("k")).where("k > 1")
-    lead = write_table(spark, lead.select("cluster", F.col("g.lab").alias("main")), "nj-main")
+    lead = write_table(spark, lead.select("cluster", F.col("g.lab").alias("main")), "nj-main", tasks)
     if lead.isEmpty():
         return _all(found)
     marked = write_table(spark, inside.join(label, ["cluster", "node"]).join(lead, "cluster")
-                         .withColumn("rest", F.col("lab") != F.col("main")).drop("main"), "nj-marked")
+                         .withColumn("rest", F.col("lab") != F.col("main")).drop("main"), "nj-marked", tasks)
     n_sets = marked.groupBy("cluster").agg(F.ceil(F.count("*") / CELL_SETS).cast("long").alias("chunks"),
                                            F.ceil(F.count_if("rest") / CELL_SETS).cast("long").alias("rests"))
-    marked = marked.join(write_table(spark, n_sets, "nj-chunks"), "cluster")
+    marked = marked.join(write_table(spark, n_sets, "nj-chunks", tasks), "cluster")
     h = F.xxhash64("node", F.lit(11))
     build = (marked.where("rest").withColumn("i", F.pmod(h, F.col("rests"))).withColumn("side", F.lit(0))
              .withColumn("j", F.explode(F.expr("sequence(0L, chunks - 1)"))))
@@ -372,7 +373,7 @@ def _link_clusters(spark: SparkSession, sets: DataFrame, members: DataFrame, num
     cells = placed(build.select(cols).unionByName(probe.select(cols))).select("cluster", "i", "j", "side", "cid", "n", "toks", "lab")
     last = (cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "cid")
             .mapInArrow(tidy(_join_across(num, den)), "a long, b long"))
-    found.append(write_table(spark, last, "nj-last"))
+    found.append(write_table(spark, last, "nj-last", tasks))
     return _all(found)
 
 
@@ -422,6 +423,7 @@ def ngram_jaccard_groups(spark: SparkSession, docs: DataFrame, *, text: str = "t
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("text_hash", text_hash("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = tasks_for(spark, n_bytes)                # the tables after the texts are small: no file for each shuffle partition
     parts = 64                                       # token ranges; a byte of text gives less than 1/4 token
     while parts * BLOCK_TOKENS * 4 < n_bytes:
         parts *= 2
@@ -432,26 +434,26 @@ def ngram_jaccard_groups(spark: SparkSession, docs: DataFrame, *, text: str = "t
     # classes of equal sets; the least id stands for the class, the digest d1 names it as a node
     classes = (every.where("n > 0").groupBy("n", "d1", "d2")
                .agg(F.min("rid").alias("cid"), F.count("*").alias("copies"), F.max("n_prefix").alias("n_prefix")))
-    classes = write_table(spark, classes.where("copies > 1 or n_prefix is not null"), "nj-classes")
+    classes = write_table(spark, classes.where("copies > 1 or n_prefix is not null"), "nj-classes", tasks)
 
     # sets meet on their prefix tokens; those connected by such tokens form a cluster
     sets = every.where("toks is not null")
     posts = sets.select("d1", "n_prefix", "toks").mapInArrow(tidy(_postings), "token long, cid long")
     hubs = posts.groupBy("token").agg(F.min("cid").alias("hub"), F.max("cid").alias("other"))
-    hubs = write_table(spark, hubs.where("hub < other").select("token", "hub"), "nj-hubs")
+    hubs = write_table(spark, hubs.where("hub < other").select("token", "hub"), "nj-hubs", tasks)
     candidates = posts.join(hubs, "token").where("cid != hub").select("cid", "hub")
-    clusters = connected_components(spark, candidates).select("node", F.col("label").alias("cluster"))
-    members = write_table(spark, clusters.join(classes.select(F.col("d1").alias("node"), "cid"), "node"), "nj-members")
-    links = _link_clusters(spark, sets.select("rid", "d1", "n", "toks"), members, num, den)
-    group = connected_components(spark, links).select(F.col("node").alias("d1"), F.col("label").alias("grp"))
+    clusters = connected_components(spark, candidates, tasks).select("node", F.col("label").alias("cluster"))
+    members = write_table(spark, clusters.join(classes.select(F.col("d1").alias("node"), "cid"), "node"), "nj-members", tasks)
+    links = _link_clusters(spark, sets.select("rid", "d1", "n", "toks"), members, num, den, tasks)
+    group = connected_components(spark, links, tasks).select(F.col("node").alias("d1"), F.col("label").alias("grp"))
 
     # a group's label is the least id of its classes
-    grouped = write_table(spark, classes.join(group, "d1").select("n", "d1", "d2", "cid", "grp"), "nj-grouped")
-    least = write_table(spark, grouped.groupBy("grp").agg(F.min("cid").alias("label")), "nj-least")
+    grouped = write_table(spark, classes.join(group, "d1").select("n", "d1", "d2", "cid", "grp"), "nj-grouped", tasks)
+    least = write_table(spark, grouped.groupBy("grp").agg(F.min("cid").alias("label")), "nj-least", tasks)
     label = grouped.join(least, "grp").select("n", "d1", "d2", "label", "grp")
 
     named = write_table(spark, classes.join(label, ["n", "d1", "d2"], "left")
-                        .select("n", "d1", "d2", F.coalesce("label", "cid").alias("label"), "grp"), "nj-named")
+                        .select("n", "d1", "d2", F.coalesce("label", "cid").alias("label"), "grp"), "nj-named", tasks)
     out = every.join(named, ["n", "d1", "d2"], "left").withColumn("label", F.coalesce("label", "rid"))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
                       F.when((F.col("n") > 0) & (F.col("label") < NO_ID), F.col("label"))
