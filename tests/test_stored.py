@@ -170,6 +170,62 @@ def test_search_rounds_move_no_nodes(spark, clustered, built):
     assert "Bucketed: true" in side[0] and not any("Exchange" in line for line in side)
 
 
+def test_search_asks_by_part_and_gets_back_what_a_beam_may_keep(spark):
+    import pyarrow as pa
+    # one query, 300 asked ids: its vector goes once to each of 4 parts, every id to the part of its node
+    ids = np.arange(-150, 150) * 64
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([[1.0, 0.0]]), pa.array([ids]), pa.array([0.25])], names=["q", "v", "new", "floor"])
+    asks = [r for b in G._by_part([10, 20, 30, 40])([batch]) for r in b.to_pylist()]
+    assert [r["part"] for r in asks] == [10, 20, 30, 40] and {(r["id"], *r["v"], r["floor"]) for r in asks} == {(7, 1.0, 0.0, 0.25)}
+    assert sorted(i for r in asks for i in r["ids"]) == ids.tolist()
+    where = spark.createDataFrame([(int(i),) for i in ids], "id long").select("id", G._part_of("id", 4).alias("p")).collect()
+    assert {r["id"]: (r["p"] + 1) * 10 for r in where} == {i: r["part"] for r in asks for i in r["ids"]}
+    # the part's nodes, then its asks: an unknown id, one that repeats, ties with the floor and a score that is not a number
+    part = [(10, 0, 1, [0.5, 0.0], None, 0.0), (10, 0, 2, [0.2, 0.0], None, 0.0), (10, 0, 3, [0.25, 0.0], None, 0.0), (10, 0, 3, [0.7, 0.0], None, 0.0),
+            (10, 0, 4, [float("nan"), 0.0], None, 0.0), (10, 1, 7, [1.0, 0.0], [1, 2, 3, 4, 9], 0.25), (10, 1, 8, [1.0, 0.0], [2], 0.25),
+            (20, 0, 5, [0.1, 0.0], None, 0.0), (20, 1, 8, [1.0, 0.0], [5], float("-inf"))]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.float64()]
+    cols = [pa.array(c, t) for c, t in zip(zip(*part), types)]
+    whole = pa.RecordBatch.from_arrays(cols, names=["part", "side", "id", "v", "ids", "floor"])
+    for cut in (len(part), 1, 2):
+        got = [r for b in G._score_asked(2)([whole.slice(a, cut) for a in range(0, len(part), cut)]) for r in b.to_pylist()]
+        assert [(r["query_id"], r["ids"]) for r in got] == [(7, [1, 3, 3, 4]), (8, [5])]
+        assert got[0]["scores"][:3] == pytest.approx([0.5, 0.25, 0.7])
+
+
+def test_building_sends_no_pair_below_the_floor():
+    import pyarrow as pa
+    X, floor = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]], [0.5, 0.95, float("-inf")]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1]), pa.array([1, 2, 3]), pa.array(X), pa.array(floor)], names=["src", "dst", "v", "floor"])
+    sent = {(r["src"], r["dst"]) for b in G._introduce(2, 8)([batch]) for r in b.to_pylist() if r["src"] != r["dst"]}
+    assert sent == {(1, 2), (3, 1), (3, 2)}
+
+
+def test_search_moves_a_query_once_per_part(spark, clustered, built, monkeypatch):
+    """What a round's exchange holds: a row per node, and per query not more rows than parts."""
+    index, queries = clustered
+    counted = spark.sparkContext.accumulator(0)
+    score = G._score_asked
+
+    def counting(dim):
+        run = score(dim)
+
+        def over(batches):
+            def seen():
+                for rb in batches:
+                    counted.add(rb.num_rows)
+                    yield rb
+            return run(seen())
+        return over
+
+    monkeypatch.setattr(G, "_score_asked", counting)
+    rounds = []
+    scratch = G._scratch
+    monkeypatch.setattr(G, "_scratch", lambda df, name: (rounds.append(name), scratch(df, name))[1])
+    assert len(rows(G.graph_search(built, queries, 10, ef=60, entries=40))) == 400
+    assert 0 < counted.value <= (len(rounds) - 1) * (600 + 40 * spark.sparkContext.defaultParallelism)
+
+
 def test_graph_of_few_nodes(spark):
     index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "vector_id long, embedding array<double>")
     queries = spark.createDataFrame([(5, [1.0, 0.1]), (6, None)], "query_id long, embedding array<double>")
