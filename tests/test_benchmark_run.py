@@ -79,3 +79,32 @@ def test_failing_engines_fail_the_run(spark, vectors):
 
     with pytest.raises(RuntimeError, match="broken engine"):
         B.run_benchmark(spark, index.where("vector_id < 900"), queries, {"broken": B.Engine(broken, broken)}, scratch_path(spark, "t-broken"), run="x")
+
+
+def test_no_vectors_are_broadcast(spark):
+    """Files of vectors that compress well are far smaller than their rows: Spark must not pick them for a broadcast."""
+    from vecspark.operators.ann import centroids_from_rows, ivf_assign, ivf_search, lsh_search
+
+    path = scratch_path(spark, "t-alike")
+    spark.range(3000).select(F.col("id").alias("vector_id"), F.array([(F.col("id") % (i + 2)).cast("double") for i in range(16)]).alias("embedding")
+                             ).write.parquet(path)
+    index = spark.read.parquet(path)
+    queries = index.where("vector_id % 10 = 1").withColumnRenamed("vector_id", "query_id")
+    cents = centroids_from_rows(index, F.col("vector_id").between(1, 4))
+    for found in (lsh_search(index, queries, 3, bands=2, bits=3, cosine=True), ivf_search(ivf_assign(index, cents), queries, cents, 3, 2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # cell sizes are on the right of their joins, vectors on the left
+        assert "BuildRight" in plan and "BuildLeft" not in plan
+        assert found.where("rank = 1").count() == 300
+    many = lsh_search(index, queries, 3, bands=2, bits=13, cosine=True)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and many.where("rank = 1").count() == 300
+
+
+def test_hash_embed_keeps_columns(spark):
+    from vecspark.operators.embed import hash_embed
+
+    texts = spark.createDataFrame([(0, "a b a", 7), (1, "", 8), (2, "c", 9)], "id long, text string, pos int")
+    kept = hash_embed(texts, id_col="id", dim=8, keep=["text", "pos"])
+    assert kept.columns == ["id", "text", "pos", "embedding"]
+    joined = texts.join(hash_embed(texts, id_col="id", dim=8), "id")
+    assert sorted(kept.collect()) == sorted(joined.collect())
