@@ -176,3 +176,49 @@ def test_small_tables_of_the_jaccard_join_are_few_files(spark, monkeypatch):
     most = 2 * spark.sparkContext.defaultParallelism
     files = {p: spark.read.parquet(p).inputFiles() for p in paths if "/nj-docs-" not in p}
     assert len(files) > 10 and all(len(f) <= most for f in files.values())
+
+
+def test_mixture_meets_every_bound(spark, tmp_path):
+    """Shares are of the mixture that comes out, and every named domain keeps its bound, not poor text alone."""
+    import random
+
+    import numpy as np
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    say = lambda word: word + " " + " ".join("w%d" % rng.randrange(200) for _ in range(19))
+    rows = [(i, say("fine fair")) for i in range(500)] + [(1000 + i, say("meh dull")) for i in range(40)] + [(2000 + i, say("foul slur")) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000), int(i >= 2000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = mixing.mix_to_targets(spark, docs, labels, mixing.label_domain(), cp.TARGETS, leave_out=cp.LEAVE_OUT, at_least=cp.AT_LEAST).collect()
+    n, w, p = (np.array([r[c] for r in out], float) for c in ("n_tokens", "rate", "posterior"))
+    good, poor, toxic = (n * w) @ p
+    size = good + poor + toxic
+    stay = p[:, 2] <= cp.LEAVE_OUT["toxic"]
+    assert (w[~stay] == 0).all() and good >= (n[stay] @ p[stay])[0] - 1e-3 * size
+    assert abs(poor / size - cp.TARGETS["poor"]) < 1e-3 and toxic / size <= cp.TARGETS["toxic"] + 1e-3
+
+
+def test_bounds_hold_each_other(spark):
+    import numpy as np
+
+    def totals(rows, steps):
+        n, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+        return (n * mixing.rates_of(p, steps)) @ p
+
+    # less of domain 2 takes of domain 0, which must be brought back by other documents
+    rows = [(10, [.8, .0, .2])] * 50 + [(10, [.5, .5, .0])] * 50 + [(10, [1.0, .0, .0])] * 50
+    features = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    goal = np.full(3, np.nan)
+    now, got = totals(rows, []), totals(rows, mixing.fit_bounded(features, goal, {0: None, 1: .19}, {2: .01}))
+    size = got.sum()
+    assert got[0] >= now[0] - 1e-3 * size and got[1] >= max(now[1], .19 * size) - 1e-3 * size and got[2] <= (.01 + 1e-3) * size
+    # nothing is broken, nothing is moved
+    assert mixing.fit_bounded(features, goal, {0: None, 1: .1}, {2: .3}) == []
+    # no text has enough of domain 1: rates stay as they are
+    thin = spark.createDataFrame([(10, [.99, .01, .0])] * 50, "n_tokens long, posterior array<double>")
+    assert mixing.fit_bounded(thin, goal, {0: None, 1: .19}, {2: .01}) == []
+    # of a given total
+    got = totals(rows, mixing.fit_bounded(features, goal, {1: .5}, {}, total=2000.0))
+    assert abs(got[1] - 1000) < 1

@@ -29,6 +29,9 @@ TRAIN_ROWS = 8192
 FIT_ROUNDS = 150
 MIX_ROUNDS = 60
 TOLERANCE = 1e-6
+#: fits until no bound is broken, at most, and the share of the tokens by which one may be
+BOUND_ROUNDS = 12
+BOUND_TOLERANCE = 1e-4
 #: seed of the hash that decides on a rate's fraction
 COPY_SEED = 20240607
 #: step, weight decay and least documents of a feature (fewer in small samples) of the classifier
@@ -205,6 +208,49 @@ def fit_rates(features: DataFrame, targets: np.ndarray, rounds: int = MIX_ROUNDS
     return steps
 
 
+def fit_bounded(features: DataFrame, goal: np.ndarray, least: dict[int, float | None], most: dict[int, float | None],
+                total: float | None = None) -> list[np.ndarray]:
+    """Step vectors as ``fit_rates`` finds them, for domains of which some have a bound instead of a target.
+
+    ``goal``: targets, NaN where a domain has none.  ``least``, ``most``: the
+    domains' bounds as shares of ``total`` tokens (default: of the mixture that
+    comes out), None for their present tokens; a least share is never below
+    those.  A bound that the rates break becomes a target of the next fit, until
+    no domain is beyond its bound: what one domain brings of another, or takes
+    from it, is made up for.  A fit to the same targets that comes no nearer (there
+    is no text that could meet them) ends the search, and the nearest one counts.
+    """
+    now = present = _moment_sums(features, len(goal), [])[0]
+    best: list[np.ndarray] = []
+    steps, held, nearest = best, {}, np.inf
+    for _ in range(BOUND_ROUNDS):
+        size = float(now.sum()) if total is None else total
+        least_of = {i: present[i] if x is None else max(x * size, present[i]) for i, x in least.items()}
+        most_of = {i: present[i] if x is None else x * size for i, x in most.items()}
+        gaps = {i: abs(now[i] - x) for i, x in enumerate(goal) if not np.isnan(x)}
+        gaps |= {i: x - now[i] for i, x in least_of.items()} | {i: now[i] - x for i, x in most_of.items()}
+        slack = BOUND_TOLERANCE * max(1.0, size)
+        worst = max(gaps.values(), default=0.0) / max(1.0, size)
+        broken = {i for i, gap in gaps.items() if gap > slack and (i in least or i in most)}
+        far = worst > 0.9 * nearest and broken <= held.keys()
+        if worst < nearest - BOUND_TOLERANCE:
+            best, nearest = steps, worst
+        if worst <= BOUND_TOLERANCE or far:
+            break
+        for i in broken | held.keys():
+            held[i] = most[i] if i in most else least[i] if least_of[i] > present[i] else None
+        if total is None:                                    # the size at which the held domains have their shares
+            shares = sum(x for x in held.values() if x is not None)
+            others = sum(present[i] if i in held else now[i] for i in range(len(goal)) if held.get(i) is None)
+            size = others / (1 - shares) if shares < 1 else size
+        asked = goal.copy()
+        for i, x in held.items():
+            asked[i] = present[i] if x is None else x * size
+        steps = fit_rates(features, asked)
+        now = _moment_sums(features, len(goal), steps)[0]
+    return best
+
+
 def _apply(d: int, steps):
     def run(batches):
         for rb in batches:
@@ -245,9 +291,10 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
     never above what the others have of it.  If no label is usable, no document
     is known to belong to such a domain, and it keeps its present tokens.
 
-    ``at_least``: domains whose share is the least they should have; one that
-    has more keeps its present tokens, and one without a share is free: its
-    documents are not thinned for what others bring of it.
+    ``at_least``: domains whose share is the least they should have, and none
+    has fewer than its present tokens; the share of a domain of ``leave_out`` is
+    then the most it may have.  Without ``total`` these shares are of the tokens
+    of the mixture that comes out (``fit_bounded``).
     """
     new = ("n_tokens", "posterior", "rate", "copies")
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in new])
@@ -263,25 +310,17 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, labels: DataFrame, doma
         gone = gone | (F.get("posterior", F.lit(names.index(x))) > limit)
     rest = scored.where(~gone) if limits else scored
     present = _moment_sums(rest, d, [])[0]
-    if total is None:
-        total = scored.agg(F.sum("n_tokens")).first()[0] or 0
-    goal = np.array([present[i] if targets[x] is None else targets[x] * float(total) for i, x in enumerate(names)])
+    tokens = float(scored.agg(F.sum("n_tokens")).first()[0] or 0) if total is None else float(total)
+    goal = np.array([present[i] if targets[x] is None else targets[x] * tokens for i, x in enumerate(names)])
     for x in leave_out or {}:
         i = names.index(x)
         goal[i] = min(goal[i], present[i]) if limits else present[i]
-    for x in at_least:
-        i = names.index(x)
-        goal[i] = np.nan if targets[x] is None else max(goal[i], present[i])
-    # a left-out domain below its share is asked only if what the others' copies bring of it goes beyond that share
-    caps = {names.index(x): targets[x] * float(total) for x in limits if at_least and targets[x] is not None}
-    caps = {i: cap for i, cap in caps.items() if present[i] <= cap}
-    goal[list(caps)] = np.nan
-    steps = fit_rates(rest, goal)
-    if caps and steps:
-        over = _moment_sums(rest, d, steps)[0]
-        if beyond := {i: cap for i, cap in caps.items() if over[i] > cap}:
-            goal[list(beyond)] = list(beyond.values())
-            steps = fit_rates(rest, goal)
+    if at_least:
+        least, most = ({names.index(x): targets[x] for x in some} for some in (at_least, limits))
+        goal[[*least, *most]] = np.nan
+        steps = fit_bounded(rest, goal, least, most, total)
+    else:
+        steps = fit_rates(rest, goal)
     out = scored.mapInArrow(tidy(_apply(d, steps)), f"{fields}, n_tokens long, posterior array<double>, rate double")
     out = out.withColumn("rate", F.when(gone, 0.0).otherwise(F.col("rate"))) if limits else out
     key, number = unused(out, "__key", "__number")
